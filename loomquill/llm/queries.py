@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import linededup, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -18,5 +18,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_spans(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
-ORACLE: dict[str, str] = {}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup}
+ORACLE: dict[str, str] = {"op2_line_dedup": linededup.SQL}
