@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup, toxicity
+from . import langid, linededup, packing, toxicity, urlfilter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -22,5 +23,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup}
-ORACLE: dict[str, str] = {"op2_line_dedup": linededup.SQL}
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: every URL of the table on an advertising, gambling or spam host."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.url_filter(pages, pages.select("url").where(urlfilter.host(F.col("url")).rlike(urlfilter.SPAM_HOST)))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs, f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_url_filter": op3_url_filter, "op6_language_id": op6_language_id, "op7_best_fit_packing": op7_best_fit_packing}
+ORACLE: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op3_url_filter": urlfilter.SQL}

@@ -91,7 +91,7 @@ def bloom_blocks(hashes: DataFrame, h: str, n_keys: int, bits_per_key: int = 16)
     while blocks * 256 < max(1, n_keys) * bits_per_key and blocks < 1 << 24:
         blocks *= 2
     c = F.col(h)
-    words = [F.bit_or(F.shiftleft(F.lit(1), F.shiftrightunsigned(c, 5 * i).bitwiseAND(F.lit(31)).cast("int"))).alias(f"w{i}") for i in range(8)]
+    words = [F.bit_or(F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned(c, 5 * i).bitwiseAND(F.lit(31)).cast("int"))).alias(f"w{i}") for i in range(8)]
     return hashes.groupBy(block_of(c, blocks).alias("block")).agg(*words), blocks
 
 

@@ -39,7 +39,7 @@ class Crf:
     trans: np.ndarray  # log potentials [from, to]
 
     def emissions(self, idx: np.ndarray) -> np.ndarray:
-        return self.weights[idx].sum(axis=0, dtype=np.float64) + self.bias
+        return sum(self.weights[x].astype(np.float64) for x in idx) + self.bias
 
 
 def _packed(low: np.ndarray, s: np.ndarray, e: np.ndarray, k: int, back: bool) -> np.ndarray:
@@ -157,13 +157,12 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 25, rate: float = 0
     nxt = np.flatnonzero(inner)
     seen_pairs = np.array([[np.sum(~y[nxt - 1] & ~y[nxt]), np.sum(~y[nxt - 1] & y[nxt])], [np.sum(y[nxt - 1] & ~y[nxt]), np.sum(y[nxt - 1] & y[nxt])]], dtype=float)
     scale = max(1.0, float(y.sum()))
-    flat = idx.ravel()
     for _ in range(rounds):
-        em = w[idx].sum(axis=0) + crf.bias
+        em = sum(w[x] for x in idx) + crf.bias
         a, b = forward_backward(em, first, crf.trans)
         p = 1 / (1 + np.exp(-np.clip(a + b, -40, 40)))
         d = y - p
-        grad = np.bincount(flat, weights=np.tile(d, 8), minlength=1 << BITS) / scale - l2 * w
+        grad = sum(np.bincount(x, weights=d, minlength=1 << BITS) for x in idx) / scale - l2 * w
         gw += grad * grad
         w += rate * grad / (np.sqrt(gw) + 1e-8)
         g = d.sum() / scale
