@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, packing, toxicity, urlfilter
+from . import jaccard, langid, linededup, packing, toxicity, urlfilter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -29,6 +29,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_filter(pages, pages.select("url").where(urlfilter.host(F.col("url")).rlike(urlfilter.SPAM_HOST)))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs, f"{TOKENIZERS}/piece_bpe_32k.model"))
@@ -38,5 +42,5 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_url_filter": op3_url_filter, "op6_language_id": op6_language_id, "op7_best_fit_packing": op7_best_fit_packing}
-ORACLE: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op3_url_filter": urlfilter.SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_url_filter": op3_url_filter, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_language_id": op6_language_id, "op7_best_fit_packing": op7_best_fit_packing}
+ORACLE: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op3_url_filter": urlfilter.SQL, "op5_ngram_jaccard": jaccard.SQL}
