@@ -1 +1 @@
-"""Part of loomquill."""
+"""Column functions: text and statistics."""

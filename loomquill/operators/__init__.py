@@ -1 +1 @@
-"""Part of loomquill."""
+"""DataFrame to DataFrame operators."""

@@ -1 +1 @@
-"""Part of loomquill."""
+"""Registered queries over the standard tables."""

@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import etl, lexical, tone
+
+QUERIES: dict = lexical.QUERIES | tone.QUERIES | etl.QUERIES
+ORACLE: dict = lexical.ORACLE | tone.ORACLE | etl.ORACLE

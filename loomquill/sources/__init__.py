@@ -1 +1 @@
-"""Part of loomquill."""
+"""Readers and writers."""

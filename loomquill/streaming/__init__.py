@@ -1 +1 @@
-"""Part of loomquill."""
+"""Structured Streaming forms of the incremental jobs."""
