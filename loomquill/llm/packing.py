@@ -16,18 +16,31 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SCHEMA = "bin_id string, capacity int, used int, doc_id long, piece int, piece_start long, piece_length int, bin_offset int"
+_INK = np.ones(256, dtype=bool)
+_INK[[ord(c) for c in " \t\n\r\f\x0b"]] = False
 
 
 def word_count(text: Column) -> Column:
-    """Number of runs without blanks, tabs and line ends."""
-    t = F.trim(F.translate(text, "\t\n\r\f\x0b", "     "))
-    return F.when(t == "", 0).otherwise(F.length(F.regexp_replace(t, " +", " ")) - F.length(F.replace(t, F.lit(" "))) + 1).cast("long")
+    """Number of runs without blanks, tabs and line ends; 0 for a null."""
+
+    @F.arrow_udf("long")
+    def run(column: pa.Array) -> pa.Array:
+        out = [np.zeros(0, dtype=np.int64)]
+        for lo, hi, data, off in tk.slices(column):
+            s, _ = tk.runs(_INK[data], off)
+            out.append(np.bincount(tk.rows_of(s, off), minlength=hi - lo))
+        return pa.array(np.concatenate(out), pa.int64())
+
+    return run(text)
 
 
 def pack(pieces: list[tuple[int, int]], lengths: tuple[int, ...] = LENGTHS, overhead: float = 16.0, quadratic: float = 8192.0) -> list[list[int]]:
