@@ -6,7 +6,7 @@ anchors, and the index holds every position that they have in it: word -> (templ
 its words; each posting gives the relative position of template and file (file position minus template position).  Postings
 of one template are intersected by relative position: those that differ by no more than a small slack, for words inserted
 or dropped, belong together, and a stretch is a candidate if it has enough of the template's anchor positions.  A candidate
-is a match if all key phrases occur in its stretch.
+is a match if all key phrases occur in its stretch or within the slack around it.
 
 Plan: one narrow counting stage whose result is bounded by the template words, and one narrow matching stage; no shuffle of
 texts.  The index is a few kilobytes and doesn't grow with the data.
@@ -157,7 +157,9 @@ def scan(column: pa.Array, index: Index, agree: float = AGREE):
             r, k = int(row[head[g]]), int(t[head[g]])
             a = max(int(diag[head[g]]), int(begin_of[r]))
             b = min(int(diag[tail[g]]) + index.sizes[k], int(begin_of[r + 1]))
-            if all(has_phrase(h[a:b], x) for x in index.phrases[k]):
+            wide = slack(index.sizes[k])  # words may be inserted or dropped where there is no anchor
+            near = h[max(a - wide, int(begin_of[r])) : min(b + wide, int(begin_of[r + 1]))]
+            if all(has_phrase(near, x) for x in index.phrases[k]):
                 ends = np.array([s[a], e[b - 1]])
                 c = tk.char_index(data, off, ends, np.array([r, r]))
                 yield lo + r, k, int(c[0]), int(c[1]), int(found[g])
