@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import written
+from .support import fresh, written
 
 SHARD_KEYS = 1 << 18
 DIRECT = 1 << 31
@@ -210,25 +210,26 @@ def keeper(path: str, shards: int):
 
 
 def dedup_text(docs: DataFrame, min_chars: int = 20, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with three more columns: _clean (the text without repeated lines), _lines and _dropped (numbers of lines).
+    """`docs` with three more columns at the end: _clean (the text without repeated lines), _lines and _dropped (numbers of lines).
 
-    A null text stays null with 0 lines; an empty text is one empty line and stays; a row with a null id keeps all its
-    lines.  Of rows that repeat an id each keeps what is first under that id, so equal rows stay equal.
+    A name that `docs` has already gets more underscores.  A null text stays null with 0 lines; an empty text is one
+    empty line and stays; a row with a null id keeps all its lines.  Of rows that repeat an id each keeps what is first
+    under that id, so equal rows stay equal.
     """
     path, shards = build_index(docs, min_chars, min_count, id_col, text_col)
     text = F.col(text_col).cast("string")
     parts = F.split(text, "\n", -1)
-    keep = keeper(path, shards)(F.col(id_col).cast("long"), line_hashes(text), F.transform(parts, lambda x: F.length(x) >= min_chars))
-    out = docs.withColumn("_keep", keep)
-    clean = F.array_join(F.filter(parts, lambda x, i: F.element_at(F.col("_keep"), i + 1)), "\n")
-    dropped = F.size(F.filter("_keep", lambda x: ~x))
+    kept = fresh(docs, "_keep")
+    out = docs.withColumn(kept, keeper(path, shards)(F.col(id_col).cast("long"), line_hashes(text), F.transform(parts, lambda x: F.length(x) >= min_chars)))
+    clean = F.array_join(F.filter(parts, lambda x, i: F.element_at(F.col(kept), i + 1)), "\n")
+    dropped = F.size(F.filter(kept, lambda x: ~x))
     none = text.isNull()
     return out.select(
-        "*",
-        F.when(none, F.lit(None).cast("string")).when(dropped == 0, text).otherwise(clean).alias("_clean"),
-        F.when(none, 0).otherwise(F.size("_keep")).alias("_lines"),
-        F.when(none, 0).otherwise(dropped).alias("_dropped"),
-    ).drop("_keep")
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.when(none, F.lit(None).cast("string")).when(dropped == 0, text).otherwise(clean).alias(fresh(docs, "_clean")),
+        F.when(none, 0).otherwise(F.size(kept)).alias(fresh(docs, "_lines")),
+        F.when(none, 0).otherwise(dropped).alias(fresh(docs, "_dropped")),
+    )
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

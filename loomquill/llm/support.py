@@ -52,6 +52,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_unit(col: Column, salt: int) -> Column:
     """A number in [0, 1) that depends on the value alone."""
     return F.pmod(F.xxhash64(col, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
