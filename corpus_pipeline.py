@@ -28,8 +28,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier place has; n_chars follows the text."""
     got = linededup.dedup_text(docs)
-    changed = got.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return changed.withColumn("text", F.col("_clean")).select(*docs.columns)
+    clean, _, dropped = got.columns[-3:]
+    size = F.when(F.col(dropped) > 0, F.length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return got.withColumns({"n_chars": size, "text": F.col(clean)}).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
