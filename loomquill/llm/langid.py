@@ -24,8 +24,8 @@ from . import textkit as tk
 from .support import stratified
 
 BLOCK, LONGEST, FLOOR = 40, 16, 1e-6
-SLICE = 4 << 20
-REMEMBERED = 1_500_000
+SLICE = 1 << 20
+REMEMBERED = 500_000
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15 | 1)
 SCHEMA = "language string, log_odds double, per_byte double, n_words int"
@@ -276,7 +276,7 @@ def keep_identified(docs: DataFrame, model: Model, sure: float = 10.0, text_col:
 
     Where the declared language is null or not among the model's, any language passes.
     """
-    d = docs.withColumn("_lid", scorer(docs, model)(F.col(text_col).cast("string")))
+    got = scorer(docs, model)(F.col(text_col).cast("string"))
     known = F.col(lang_col).isin(list(model.languages))
-    wrong = known & (F.col("_lid.language") != F.col(lang_col)) & (F.col("_lid.log_odds") >= sure)
-    return d.where((F.col("_lid.n_words") > 0) & ~F.coalesce(wrong, F.lit(False))).drop("_lid")
+    wrong = known & (got["language"] != F.col(lang_col)) & (got["log_odds"] >= sure)
+    return docs.where((got["n_words"] > 0) & ~F.coalesce(wrong, F.lit(False)))
