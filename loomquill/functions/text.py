@@ -99,7 +99,7 @@ class Patterns:
     @property
     def overlapping(self) -> bool:
         """Whether an excluded match could hide another pattern, which the JVM expression can't tell."""
-        return any(o != w and re.search(rf"(?<!\w){re.escape(o)}", w) for w in self.excludes for o in self.words)
+        return any(o != w and re.search(rf"(?<!\w){re.escape(o)}(?!\w)", w) for w in self.excludes for o in self.words)
 
     def regex(self) -> str:
         """One alternation for the whole table; an exclusion is a look-ahead of its own pattern."""

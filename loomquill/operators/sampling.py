@@ -90,7 +90,7 @@ def ranked_probabilities(df: DataFrame, classes: Sequence[str], probs_col: str =
 
 
 def parse_party(answer: Column, codes: Sequence[str], names: Mapping[str, str]) -> Column:
-    """A class from free text: the first of the codes, longest first, that it contains, else a full name, else null."""
+    """A class from free text: the first of the codes, longest first, that it contains, else that of the first full name (name to class), else null."""
     up = F.upper(F.coalesce(answer, F.lit("")))
     picks = [F.when(F.contains(up, F.lit(c.upper())), c) for c in sorted(codes, key=lambda c: (-len(c), codes.index(c)))]
     picks += [F.when(F.contains(up, F.lit(n.upper())), c) for n, c in names.items()]

@@ -218,7 +218,7 @@ round(({_part(_K[0][0], _K[0][1])} + {_part(_K[1][0], _K[1][1])}) / 2, 6) as pre
 round(({_part('2 * ' + _K[0][0], _K[0][1] + ' + ' + _K[0][2])} + {_part('2 * ' + _K[1][0], _K[1][1] + ' + ' + _K[1][2])}) / 2, 6) as macro_f1 from j""",
     "profile_deviation": "select label, count(*) as n, " + ", ".join(f"round(avg(embedding[{i + 1}]::double), 5) as raw_{i}" for i in range(8)) + ", " + ", ".join(f"round(avg(embedding[{i + 1}]::double) - {0.1 * i!r}, 5) as dev_{i}" for i in range(8)) + " from embeddings group by label",
     "profile_reference": "select " + ", ".join(f"round({0.1 * i!r}::double, 6) as ref_{i}" for i in range(8)),
-    "mix_delta": f"""with {V.SPEECHES}, m as (select party, count(*) filter (where year < 2015) * 100.0::double / (select count(*) from speeches where year < 2015) as o, count(*) filter (where year >= 2015) * 100.0::double / (select count(*) from speeches where year >= 2015) as n from speeches where party is not null group by party)
+    "mix_delta": f"""with {V.SPEECHES}, m as (select party, coalesce(count(*) filter (where year < 2015) * 100.0::double / nullif((select count(*) from speeches where year < 2015), 0), 0.0) as o, coalesce(count(*) filter (where year >= 2015) * 100.0::double / nullif((select count(*) from speeches where year >= 2015), 0), 0.0) as n from speeches where party is not null group by party)
 select party, round(o, 6) as old_pct, round(n, 6) as new_pct, round(n - o, 6) as delta from m""",
     "quality_checks": f"""with {V.SPEECHES}, c as (
 select 'text is present' as check_, count(*) filter (where text is null or trim(text) = '') as f from speeches
@@ -235,7 +235,7 @@ select check_ as "check", f as failures, f = 0 as ok from c""",
 select id, protocol_id from q where length(substring(t, 1, 80)) >= 40 and not exists (select 1 from q r where r.protocol_id = q.protocol_id and contains(r.u, substring(q.t, 1, 80)))""",
     "cost_per_1000": "with p(model, pp, cp) as (values ('user', 2e-6, 8e-6), ('assistant', 1e-6, 4e-6)) select role as model, count(*) as n, round((sum(length(text)) * any_value(pp) + sum(turn + 1) * any_value(cp)) / count(*) * 1000, 6) as cost_per_1000 from conversations join p on p.model = role group by role",
     "speaker_normalise": f"with {V.SPEECHES} select distinct speaker, upper(speaker || ' Öberg') as name from speeches",
-    "weekly_counts": "select cast(time_bucket(interval '7 days', ts, timestamp '1970-01-01') as timestamptz) as start, event_type, count(*) as n from events group by all",
+    "weekly_counts": "select time_bucket(interval '7 days', ts, timestamp '1970-01-01') as start, event_type, count(*) as n from events group by all",
     "user_sessions": """with e as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval '30 minutes' then 0 else 1 end as b from events),
 s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from e) select min(ts) as start, max(ts) + interval '30 minutes' as "end", user_id, count(*) as n from s group by user_id, k""",
     "capped_feed": "select event_id, event_type from (select event_id, event_type, row_number() over (partition by event_type order by ts desc, event_id) as k from events) where k <= 100",

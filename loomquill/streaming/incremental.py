@@ -36,20 +36,25 @@ def upsert_stream(changes: DataFrame, target: str, checkpoint: str, key: str = "
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame, ts: str, delay: str) -> DataFrame:
+    """With a watermark, which needs a timestamp with time zone."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def first_seen(events: DataFrame, key: str = "id", ts: str = "ts", delay: str = "30 days") -> DataFrame:
     """Each key once within the watermark."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return _timed(events, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 week", group_col: str = "event_type", delay: str = "1 day") -> DataFrame:
     """(start, group, n) for tumbling windows; late rows beyond `delay` are left out."""
-    timed = events.withWatermark(ts, delay) if events.isStreaming else events
+    timed = _timed(events, ts, delay) if events.isStreaming else events
     counts = timed.groupBy(F.window(ts, size), group_col).agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("start"), group_col, "n")
 
 
 def sessions(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", group_col: str = "user_id", delay: str = "1 day") -> DataFrame:
-    timed = events.withWatermark(ts, delay) if events.isStreaming else events
+    timed = _timed(events, ts, delay) if events.isStreaming else events
     counts = timed.groupBy(F.session_window(ts, gap), group_col).agg(F.count("*").alias("n"))
     return counts.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), group_col, "n")
 
