@@ -67,3 +67,9 @@ def assert_unique(df: DataFrame, key: str = "id") -> DataFrame:
     if twice := [r[0] for r in df.groupBy(key).count().where("count > 1").select(key).limit(5).collect()]:
         raise ValueError(f"{key} occurs more than once, such as {twice}")
     return df
+
+
+def require(checks: DataFrame) -> None:
+    """An error that names every failed check, so that a job ends only after all were made."""
+    if failed := [f"{r['check']} ({r['failures']})" for r in checks.where("not ok").collect()]:
+        raise ValueError(f"failed checks: {', '.join(failed)}")

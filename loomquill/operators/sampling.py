@@ -124,3 +124,14 @@ def open_plan(models: DataFrame, topics: DataFrame, kinds: DataFrame, samples: D
     """Every (model, topic, kind, sample) that isn't done yet."""
     every = models.select("model").crossJoin(topics.select("topic")).crossJoin(kinds.select("kind")).crossJoin(samples.select("sample"))
     return every.join(done.select("model", "topic", "kind", "sample"), ["model", "topic", "kind", "sample"], "left_anti")
+
+
+def benchmark_sample(df: DataFrame, held_out: DataFrame, per_group: int = 40, first_year: int = 2015, over_chars: int = 200, seed: int = 42, group_col: str = "party", id_col: str = "id") -> DataFrame:
+    """Long enough recent speeches of held-out speakers, as many of each group."""
+    _, test = speaker_split(df.where((F.col("year") >= first_year) & (F.length("text") > over_chars)), held_out)
+    return balanced_sample(test, per_group, seed, group_col, id_col)
+
+
+def argmax_accuracy(df: DataFrame, probs_col: str = "probs", label_col: str = "label") -> DataFrame:
+    """(n, accuracy) of the most probable labels, to calibrate a scorer on a balanced sample."""
+    return df.agg(F.count("*").alias("n"), F.avg((argmax_label(F.col(probs_col)) == F.col(label_col)).cast("double")).alias("accuracy"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,19 @@ def as_of(rows: DataFrame, captions: DataFrame, time_col: str = "year", caption_
     w = Window.orderBy(time_col, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     found = marked.unionByName(times).withColumn(value_col, F.last(value_col, ignorenulls=True).over(w)).where("_kind = 1").drop("_kind")
     return rows.join(found, time_col, "left")
+
+
+def nested(rates: DataFrame, outer: str, inner: str, value_col: str = "rate") -> DataFrame:
+    """(outer, values): the inner series of each outer key as a map, for JSON sinks."""
+    return rates.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner).cast("string"), value_col)))).alias("values"))
+
+
+def json_rows(df: DataFrame, digits: Mapping[str, int] | None = None) -> DataFrame:
+    """(json): each row as an object, numbers rounded as told, nulls kept."""
+    cols = [F.round(c, digits[c]).alias(c) if digits and c in digits else F.col(c) for c in df.columns]
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def two_decimals(c: Column) -> Column:
+    """Two decimals as text; what rounds to zero is 0 without a sign."""
+    return F.when(F.round(c, 2) == 0, "0").otherwise(F.format_string("%.2f", c))

@@ -103,6 +103,11 @@ def speaker_split(spark, sf):
     return train.select("id", F.lit("train").alias("part")).unionByName(test.select("id", F.lit("test").alias("part")))
 
 
+def benchmark_sample(spark, sf):
+    s = V.speeches(spark, sf)
+    return sampling.benchmark_sample(s, sampling.held_out_speakers(s, 0.5), 5).select("id", "party")
+
+
 def class_weights(spark, sf):
     return sampling.class_weights(V.speeches(spark, sf), "party").withColumn("weight", F.round("weight", 9))
 
@@ -179,7 +184,7 @@ def classifier(spark, sf):
     return sampling.metrics(scored, ["de", "en", "es", "fr"])
 
 
-QUERIES = {f.__name__: f for f in (dedup_first, dedup_report, upsert_merge, insert_if_absent, union_dedup_sources, replace_protocols, trim_archived, metadata_fallback, furniture_lines, parse_records, speaker_slug, date_range, balanced_sample, speaker_split, class_weights, confusion_matrix, confusion_macro_f1, profile_deviation, profile_reference, mix_delta, quality_checks, lost_probes, cost_per_1000, speaker_normalise, weekly_counts, user_sessions, capped_feed, classifier)}
+QUERIES = {f.__name__: f for f in (dedup_first, dedup_report, upsert_merge, insert_if_absent, union_dedup_sources, replace_protocols, trim_archived, metadata_fallback, furniture_lines, parse_records, speaker_slug, date_range, balanced_sample, speaker_split, benchmark_sample, class_weights, confusion_matrix, confusion_macro_f1, profile_deviation, profile_reference, mix_delta, quality_checks, lost_probes, cost_per_1000, speaker_normalise, weekly_counts, user_sessions, capped_feed, classifier)}
 
 _TWO = f"with {V.SPEECHES}, a as (select id, protocol_date, party, 'archive' as origin, cast(length(text) as int) as n from speeches), b as (select id, cast(protocol_date + 1 as date) as protocol_date, party, 'live' as origin, n + 1 as n from a)"
 _JUDGED = "with j as (select quality as label, cast(n_chars % 3 = 0 as int) as pred from labels join documents using (doc_id))"
@@ -211,6 +216,7 @@ select 'H' || conv_id || '_' || lower(speaker) || '_' || lower(party) as id, 'H'
     "date_range": f"with {V.SPEECHES} select id, protocol_date from speeches where protocol_date between date '2010-01-01' and date '2014-12-31'",
     "balanced_sample": f"with {V.SPEECHES} select id, party from (select id, party, row_number() over (partition by party order by md5('42:' || id), id) as k from speeches where party is not null) where k <= 20",
     "speaker_split": f"with {V.SPEECHES} select id, case when ('0x' || substring(md5('42:' || coalesce(speaker, 'Okänd')), 1, 8))::bigint / 4294967296.0 < 0.15 then 'test' else 'train' end as part from speeches",
+    "benchmark_sample": f"with {V.SPEECHES}, h as (select * from speeches where ('0x' || substring(md5('42:' || coalesce(speaker, 'Okänd')), 1, 8))::bigint / 4294967296.0 < 0.5 and year >= 2015 and length(text) > 200) select id, party from (select id, party, row_number() over (partition by party order by md5('42:' || id), id) as k from h where party is not null) where k <= 5",
     "class_weights": f"with {V.SPEECHES} select party, count(*) as n, round(1.0 / count(*)::double, 9) as weight from speeches group by party",
     "confusion_matrix": f"{_JUDGED} select label, pred, count(*) as n from j group by all",
     "confusion_macro_f1": f"""{_JUDGED} select count(*) as n, round(count(*) filter (where label = pred) / count(*), 6) as accuracy,

@@ -33,11 +33,11 @@ def test_ids_do_not_depend_on_earlier_speeches(spark):
 
 
 def test_furniture_and_protocol_text(spark):
-    lines = [("d", c, i, x) for c in range(4) for i, x in enumerate(["Prot. 2019/20:1", "Riksdagen i dag", "ord-", f"sak {c}", "12", "3 mars", "----", ""])]
+    lines = [("d", c, i, x) for c in range(4) for i, x in enumerate(["Prot. 2019/20:1", "Kammaren i dag", "ord-", f"sak {c}", "12", "3 mars", "----", ""])]
     df = spark.createDataFrame(lines, "doc string, column_no int, line_no int, line string")
-    assert {(r.line, r.n) for r in I.furniture_lines(df).collect()} >= {("Riksdagen i dag", 4), ("ord-", 4)}
+    assert {(r.line, r.n) for r in I.furniture_lines(df).collect()} >= {("Kammaren i dag", 4), ("ord-", 4)}
     few = df.where("column_no < 2")
-    assert I.protocol_text(few).first().text == "Riksdagen i dag ordsak 0 Riksdagen i dag ordsak 1"
+    assert I.protocol_text(few).first().text == "Kammaren i dag ordsak 0 Kammaren i dag ordsak 1"
 
 
 def test_page_columns(spark):
@@ -155,6 +155,20 @@ def test_metrics(spark):
     assert [r[0] for r in t.select(S.parse_party(F.col("t"), ["SD", "KD"], {"Kristdemokraterna": "KD"})).collect()] == ["SD", "KD", None, None]
 
 
+def test_calibration_and_json(spark):
+    p = spark.createDataFrame([({"S": 0.4, "M": 0.6}, "M"), ({"V": 1.0}, "S")], "probs map<string,double>, label string")
+    assert S.argmax_accuracy(p).first()[:] == (2, 0.5)
+    r = spark.createDataFrame([("S", 2020, 0.123456), ("S", 2021, None)], "party string, year int, rate double")
+    assert [x.json for x in series.json_rows(r, {"rate": 3}).collect()] == ['{"party":"S","year":2020,"rate":0.123}', '{"party":"S","year":2021,"rate":null}']
+    assert series.nested(r, "party", "year").first()["values"] == {"2020": 0.123456, "2021": None}
+    v = spark.createDataFrame([(-0.001,), (1.005,), (-2.5,)], "x double")
+    assert [x[0] for x in v.select(series.two_decimals(F.col("x"))).collect()][::2] == ["0", "-2.50"]
+    checks = spark.createDataFrame([("a", 0, True), ("b", 3, False)], "check string, failures int, ok boolean")
+    with pytest.raises(ValueError, match=r"b \(3\)"):
+        Q.require(checks)
+    Q.require(checks.where("ok"))
+
+
 def test_plan_of_generations(spark):
     d = lambda c, *v: spark.createDataFrame([(x,) for x in v], f"{c} {'int' if c == 'sample' else 'string'}")
     done = spark.createDataFrame([("m", "t", "k", 1)], "model string, topic string, kind string, sample int")
