@@ -3,15 +3,19 @@
 A text is the set of its word n-grams (lower case; a text of fewer words is one gram of all of them; a text without words
 has none and matches nothing).  All pairs of documents with a Jaccard similarity of at least `threshold` are found:
 
-1. A count sketch over all grams of all documents gives every gram a frequency class.  Its size follows the number of
-   documents.  (class, hash) is a total order with common grams last; the join is exact under any total order, the
-   sketch only keeps common grams out of prefixes.
-2. Each document keeps the first ``size - ceil(threshold * size) + 1`` grams in this order, its prefix: similar
-   documents share a gram of their prefixes.  Documents with equal prefix and size collapse into one group.
+1. A count sketch over all grams of all documents gives every gram a frequency class.  It has about a slot for each gram,
+   up to `SKETCH_MAX`: beyond that it tells grams whose share of all grams is large from the others.  (class, hash) is a
+   total order with common grams last; the join is exact under any total order, the sketch only keeps common grams out
+   of prefixes.
+2. Each document keeps the first ``size - ceil(threshold * size) + SHARED`` grams in this order, its prefix: similar
+   documents share at least `SHARED` grams of their prefixes (all that they share, if that is fewer).  Documents with
+   equal prefix and size collapse into one group.
 3. Postings of groups are sent to buckets of their grams as packed blocks.  Within a bucket, groups that share a gram
-   become a candidate pair if their sizes and the gram's positions still allow the threshold.
-4. Candidate group pairs are expanded to the distinct gram sets of the members, and verified on whole sets in blocks:
-   a pair belongs to a gram that both share, so the sets of a cluster are fetched once for many pairs.
+   meet if their sizes and the gram's positions still allow the threshold.  Pairs that meet often enough over all buckets are candidates.
+4. Candidate group pairs are expanded to the distinct gram sets of the members.  Parity bitmaps of about two bits a gram
+   bound a pair's difference from below, so pairs that merely share a gram go before any set is fetched.
+5. What is left is verified on whole sets in blocks: a pair belongs to a gram that both share, so the sets of a cluster are
+   fetched once for many pairs.
 
 No pair, posting or group is capped.  A gram shared by very many documents is split into blocks of `BLOCK_DOCS` a side.
 """
@@ -21,14 +25,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import collect_bloom, written
+from .support import collect_bloom, fresh, written
 
 N, THRESHOLD = 3, 0.6
-BUCKET_POSTINGS, BLOCK_DOCS = 4_000_000, 1024
+BUCKET_POSTINGS, PART_POSTINGS, BLOCK_DOCS = 2_000_000, 500_000, 256
+BROADCAST_ROWS = 2_000_000
+LOWER_ROWS = 512
+SKETCH_MAX = 1 << 24
+SHARED = 3
 _U = np.uint64
 _M40 = _U((1 << 40) - 1)
 _RAW = np.dtype([("lo", "<u4"), ("hi", "u1")])
@@ -59,7 +68,7 @@ def ordered_sets(column: pa.Array, n: int, classes: np.ndarray | None):
 
     A token is the 5-bit frequency class before 59 bits of the gram's hash.
     """
-    for lo, hi, data, off in tk.slices(pc.utf8_lower(column.cast(pa.large_string()))):
+    for lo, hi, data, off in lowered(column):
         row, g = grams(data, off, n)
         tok = g >> _U(5)
         if classes is not None and len(g):
@@ -72,34 +81,44 @@ def ordered_sets(column: pa.Array, n: int, classes: np.ndarray | None):
         yield lo, hi, row, tok
 
 
+def lowered(column: pa.Array):
+    """Slices of the lower-case texts; few rows are lowered at once, so large batches need no second copy."""
+    for at in range(0, len(column), LOWER_ROWS):
+        for lo, hi, data, off in tk.slices(pc.utf8_lower(column.slice(at, LOWER_ROWS).cast(pa.large_string()))):
+            yield at + lo, at + hi, data, off
+
+
 def slot(g: np.ndarray, width: int) -> np.ndarray:
     return (g >> _U(64 - (width.bit_length() - 1))).astype(np.int64)
 
 
 def sketch(docs: DataFrame, n: int, width: int, part: int = 1 << 15) -> np.ndarray:
-    """Frequency class (log2 of the sketched count, at most 31) for each of `width` hash slots."""
+    """Frequency class (log2 of the sketched count, at most 31) for each of `width` hash slots.
+
+    A task sends its counts in compressed parts, which are added up by part.
+    """
 
     def count(batches):
         acc = np.zeros(width, dtype=np.uint32)
         for b in batches:
-            for _, _, data, off in tk.slices(pc.utf8_lower(b.column(0).cast(pa.large_string()))):
-                row, g = grams(data, off, n)
-                at = slot(g, width)
-                acc += np.bincount(at, minlength=width).astype(np.uint32)
-        if acc.any():
-            kind = np.uint16 if acc.max() < 1 << 16 else np.uint32
-            for i in range(0, width, part):
-                yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int32()), pa.array([acc[i : i + part].astype(kind).tobytes()], pa.binary())], names=["part", "counts"])
+            for _, _, data, off in lowered(b.column(0)):
+                np.add.at(acc, slot(grams(data, off, n)[1], width), np.uint32(1))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for i in range(0, width, part):
+            x = acc[i : i + part]
+            if x.any():
+                kind = np.uint8 if x.max() < 1 << 8 else np.uint32
+                yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int32()), pa.array([kind().itemsize], pa.int32()), pa.array([pack(x.astype(kind).tobytes())], pa.binary())], names=["part", "bytes", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        acc = np.zeros(part, dtype=np.uint64)
-        for x in table["counts"]:
-            raw = x.as_py()
-            acc += np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * min(part, width) else np.uint32).astype(np.uint64)[:part] if len(raw) else 0
+        acc = np.zeros(min(part, width), dtype=np.uint64)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for size, x in zip(table["bytes"].to_pylist(), table["counts"]):
+            acc += np.frombuffer(unpack(x.as_py()), dtype=np.uint8 if size == 1 else np.uint32)
         cls = np.minimum(31, np.log2(np.maximum(acc, 1).astype(float)).astype(np.uint8))
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([cls.astype(np.uint8).tobytes()], pa.binary())})
 
-    got = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, classes binary").toArrow()
+    got = docs.select("text").mapInArrow(count, "part int, bytes int, counts binary").groupBy("part").applyInArrow(add, "part int, classes binary").toArrow()
     out = np.zeros(width, dtype=np.uint8)
     for k, x in zip(got["part"].to_pylist(), got["classes"].to_pylist()):
         out[k * part : (k + 1) * part] = np.frombuffer(x, dtype=np.uint8)
@@ -107,7 +126,7 @@ def sketch(docs: DataFrame, n: int, width: int, part: int = 1 << 15) -> np.ndarr
 
 
 def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
-    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    return np.minimum(size, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + SHARED)
 
 
 def _packed(tok: np.ndarray) -> np.ndarray:
@@ -118,8 +137,29 @@ def _packed(tok: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bitmaps(h: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A parity bit for each of 2 to 4 slots a gram: the XOR of two sets' bitmaps has at most a bit for each gram of one set alone."""
+    bits = 1 << np.maximum(8, np.ceil(np.log2(2.0 * size)).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    at = (h & np.repeat(bits - 1, size).astype(_U)).astype(np.int64) + np.repeat(base, size)
+    raw = np.packbits(np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1, bitorder="little")
+    ends = (np.concatenate((base, [bits.sum()])) // 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference; the larger bitmap is folded to the smaller one."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), len(a) * 8
+    while n > len(b) * 8:
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def signatures(docs: DataFrame, n: int, threshold: float, classes) -> DataFrame:
-    """(doc_id, size, psig, ssig, prefix) of documents with grams."""
+    """(doc_id, size, psig, ssig, prefix, bits) of documents with grams."""
 
     def run(batches):
         for b in batches:
@@ -137,9 +177,19 @@ def signatures(docs: DataFrame, n: int, threshold: float, classes) -> DataFrame:
                 raw = _packed(tok[short]).view(np.uint8).reshape(-1)
                 ends = np.concatenate(([0], np.cumsum(keep))) * 5
                 blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at] + lo)), pa.array(size.astype(np.int32)), pa.array(psig.view(np.int64)), pa.array(ssig.view(np.int64)), blob], names=["doc_id", "size", "psig", "ssig", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at] + lo)), pa.array(size.astype(np.int32)), pa.array(psig.view(np.int64)), pa.array(ssig.view(np.int64)), blob, _bitmaps(tk.mix(mixed), size)], names=["doc_id", "size", "psig", "ssig", "prefix", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, size int, psig long, ssig long, prefix binary, bits binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, size int, psig long, ssig long, prefix binary")
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: high ones are mostly equal, so shuffle compression takes them."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplaned(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _blocks(n_buckets: int):
@@ -147,82 +197,116 @@ def _blocks(n_buckets: int):
         for b in batches:
             if not b.num_rows:
                 continue
+            b = b.take(pc.sort_indices(b.column(0)))
             gid, size = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             data, off = tk.string_buffers(b.column(2))
             count = np.diff(off) // 5
             raw = np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_RAW)
-            tok = raw["lo"].astype(np.int64) | (raw["hi"].astype(np.int64) << 32)
-            doc = np.repeat(np.arange(len(count)), count)
-            pos = np.arange(len(tok)) - np.repeat(np.cumsum(count) - count, count)
-            bucket = tok % n_buckets
+            bucket = ((raw["lo"].astype(np.int64) | (raw["hi"].astype(np.int64) << 32)) % n_buckets).astype(np.int32)
+            doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
+            pos = np.minimum(np.arange(len(raw)) - np.repeat(np.cumsum(count) - count, count), 65535).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for k in range(n_buckets):
                 at = order[edge[k] : edge[k + 1]]
                 if len(at):
-                    who, local = np.unique(doc[at], return_inverse=True)
-                    cols = [np.array([k], np.int32), raw[at].tobytes(), local.astype(np.uint16 if len(who) <= 1 << 16 else np.uint32).tobytes(), np.minimum(pos[at], 65535).astype(np.uint16).tobytes(), gid[who].astype(np.int64).tobytes(), size[who].astype(np.int32).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *[pa.array([c], pa.binary()) for c in cols[1:]]], names=["bucket", "tok", "doc", "pos", "gid", "size"])
+                    cols = [raw[at].tobytes(), _planes(pos[at]), _planes(gid[doc[at]].astype(np.int64)), _planes(size[doc[at]].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names=["bucket", "tok", "pos", "gid", "size"])
 
     return run
 
 
 def _candidates(threshold: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tok, gid, size, pos = [], [], [], []
-        for r in zip(*(table[c].to_pylist() for c in ("tok", "doc", "pos", "gid", "size"))):
-            raw = np.frombuffer(r[0], dtype=_RAW)
-            local = np.frombuffer(r[1], dtype=np.uint16 if len(r[1]) == 2 * len(raw) else np.uint32)
-            tok.append(raw["lo"].astype(np.int64) | (raw["hi"].astype(np.int64) << 32))
-            pos.append(np.frombuffer(r[2], dtype=np.uint16).astype(np.int32))
-            gid.append(np.frombuffer(r[3], dtype=np.int64)[local])
-            size.append(np.frombuffer(r[4], dtype=np.int32)[local])
-        tok, gid, size, pos = map(np.concatenate, (tok, gid, size, pos))
-        order = np.argsort(tok, kind="stable")
-        t = tok[order]
-        same = np.concatenate(([False], t[1:] == t[:-1], [False]))
-        order = order[same[:-1] | same[1:]]  # grams that at least two groups have
-        order = order[np.lexsort((size[order], tok[order]))]
-        tok, gid, size, pos = tok[order], gid[order], size[order].astype(np.int64), pos[order].astype(np.int64)
-        head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, dtype=np.int64)
-        nth = np.arange(len(tok)) - np.repeat(head, np.diff(np.concatenate((head, [len(tok)]))))
+        packed = [[x.as_buffer() for x in table[c]] for c in ("tok", "gid", "size", "pos")]
+        parts = -(-sum(x.size for x in packed[0]) // 5 // PART_POSTINGS) or 1
+
+        def unpacked(p: int):
+            """tok, gid, size and pos of one part of the grams; only the packed form of all parts is held."""
+            cols: tuple[list, ...] = ([], [], [], [])
+            for raws in zip(*packed):
+                raw = np.frombuffer(raws[0], dtype=_RAW)
+                t = raw["lo"].astype(np.int64) | (raw["hi"].astype(np.int64) << 32)
+                at = np.flatnonzero(tk.mix(t.view(_U)) % _U(parts) == p)
+                for col, v in zip(cols, (t, *(_unplaned(x, kind) for x, kind in zip(raws[1:], (np.int64, np.int32, np.uint16))))):
+                    col.append(v[at])
+            return map(np.concatenate, cols)
+
         found: list[tuple[np.ndarray, ...]] = []
-        held = 0
+        held, room_for = 0, 1_000_000
 
         def squeeze() -> None:
             nonlocal found
-            a, b, k = (np.concatenate(x) for x in zip(*found))
+            a, b, k, m, need = (np.concatenate(x) for x in zip(*found))
             o = np.lexsort((k, b, a))
-            a, b, k = a[o], b[o], k[o]
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            found = [(a[new], b[new], k[new])]
-
-        i, d = np.arange(len(tok)), 1
-        while True:
-            i = i[i + d < len(tok)]
-            i = i[(tok[i] == tok[i + d]) & (size[i] >= threshold * size[i + d] - 1e-9)]  # sizes rise within a gram
-            if not len(i):
-                break
-            j = i + d
-            room = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
-            # a clipped position is no bound
-            ok = (room >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9) | (pos[i] == 65535) | (pos[j] == 65535)
-            x, y = i[ok], j[ok]
-            part = nth[x] // BLOCK_DOCS * 1_000_003 + nth[y] // BLOCK_DOCS
-            found.append((np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y]), (tok[x] * 31 + part) & 0x7FFFFFFFFFFFFFFF))
-            held += len(x)
-            if held > 4_000_000:
-                squeeze()
-                held = len(found[0][0])
-            d += 1
+            a, b = a[o], b[o]
+            at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            found = [(a[at], b[at], k[o][at], np.add.reduceat(m[o], at), need[o][at])]
+
+        for p in range(parts):
+            tok, gid, size, pos = unpacked(p)
+            order = np.argsort(tok, kind="stable")
+            t = tok[order]
+            same = np.concatenate(([False], t[1:] == t[:-1], [False]))
+            order = order[same[:-1] | same[1:]]  # grams that at least two groups have
+            order = order[np.lexsort((size[order], tok[order]))]
+            tok, gid, size, pos = tok[order], gid[order], size[order].astype(np.int64), pos[order].astype(np.int64)
+            head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, dtype=np.int64)
+            nth = np.arange(len(tok)) - np.repeat(head, np.diff(np.concatenate((head, [len(tok)]))))
+            i, d = np.arange(len(tok)), 1
+            while True:
+                i = i[i + d < len(tok)]
+                i = i[(tok[i] == tok[i + d]) & (size[i] >= threshold * size[i + d] - 1e-9)]  # sizes rise within a gram
+                if not len(i):
+                    break
+                j = i + d
+                room = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+                # a clipped position is no bound
+                ok = (room >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9) | (pos[i] == 65535) | (pos[j] == 65535)
+                ok &= gid[i] != gid[j]
+                x, y = i[ok], j[ok]
+                part = nth[x] // BLOCK_DOCS * 1_000_003 + nth[y] // BLOCK_DOCS
+                need = np.minimum(SHARED, np.ceil(threshold * size[y] - 1e-9)).astype(np.int32)
+                found.append((np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y]), (tok[x] * 31 + part) & 0x7FFFFFFFFFFFFFFF, np.ones(len(x), dtype=np.int32), need))
+                held += len(x)
+                if held > room_for:
+                    squeeze()
+                    held = len(found[0][0])
+                    room_for = max(1_000_000, 2 * held)
+                d += 1
         if found:
             squeeze()
-        a, b, k = found[0] if found else [np.zeros(0, dtype=np.int64)] * 3
-        return pa.table({"ga": pa.array(a, pa.int64()), "gb": pa.array(b, pa.int64()), "k": pa.array(k, pa.int64())})
+        cols = found[0] if found else [np.zeros(0, dtype=np.int64)] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table({n: pa.array(c.astype(t.to_pandas_dtype()), t) for n, c, t in zip(("ga", "gb", "k", "m", "need"), cols, kinds)})
 
     return run
 
 
+def _likely(threshold: float):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(left["doc"].to_pylist(), zip(left["size"].to_pylist(), left["bits"].to_pylist())))
+        keep = []
+        for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist()):
+            (n, x), (m, y) = held[a], held[b]
+            keep.append(least_difference(x, y) <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-6)
+        return right.select(["a", "b", "k"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _blocked(pairs: DataFrame, n_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs with a block chosen by their gram, and the documents (block, doc) that each block needs."""
+    blocks = int(max(12, -(-n_pairs // 20_000)))
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    return pairs.select(F.col("block").alias("pair_block"), "a", "b", "k"), pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
+
+
+def _small(places: DataFrame) -> DataFrame:
+    """With a broadcast hint up to `BROADCAST_ROWS` rows, counted first: then sets go to their blocks in one shuffle instead of two."""
+    return F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+
+
 def _verify(threshold: float):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {d: np.frombuffer(x, dtype=_U) for d, x in zip(left["doc"].to_pylist(), left["grams"].to_pylist())}
@@ -244,7 +328,7 @@ def _verify(threshold: float):
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int, classes) -> DataFrame:
-    """(doc, grams) for the documents of `ids` (doc): a Bloom filter before the exact join keeps other sets from moving."""
+    """(doc, grams) for the documents of `ids` (doc) and few others: a Bloom filter keeps most from moving before the exact join."""
     hashed = ids.select(F.xxhash64("doc").alias("h"))
     bloom = collect_bloom(hashed, "h", hashed.count())
     held = docs.sparkSession.sparkContext.broadcast(bloom)
@@ -262,8 +346,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, classes) -> DataFrame:
                     blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(tok.tobytes())])
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at] + lo)), blob], names=["doc", "grams"])
 
-    got = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc long, grams binary")
-    return got.join(ids, "doc")
+    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc long, grams binary")
 
 
 def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -276,20 +359,20 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
         raise ValueError("need 0 < threshold <= 1 and n >= 1")
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    total = d.select(F.count("*"), F.count_distinct("doc_id")).first()
+    total = d.select(F.count("*"), F.count_distinct("doc_id"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     if total[0] != total[1]:
         d = d.groupBy("doc_id").agg(F.max("text").alias("text"))
     width = 1 << 16
-    while width < total[0] * 8 and width < 1 << 24:
+    while width < total[2] // 6 and width < SKETCH_MAX:  # about a slot for each gram
         width *= 2
     held = spark.sparkContext.broadcast(sketch(d, n, width))
     rows = signatures(d, n, threshold, held)
     groups = rows.groupBy("psig", "size").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")).select("gid", "size", "prefix")
-    sigs = written(rows.select("doc_id", "size", "psig", "ssig"), "signatures")
+    sigs = written(rows.select("doc_id", "size", "psig", "ssig", "bits"), "signatures")
     sizes = sigs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_buckets = int(max(12, -(-sizes * (1 - threshold) // BUCKET_POSTINGS)))
-    cand = groups.mapInArrow(_blocks(n_buckets), "bucket int, tok binary, doc binary, pos binary, gid binary, size binary").groupBy("bucket").applyInArrow(_candidates(threshold), "ga long, gb long, k long")
-    cand = cand.groupBy("ga", "gb").agg(F.min("k").alias("k"))
+    cand = groups.mapInArrow(_blocks(n_buckets), "bucket int, tok binary, pos binary, gid binary, size binary").groupBy("bucket").applyInArrow(_candidates(threshold), "ga long, gb long, k long, m int, need int")
+    cand = cand.groupBy("ga", "gb").agg(F.min("k").alias("k"), F.sum("m").alias("m"), F.max("need").alias("need")).where("m >= need").select("ga", "gb", "k")
     reps = sigs.groupBy("psig", "size", "ssig").agg(F.min("doc_id").alias("rep"))
     of_group = reps.groupBy("psig", "size").agg(F.min("rep").alias("gid"), F.collect_set("rep").alias("members"))
     members = of_group.select("gid", "members")
@@ -297,13 +380,13 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     between = between.select("k", F.explode("ma").alias("a"), "mb").select("k", "a", F.explode("mb").alias("b"))
     within = members.where(F.size("members") > 1).select(F.xxhash64("gid").alias("k"), F.explode("members").alias("a"), "members").select("k", "a", F.explode("members").alias("b")).where("a < b")
     pairs = written(between.select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within), "candidates")
-    n_pairs = pairs.count()
-    blocks = int(max(12, -(-n_pairs // 20_000)))
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).drop("k")
-    places = pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
+    right, places = _blocked(pairs, pairs.count())
+    bits = sigs.select(F.col("doc_id").alias("doc"), "size", "bits").join(_small(places), "doc").select("block", "doc", "size", "bits")
+    likely = bits.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_likely(threshold), "a long, b long, k long")
+    pairs = written(likely, "likely")
+    right, places = _blocked(pairs, pairs.count())
     sets = _sets(d, places.select("doc").distinct(), n, held)
-    left = places.join(sets, "doc").select("block", "doc", "grams")
-    right = pairs.select(F.col("block").alias("pair_block"), "a", "b")
+    left = sets.join(_small(places), "doc").select("block", "doc", "grams")
     found = left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
     classes = sigs.join(reps, ["psig", "size", "ssig"]).select("doc_id", "rep")
     return classes, written(found, "pairs")
@@ -349,8 +432,9 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
     classes, pairs = classes_and_pairs(docs, n, threshold, id_col, text_col)
     roots = components(pairs)
     gone = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").where(F.coalesce("root", "rep") != F.col("doc_id"))
-    gone = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = written(gone.select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 SQL = r"""
