@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import collect_bloom, fresh, written
+from .support import collect_bloom, fresh, give_back, written
 
 N, THRESHOLD = 3, 0.6
 BUCKET_POSTINGS, PART_POSTINGS, BLOCK_DOCS = 2_000_000, 500_000, 256
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, HELD_PAIRS = 2_000_000, 250_000
 LOWER_ROWS = 512
 SKETCH_MAX = 1 << 24
 SHARED = 3
@@ -86,6 +86,7 @@ def lowered(column: pa.Array):
     for at in range(0, len(column), LOWER_ROWS):
         for lo, hi, data, off in tk.slices(pc.utf8_lower(column.slice(at, LOWER_ROWS).cast(pa.large_string()))):
             yield at + lo, at + hi, data, off
+    give_back()
 
 
 def slot(g: np.ndarray, width: int) -> np.ndarray:
@@ -233,7 +234,7 @@ def _candidates(threshold: float):
             return map(np.concatenate, cols)
 
         found: list[tuple[np.ndarray, ...]] = []
-        held, room_for = 0, 1_000_000
+        held, room_for = 0, HELD_PAIRS
 
         def squeeze() -> None:
             nonlocal found
@@ -272,11 +273,13 @@ def _candidates(threshold: float):
                 if held > room_for:
                     squeeze()
                     held = len(found[0][0])
-                    room_for = max(1_000_000, 2 * held)
+                    room_for = max(HELD_PAIRS, 2 * held)
                 d += 1
         if found:
             squeeze()
         cols = found[0] if found else [np.zeros(0, dtype=np.int64)] * 5
+        found = []
+        give_back()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.table({n: pa.array(c.astype(t.to_pandas_dtype()), t) for n, c, t in zip(("ga", "gb", "k", "m", "need"), cols, kinds)})
 

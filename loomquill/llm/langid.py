@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import stratified
+from .support import give_back, stratified
 
 BLOCK, LONGEST, FLOOR = 40, 16, 1e-6
 SLICE = 1 << 20
@@ -256,7 +256,9 @@ def scorer(docs: DataFrame, model: Model):
 
     @F.arrow_udf(SCHEMA)
     def run(text: pa.Array) -> pa.Array:
-        return score_texts(text, held.value)
+        out = score_texts(text, held.value)
+        give_back()
+        return out
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import stratified
+from .support import give_back, stratified
 
 BITS = 18
 SCHEMA = "n_tokens int, score double, expected_toxic double, toxic boolean, spans array<struct<start:int,end:int,score:double>>"
@@ -58,13 +58,17 @@ def features(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     head, tail = _packed(low, s, e, 8, False), _packed(low, s, e, 8, True)
     n = (e - s).astype(np.uint64)
     caps = (data[s] != low[s]).astype(np.uint64) + (data[e - 1] != low[e - 1]).astype(np.uint64) * np.uint64(2) if len(s) else n
-    raw = [tk.mix(head ^ (tail * _MULT[1]) ^ n)]
-    raw += [head & np.uint64((1 << (8 * k)) - 1) for k in (3, 4, 5, 6)]
-    raw += [tail & np.uint64((1 << (8 * k)) - 1) for k in (3, 4)]
-    raw += [caps * np.uint64(64) + np.minimum(n, np.uint64(24))]
     out = np.empty((8, len(s)), dtype=np.int32)
-    for i, x in enumerate(raw):
+
+    def put(i: int, x: np.ndarray) -> None:  # one at a time: a list of all would take 64 bytes a token
         out[i] = ((tk.mix(x + _MULT[i])) >> np.uint64(64 - BITS)).astype(np.int32)
+
+    put(0, tk.mix(head ^ (tail * _MULT[1]) ^ n))
+    for i, k in enumerate((3, 4, 5, 6), 1):
+        put(i, head & np.uint64((1 << (8 * k)) - 1))
+    for i, k in enumerate((3, 4), 5):
+        put(i, tail & np.uint64((1 << (8 * k)) - 1))
+    put(7, caps * np.uint64(64) + np.minimum(n, np.uint64(24)))
     return out
 
 
@@ -124,13 +128,13 @@ def distant_labels(texts: list[str], toxic: np.ndarray, min_support: int = 6, mi
     low = tk.lower_latin(data)
     head, n = _packed(low, s, e, 8, False), e - s
     tail = _packed(low, s, e, 8, True)
-    kinds = [(tk.mix(head ^ (tail * _MULT[1]) ^ n.astype(np.uint64)), n >= 3)]
-    kinds += [(head & np.uint64((1 << (8 * k)) - 1), n > k) for k in (4, 5, 6)]
     n_tox = max(1, int(labels.sum()))
     n_clean = max(1, len(labels) - n_tox)
     y = np.zeros(len(s), dtype=bool)
-    for value, ok in kinds:
+    for k in (8, 4, 5, 6):
+        value, ok = (tk.mix(head ^ (tail * _MULT[1]) ^ n.astype(np.uint64)), n >= 3) if k == 8 else (head & np.uint64((1 << (8 * k)) - 1), n > k)
         keys, inv = np.unique(value[ok], return_inverse=True)
+        del value
         pair = np.unique(inv.astype(np.int64) * (len(labels) + 1) + row[ok])
         key, doc = pair // (len(labels) + 1), pair % (len(labels) + 1)
         t = np.bincount(key, weights=labels[doc], minlength=len(keys))
@@ -232,7 +236,9 @@ def scorer(docs: DataFrame, crf: Crf, threshold: float = 0.5):
 
     @F.arrow_udf(SCHEMA)
     def run(text: pa.Array) -> pa.Array:
-        return score_texts(text, held.value, threshold)
+        out = score_texts(text, held.value, threshold)
+        give_back()
+        return out
 
     return run
 
