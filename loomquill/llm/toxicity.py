@@ -3,8 +3,8 @@
 The field has two labels (0 clean, 1 toxic) over the words of a sentence.  A word's potential is a sum of hashed
 features (the word, its first 3 to 6 and last 3 and 4 bytes, its shape); neighbours share a 2 x 2 potential.
 Tokens for training are labelled from the document labels: in a bounded, hash-chosen sample of labelled documents
-a word is toxic if the word itself or one of its beginnings of 4 to 6 bytes occurs in enough toxic documents
-and (nearly) never in clean ones.  The field then generalises over these features.  Forward-backward gives each
+a word is toxic if the word itself or one of its beginnings of 4 to 6 bytes occurs in toxic documents more often than
+chance explains and (nearly) never in clean ones.  The field then generalises over these features.  Forward-backward gives each
 word its marginal probability; a document's score is its largest marginal, its `expected_toxic` the sum of the
 marginals, and runs of words at or over the threshold are the offending character offsets.
 
@@ -117,8 +117,54 @@ def marginals(em: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(a + b, -40, 40)))
 
 
-def distant_labels(texts: list[str], toxic: np.ndarray, min_support: int = 6, min_share: float = 0.02, precision: float = 0.9) -> tuple[np.ndarray, ...]:
-    """Bytes, offsets, words and 0/1 labels of the words of the sample (exact copies of a text count once)."""
+def _beyond_chance(t: np.ndarray, c: np.ndarray, share: float, level: float) -> np.ndarray:
+    """Which of the keys in t toxic and c clean documents are no accident, where a document is toxic with probability `share`.
+
+    Of the keys found, a share of about `level` at most is there by chance (Benjamini and Hochberg).  P(t or more of t + c
+    toxic) is bounded by C(t + c, c) * share ** t.
+    """
+    log_p = t * np.log(share) + c * (1 + np.log((t + c) / np.maximum(c, 1)))
+    order = np.sort(log_p)
+    passed = np.flatnonzero(order <= np.log(level * np.arange(1, len(order) + 1) / max(1, len(order))))
+    return log_p <= order[passed[-1]] if len(passed) else np.zeros(len(t), dtype=bool)
+
+
+def families(word: np.ndarray, row: np.ndarray, n: int, bands: int = 24) -> np.ndarray:
+    """A number for each of `n` documents, the same for near copies: those that meet in a band of three MinHash values of word 3-grams.
+
+    `word` holds word hashes, `row` their documents in order.  Documents linked through others share a number.
+    """
+    out = np.arange(n)
+    if not len(word):
+        return out
+    gram = word.copy()
+    for k in (1, 2):
+        same = row[k:] == row[:-k]
+        gram[:-k] = tk.mix(gram[:-k] + np.where(same, word[k:], np.uint64(0)) * _MULT[k])
+    head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    docs = row[head]
+    groups, salt = [], np.arange(1, 3 * bands + 1, dtype=np.uint64) * _MULT[0]
+    for b in range(bands):
+        key = np.zeros(len(head), dtype=np.uint64)
+        for k in range(3):
+            key = tk.mix(key + np.minimum.reduceat(tk.mix(gram + salt[3 * b + k]), head))
+        groups.append(np.unique(key, return_inverse=True)[1])
+    while True:
+        before = out.copy()
+        for g in groups:
+            least = np.full(g.max() + 1, n)
+            np.minimum.at(least, g, out[docs])
+            out[docs] = least[g]
+        if (out == before).all():
+            return out
+
+
+def distant_labels(texts: list[str], toxic: np.ndarray, min_support: int = 6, level: float = 0.01, precision: float = 0.9) -> tuple[np.ndarray, ...]:
+    """Bytes, offsets, words and 0/1 labels of the words of the sample (exact copies of a text count once).
+
+    How many toxic documents a marker needs depends on chance alone, not on their number, so larger samples find rarer ones.
+    Near copies share their label and all their words; against chance a family of them counts as one document.
+    """
     seen: dict[str, int] = {}
     for t, y in zip(texts, toxic):
         seen[t] = max(seen.get(t, 0), int(y))
@@ -130,7 +176,12 @@ def distant_labels(texts: list[str], toxic: np.ndarray, min_support: int = 6, mi
     tail = _packed(low, s, e, 8, True)
     n_tox = max(1, int(labels.sum()))
     n_clean = max(1, len(labels) - n_tox)
+    kin = families(tk.mix(head ^ (tail * _MULT[1]) ^ n.astype(np.uint64)), row, len(labels))
+    toxic_kin, clean_kin = np.unique(kin[labels == 1]), np.unique(kin[labels == 0])
+    share = len(toxic_kin) / max(1, len(toxic_kin) + len(clean_kin))
     y = np.zeros(len(s), dtype=bool)
+    if not labels.any():
+        return data, off, s, e, row, first, y
     for k in (8, 4, 5, 6):
         value, ok = (tk.mix(head ^ (tail * _MULT[1]) ^ n.astype(np.uint64)), n >= 3) if k == 8 else (head & np.uint64((1 << (8 * k)) - 1), n > k)
         keys, inv = np.unique(value[ok], return_inverse=True)
@@ -140,7 +191,13 @@ def distant_labels(texts: list[str], toxic: np.ndarray, min_support: int = 6, mi
         t = np.bincount(key, weights=labels[doc], minlength=len(keys))
         c = np.bincount(key, weights=1 - labels[doc], minlength=len(keys))
         rt, rc = t / n_tox, c / n_clean
-        good = (t >= max(min_support, min_share * n_tox)) & (rt / np.maximum(rt + rc, 1e-12) >= precision) & (c <= 0.02 * t)
+        good = (t >= min_support) & (rt / np.maximum(rt + rc, 1e-12) >= precision) & (c <= 0.02 * t)
+        lone = np.unique((key * (len(labels) + 1) + kin[doc]) * 2 + labels[doc])
+        at, toxic_one = lone // 2 // (len(labels) + 1), lone % 2
+        t, c = np.bincount(at, weights=toxic_one, minlength=len(keys)), np.bincount(at, weights=1 - toxic_one, minlength=len(keys))
+        often = t + c >= min_support
+        good &= often
+        good[often] &= _beyond_chance(t[often], c[often], share, level)
         y[np.flatnonzero(ok)[good[inv]]] = True
     return data, off, s, e, row, first, y
 

@@ -79,3 +79,44 @@ def test_without_labels_nothing_is_toxic(spark, make):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     crf = X.fit(make([(1, "a b")]), none)
     assert not X.toxic_spans(make([(1, "a b")]), crf).first().toxic
+
+
+def invented(gen, n):
+    return ["".join(chr(97 + c) for c in gen.integers(0, 26, 8)) for _ in range(n)]
+
+
+def marked(texts, toxic):
+    data, _, s, e, _, _, y = X.distant_labels(texts, np.array(toxic))
+    return {bytes(data[a:b]).decode() for a, b, hit in zip(s, e, y) if hit}
+
+
+def test_a_marker_in_one_percent_of_many_toxic_documents_is_labelled():
+    gen = np.random.default_rng(5)
+    common = invented(gen, 300)
+    text = lambda *more: " ".join([*gen.choice(common, 30), *more])
+    texts = [text("loudmarker") for _ in range(1980)] + [text("raremarker") for _ in range(20)] + [text() for _ in range(2000)]
+    assert marked(texts, [1] * 2000 + [0] * 2000) == {"loudmarker", "raremarker"}
+
+
+def test_words_of_near_copies_and_of_few_documents_are_no_markers():
+    gen = np.random.default_rng(6)
+    common, own = invented(gen, 300), invented(gen, 60)
+    copies = []
+    for _ in range(40):
+        t = list(own)
+        t[gen.integers(0, 60)] = str(gen.choice(common))
+        copies.append(" ".join(t))
+    rest = [" ".join([*gen.choice(common, 30), "sixtimes"][: 31 if k < 6 else 30]) for k in range(200)]
+    assert marked(copies + rest, [1] * 240) == set()
+    clean = [" ".join(gen.choice(common, 30)) for _ in range(200)]
+    assert marked(copies + rest + clean, [1] * 240 + [0] * 200) == set()
+
+
+def test_spanish_markers_of_a_real_sample_are_labelled(spark):
+    labels = table(spark, SF1, "labels").where("toxic is not null").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "y")
+    rows = table(spark, SF1, "documents").join(labels, "doc_id").select("text", "y", "lang").toPandas().drop_duplicates("text")
+    data, _, s, e, row, _, y = X.distant_labels(rows.text.tolist(), rows.y.to_numpy())
+    hit = np.zeros(len(rows), dtype=bool)
+    hit[row[y]] = True
+    toxic = rows.y.to_numpy() == 1
+    assert hit[toxic & (rows.lang == "es").to_numpy()].sum() >= 25 and not hit[~toxic].any()
