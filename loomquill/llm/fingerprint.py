@@ -21,13 +21,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .support import written
 
-SIZES = (64, 256, 1024)
+#: Least, normal and largest bytes of a chunk, and the bytes that decide on a cut: short, as an edited word spoils its chunk and the window after it.
+SIZES = (16, 16, 64, 8)
 THRESHOLD = 0.5
 WEIGHT_BITS = 11
 _MASK = (1 << WEIGHT_BITS) - 1
@@ -43,7 +44,7 @@ def chunk_tokens(raw: bytes, begin: int, cuts: np.ndarray) -> np.ndarray:
     return np.unique(((h >> np.uint64(WEIGHT_BITS)) << np.uint64(WEIGHT_BITS)) | size)
 
 
-def fingerprints(docs: DataFrame, sizes: tuple[int, int, int] = SIZES) -> DataFrame:
+def fingerprints(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """(doc_id, sig, total, tokens) of every (doc_id, text) with at least one byte."""
     if sizes[2] + 4 > _MASK:
         raise ValueError(f"chunks of up to {sizes[2]} bytes don't fit a token")
@@ -117,7 +118,7 @@ def _verify(threshold: float):
     return run
 
 
-def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, int, int] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(docs_a, docs_b, containment): every document of docs_a is contained to that degree in every other one of docs_b.
 
     Lists are sorted and hold all documents of one fingerprint; a fingerprint that several documents share is also a
@@ -133,8 +134,8 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int,
     rows = written(fingerprints(d, sizes), "fingerprints")
     classes = written(rows.groupBy("sig", "total").agg(F.min("doc_id").alias("doc"), F.array_sort(F.collect_list("doc_id")).alias("docs")), "fingerprint-classes")
     reps = rows.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "total", F.explode("tokens").alias("token"))
-    df = reps.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = written(reps.join(df, "token").groupBy("doc", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")), "shared-chunks")
+    counted = reps.withColumn("df", F.count("*").over(Window.partitionBy("token")).cast("int")).where("df > 1")  # one shuffle; a join of counts takes two
+    shared = written(counted.groupBy("doc", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")), "shared-chunks")
     prefix = shared.mapInArrow(_prefixes(threshold), "a long, total_a long, token long")
     postings = shared.select(F.col("doc").alias("b"), F.col("total").alias("total_b"), F.explode("tokens").alias("token"))
     met = prefix.join(postings, "token").where((F.col("a") != F.col("b")) & (F.col("total_b") >= threshold * F.col("total_a") - 1e-6))

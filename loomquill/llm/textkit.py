@@ -141,17 +141,17 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cdc_cuts(data: np.ndarray, off: np.ndarray, least: int, normal: int, most: int) -> list[np.ndarray]:
+def cdc_cuts(data: np.ndarray, off: np.ndarray, least: int, normal: int, most: int, window: int = WINDOW) -> list[np.ndarray]:
     """Ends of the normalised content-defined chunks of each document of a slice.
 
     A cut needs more zero bits before the `normal` size than after it, which narrows the spread of sizes.  Cuts
     are moved to the next character border.  As `least` is at least the hash window, a cut depends on nothing but
-    the bytes of its own document.  An empty document has no chunk.
+    the bytes of its own document; on the last `window` of them, for the hash's higher bits are dropped.  An empty document has no chunk.
     """
-    if least < WINDOW or not least <= normal <= most:
-        raise ValueError("chunk sizes need 32 <= least <= normal <= most")
-    bits = max(1, int(np.log2(normal)))
-    h = gear(data)
+    bits = max(1, int(np.log2(max(1, normal))))
+    if not bits + 1 <= window <= WINDOW or not window <= least <= normal <= most:
+        raise ValueError(f"chunk sizes need window <= least <= normal <= most, and a window of {bits + 1} to {WINDOW}")
+    h = gear(data) << np.uint32(WINDOW - window)
     top = h >> np.uint32(32 - min(31, bits + 1))
     weak = np.flatnonzero(top < 4)  # bits - 1 leading zeros
     strong = top[weak] == 0  # bits + 1 leading zeros

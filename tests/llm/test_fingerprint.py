@@ -71,3 +71,38 @@ def test_many_copies_and_a_popular_passage(make, rng):
     passage = " ".join(str(rng.random()) for _ in range(60))
     rows = [(i, passage + f" own {i % 3}") for i in range(900)] + [(1000 + i, passage + " ".join(str(rng.random()) for _ in range(200))) for i in range(60)]
     assert pairs_of(P.containment(make(rows)).collect()) == brute(rows, P.THRESHOLD)
+
+
+def near_copies(rows, least):
+    """Unordered pairs of different texts whose sets of word 3-grams have at least that Jaccard similarity."""
+    sets = {i: set(zip(w, w[1:], w[2:])) for i, t in rows for w in [t.split()]}
+    at: dict = {}
+    for i, s in sets.items():
+        for g in s:
+            at.setdefault(g, []).append(i)
+    met = {(a, b) for p in at.values() if len(p) <= 60 for a in p for b in p if a < b}
+    return {(a, b) for a, b in met if least <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 1}
+
+
+def test_near_copies_with_scattered_edits_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").dropDuplicates(["doc_id"])
+    got = pairs_of(P.containment(docs).collect())
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for least, share in ((0.6, 0.95), (0.8, 1.0)):
+        want = near_copies(rows, least)
+        found = {(a, b) for a, b in want if (a, b) in got or (b, a) in got}
+        assert len(want) > 30 and len(found) >= share * len(want), least
+
+
+def test_short_texts_with_a_word_changed_in_twenty_are_found(make, rng):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(40):
+        t = [word() for _ in range(60)]
+        rows.append((2 * k, " ".join(t)))
+        for at in range(rng.randrange(20), 60, 20):
+            t[at] = word()
+        rows.append((2 * k + 1, " ".join(t)))
+    got = pairs_of(P.containment(make(rows)).collect())
+    assert sum((2 * k, 2 * k + 1) in got or (2 * k + 1, 2 * k) in got for k in range(40)) >= 34
+    assert all(a // 2 == b // 2 for a, b in got)
