@@ -16,12 +16,12 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chunkstore as cs
 from . import textkit as tk
-from .support import written
+from .support import give_back, written
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SIZES = (128, 512, 2048)
@@ -188,6 +188,19 @@ def encode(docs: DataFrame, ranks_file: str, sizes: cs.Sizes = SIZES, id_col: st
     return direct.unionByName(joined.mapInArrow(repair, SCHEMA))
 
 
+def token_count(text: Column, ranks_file: str) -> Column:
+    """Number of tokens of each whole text; 0 for a null."""
+
+    @F.arrow_udf("long")
+    def run(column: pa.Array) -> pa.Array:
+        encode = Codec.get(ranks_file).encoder.encode_ordinary
+        out = [len(encode(t.as_py() or "")) for t in column]
+        give_back()
+        return pa.array(out, pa.int64())
+
+    return run(text)
+
+
 def decode(encoded: DataFrame, ranks_file: str) -> DataFrame:
     """(doc_id, text) from (doc_id, tokens); null tokens give a null text, bytes that are no UTF-8 become U+FFFD."""
 

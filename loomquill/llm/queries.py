@@ -43,7 +43,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    """Lengths in tokens of op4's vocabulary, so a text without blanks is cut like any other."""
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", bpe.token_count(F.col("text").cast("string"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken").alias("n_tokens"))
+    return packing.best_fit(sized, length_col="n_tokens")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,20 @@ def test_odd_rows(make):
 def test_loss_is_small(docs):
     bins = {(r.bin_id, r.capacity, r.used) for r in P.best_fit(docs).collect()}
     assert sum(b[2] for b in bins) / sum(b[1] for b in bins) > 0.9
+
+
+def test_the_query_packs_tokens(spark, tmp_path):
+    from loomquill.llm import bpe
+    from loomquill.llm import queries as Q
+
+    rows = [(1, "a b c"), (2, "xq7" * 30_000), (3, None), (4, ""), (5, "Zwölf Boxkämpfer, naïve façade! " * 900), (6, "  \n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.op7_best_fit_packing(spark, str(tmp_path)).collect()
+    tokens = {r.doc_id: r.n_tokens for r in Q.op4_bpe(spark, str(tmp_path)).collect()}
+    packed: dict = {}
+    for r in got:
+        packed.setdefault(r.doc_id, []).append((r.piece_start, r.piece_length))
+    assert {i: sum(n for _, n in p) for i, p in packed.items()} == {i: n for i, n in tokens.items() if n}
+    assert len(packed[2]) > 1 and all(r.piece_length <= r.used <= r.capacity <= 8192 for r in got)
+    for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", bpe.token_count(F.col("text"), f"{Q.TOKENIZERS}/byte_bpe_50k.tiktoken").alias("n")).collect():
+        assert r.n == tokens[r.doc_id]
