@@ -12,35 +12,41 @@ has none and matches nothing).  All pairs of documents with a Jaccard similarity
    equal prefix and size collapse into one group.
 3. Postings of groups are sent to buckets of their grams as packed blocks.  Within a bucket, groups that share a gram
    meet if their sizes and the gram's positions still allow the threshold.  Pairs that meet often enough over all buckets are candidates.
+   A gram of a hot frequency class is split: its groups fall into parts, and every two parts meet in a bucket of their own.
 4. Candidate group pairs are expanded to the distinct gram sets of the members.  Parity bitmaps of about two bits a gram
    bound a pair's difference from below, so pairs that merely share a gram go before any set is fetched.
 5. What is left is verified on whole sets in blocks: a pair belongs to a gram that both share, so the sets of a cluster are
    fetched once for many pairs.
 
-No pair, posting or group is capped.  A gram shared by very many documents is split into blocks of `BLOCK_DOCS` a side.
+No pair, posting or group is capped.  A gram shared by very many documents is split into blocks of `BLOCK_DOCS` a side for
+verification.  Links are counted between representatives and weighted by the sizes of their classes, so copies are never
+expanded into pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .support import collect_bloom, fresh, give_back, written
 
 N, THRESHOLD = 3, 0.6
-BUCKET_POSTINGS, PART_POSTINGS, BLOCK_DOCS = 2_000_000, 500_000, 256
-BROADCAST_ROWS, HELD_PAIRS = 2_000_000, 250_000
+BUCKET_POSTINGS, PART_POSTINGS, BLOCK_DOCS = 250_000, 500_000, 256
+BROADCAST_ROWS, HELD_PAIRS, SENT_PAIRS = 2_000_000, 250_000, 1_000_000
+HOT_CLASS = 15
 LOWER_ROWS = 512
 SKETCH_MAX = 1 << 24
 SHARED = 3
 _U = np.uint64
-_M40 = _U((1 << 40) - 1)
-_RAW = np.dtype([("lo", "<u4"), ("hi", "u1")])
+_RAW = np.dtype([("lo", "<u4"), ("hi", "<u2")])
+_M42, _M43 = (1 << 42) - 1, (1 << 43) - 1
 
 
 def grams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +137,29 @@ def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _packed(tok: np.ndarray) -> np.ndarray:
-    """40 bits of each token as 5 bytes."""
-    h = tk.mix(tok) & _M40
+    """The class and 43 bits of the hash of each token as 6 bytes."""
+    return _six((tk.mix(tok) & _U(_M43)) | (tok >> _U(59) << _U(43)))
+
+
+def _six(h: np.ndarray) -> np.ndarray:
     out = np.empty(len(h), dtype=_RAW)
-    out["lo"], out["hi"] = (h & _U(0xFFFFFFFF)).astype(np.uint32), (h >> _U(32)).astype(np.uint8)
+    out["lo"], out["hi"] = (h & _U(0xFFFFFFFF)).astype(np.uint32), (h >> _U(32)).astype(np.uint16)
     return out
 
 
+def _wide(raw: np.ndarray) -> np.ndarray:
+    return raw["lo"].astype(np.int64) | (raw["hi"].astype(np.int64) << 32)
+
+
+def _parts(tok: np.ndarray, hot: int) -> np.ndarray:
+    """Into how many parts the groups of each token are split: twice as many for each class from `hot` on."""
+    return np.left_shift(1, np.maximum(0, (tok >> 43) - hot + 1))
+
+
+def _part(gid: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return tk.mix(gid.view(_U) ^ _U(0x94D049BB133111EB)).view(np.int64) & (parts - 1)
+
+
 def _bitmaps(h: np.ndarray, size: np.ndarray) -> pa.Array:
     """A parity bit for each of 2 to 4 slots a gram: the XOR of two sets' bitmaps has at most a bit for each gram of one set alone."""
     bits = 1 << np.maximum(8, np.ceil(np.log2(2.0 * size)).astype(np.int64))
@@ -176,7 +198,7 @@ def signatures(docs: DataFrame, n: int, threshold: float, classes) -> DataFrame:
                 ssig = np.add.reduceat(mixed, at)
                 psig = np.add.reduceat(np.where(short, tk.mix(tok), _U(0)), at)
                 raw = _packed(tok[short]).view(np.uint8).reshape(-1)
-                ends = np.concatenate(([0], np.cumsum(keep))) * 5
+                ends = np.concatenate(([0], np.cumsum(keep))) * 6
                 blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at] + lo)), pa.array(size.astype(np.int32)), pa.array(psig.view(np.int64)), pa.array(ssig.view(np.int64)), blob, _bitmaps(tk.mix(mixed), size)], names=["doc_id", "size", "psig", "ssig", "prefix", "bits"])
 
@@ -193,7 +215,7 @@ def _unplaned(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _blocks(n_buckets: int):
+def _blocks(n_buckets: int, hot: int):
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -201,33 +223,38 @@ def _blocks(n_buckets: int):
             b = b.take(pc.sort_indices(b.column(0)))
             gid, size = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             data, off = tk.string_buffers(b.column(2))
-            count = np.diff(off) // 5
-            raw = np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_RAW)
-            bucket = ((raw["lo"].astype(np.int64) | (raw["hi"].astype(np.int64) << 32)) % n_buckets).astype(np.int32)
+            count = np.diff(off) // 6
+            tok = _wide(np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_RAW))
             doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
-            pos = np.minimum(np.arange(len(raw)) - np.repeat(np.cumsum(count) - count, count), 65535).astype(np.uint16)
+            pos = np.minimum(np.arange(len(tok)) - np.repeat(np.cumsum(count) - count, count), 65535).astype(np.uint16)
+            parts = _parts(tok, hot)
+            if parts.max(initial=1) > 1:  # a posting of a split token goes to the buckets of its part and every part
+                at = np.repeat(np.arange(len(tok)), parts)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+                tok, doc, pos, n = tok[at], doc[at], pos[at], parts[at]
+                mine = _part(gid[doc], n)
+                pair = tk.mix((tok + np.minimum(mine, other) * 0x9E3779B97F4A7C1 + np.maximum(mine, other) * 0x2545F4914F6CDD1D).view(_U)).view(np.int64) & _M42
+                tok = np.where(n > 1, (tok & ~_M43) | ((mine == other).astype(np.int64) << 42) | pair, tok)
+            bucket = ((tok & _M42) % n_buckets).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            for k in range(n_buckets):
-                at = order[edge[k] : edge[k + 1]]
-                if len(at):
-                    cols = [raw[at].tobytes(), _planes(pos[at]), _planes(gid[doc[at]].astype(np.int64)), _planes(size[doc[at]].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names=["bucket", "tok", "pos", "gid", "size"])
+            used, edge = np.unique(bucket[order], return_index=True)
+            for k, at in zip(used.tolist(), np.split(order, edge[1:])):
+                cols = [_six(tok[at].view(_U)).tobytes(), _planes(pos[at]), _planes(gid[doc[at]].astype(np.int64)), _planes(size[doc[at]].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names=["bucket", "tok", "pos", "gid", "size"])
 
     return run
 
 
-def _candidates(threshold: float):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        packed = [[x.as_buffer() for x in table[c]] for c in ("tok", "gid", "size", "pos")]
-        parts = -(-sum(x.size for x in packed[0]) // 5 // PART_POSTINGS) or 1
+def _candidates(threshold: float, hot: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = list(zip(*(x for b in batches for x in zip(*([x.as_buffer() for x in b[c]] for c in ("tok", "gid", "size", "pos"))))))
+        parts = -(-sum(x.size for x in packed[0]) // 6 // PART_POSTINGS) or 1
 
         def unpacked(p: int):
             """tok, gid, size and pos of one part of the grams; only the packed form of all parts is held."""
             cols: tuple[list, ...] = ([], [], [], [])
             for raws in zip(*packed):
-                raw = np.frombuffer(raws[0], dtype=_RAW)
-                t = raw["lo"].astype(np.int64) | (raw["hi"].astype(np.int64) << 32)
+                t = _wide(np.frombuffer(raws[0], dtype=_RAW))
                 at = np.flatnonzero(tk.mix(t.view(_U)) % _U(parts) == p)
                 for col, v in zip(cols, (t, *(_unplaned(x, kind) for x, kind in zip(raws[1:], (np.int64, np.int32, np.uint16))))):
                     col.append(v[at])
@@ -244,6 +271,11 @@ def _candidates(threshold: float):
             at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
             found = [(a[at], b[at], k[o][at], np.add.reduceat(m[o], at), need[o][at])]
 
+        def sent() -> pa.RecordBatch:
+            """What was found so far; the counts of a pair are added up later."""
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(found[0], kinds)], names=["ga", "gb", "k", "m", "need"])
+
         for p in range(parts):
             tok, gid, size, pos = unpacked(p)
             order = np.argsort(tok, kind="stable")
@@ -254,6 +286,9 @@ def _candidates(threshold: float):
             tok, gid, size, pos = tok[order], gid[order], size[order].astype(np.int64), pos[order].astype(np.int64)
             head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, dtype=np.int64)
             nth = np.arange(len(tok)) - np.repeat(head, np.diff(np.concatenate((head, [len(tok)]))))
+            split = _parts(tok, hot)
+            crossed = (split > 1) & (tok >> 42 & 1 == 0)  # here only groups of different parts meet
+            side = _part(gid, split)
             i, d = np.arange(len(tok)), 1
             while True:
                 i = i[i + d < len(tok)]
@@ -264,7 +299,7 @@ def _candidates(threshold: float):
                 room = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
                 # a clipped position is no bound
                 ok = (room >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9) | (pos[i] == 65535) | (pos[j] == 65535)
-                ok &= gid[i] != gid[j]
+                ok &= (gid[i] != gid[j]) & ~(crossed[i] & (side[i] == side[j]))
                 x, y = i[ok], j[ok]
                 part = nth[x] // BLOCK_DOCS * 1_000_003 + nth[y] // BLOCK_DOCS
                 need = np.minimum(SHARED, np.ceil(threshold * size[y] - 1e-9)).astype(np.int32)
@@ -274,14 +309,15 @@ def _candidates(threshold: float):
                     squeeze()
                     held = len(found[0][0])
                     room_for = max(HELD_PAIRS, 2 * held)
+                    if held > SENT_PAIRS:
+                        yield sent()
+                        found, held, room_for = [], 0, HELD_PAIRS
                 d += 1
         if found:
             squeeze()
-        cols = found[0] if found else [np.zeros(0, dtype=np.int64)] * 5
+            yield sent()
         found = []
         give_back()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.table({n: pa.array(c.astype(t.to_pandas_dtype()), t) for n, c, t in zip(("ga", "gb", "k", "m", "need"), cols, kinds)})
 
     return run
 
@@ -374,15 +410,16 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     sigs = written(rows.select("doc_id", "size", "psig", "ssig", "bits"), "signatures")
     sizes = sigs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_buckets = int(max(12, -(-sizes * (1 - threshold) // BUCKET_POSTINGS)))
-    cand = groups.mapInArrow(_blocks(n_buckets), "bucket int, tok binary, pos binary, gid binary, size binary").groupBy("bucket").applyInArrow(_candidates(threshold), "ga long, gb long, k long, m int, need int")
+    hot = max(HOT_CLASS, int(sizes // width).bit_length() + 2)  # well over what slots hold by chance
+    cand = groups.mapInArrow(_blocks(n_buckets, hot), "bucket int, tok binary, pos binary, gid binary, size binary").groupBy("bucket").applyInArrow(_candidates(threshold, hot), "ga long, gb long, k long, m int, need int")
     cand = cand.groupBy("ga", "gb").agg(F.min("k").alias("k"), F.sum("m").alias("m"), F.max("need").alias("need")).where("m >= need").select("ga", "gb", "k")
     reps = sigs.groupBy("psig", "size", "ssig").agg(F.min("doc_id").alias("rep"))
-    of_group = reps.groupBy("psig", "size").agg(F.min("rep").alias("gid"), F.collect_set("rep").alias("members"))
-    members = of_group.select("gid", "members")
-    between = cand.join(members.select(F.col("gid").alias("ga"), F.col("members").alias("ma")), "ga").join(members.select(F.col("gid").alias("gb"), F.col("members").alias("mb")), "gb")
-    between = between.select("k", F.explode("ma").alias("a"), "mb").select("k", "a", F.explode("mb").alias("b"))
-    within = members.where(F.size("members") > 1).select(F.xxhash64("gid").alias("k"), F.explode("members").alias("a"), "members").select("k", "a", F.explode("members").alias("b")).where("a < b")
-    pairs = written(between.select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within), "candidates")
+    group = Window.partitionBy("psig", "size")
+    reps = written(reps.withColumns({"gid": F.min("rep").over(group), "n": F.count("*").over(group)}), "representatives")
+    between = cand.join(reps.select(F.col("gid").alias("ga"), F.col("rep").alias("x")), "ga").join(reps.select(F.col("gid").alias("gb"), F.col("rep").alias("y")), "gb")
+    several = reps.where("n > 1").select("gid", "rep")
+    within = several.withColumnRenamed("rep", "a").join(several.withColumnRenamed("rep", "b"), "gid").where("a < b").select(F.xxhash64("gid").alias("k"), "a", "b")
+    pairs = written(between.select("k", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within), "candidates")
     right, places = _blocked(pairs, pairs.count())
     bits = sigs.select(F.col("doc_id").alias("doc"), "size", "bits").join(_small(places), "doc").select("block", "doc", "size", "bits")
     likely = bits.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_likely(threshold), "a long, b long, k long")
@@ -396,16 +433,23 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
 
 
 def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(docs_a, docs_b, jaccard): every document of docs_a has that similarity to every other one of docs_b.
+    """(doc_id, class_id, n_links) for every non-null id of `docs`, once.
 
-    Lists are sorted and hold all documents with one gram set, so each pair at or over the threshold is in exactly one
-    row; a set that several documents share pairs with itself.  See classes_and_pairs for nulls and repeats.
+    n_links is the number of other documents whose similarity is at least the threshold, copies included; class_id is the smallest
+    id that can be reached over such links.  A document without words or text is alone.  For the pairs themselves
+    see classes_and_pairs, also for nulls and repeats.
     """
     classes, pairs = classes_and_pairs(docs, n, threshold, id_col, text_col)
-    lists = classes.groupBy("rep").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
-    own = lists.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    out = pairs.join(lists.select(F.col("rep").alias("a"), F.col("docs").alias("docs_a")), "a").join(lists.select(F.col("rep").alias("b"), F.col("docs").alias("docs_b")), "b")
-    return out.select("docs_a", "docs_b", F.round("jaccard", 6).alias("jaccard")).unionByName(own)
+    classes = written(classes, "classes")
+    copies = written(classes.groupBy("rep").agg(F.count("*").alias("n")), "copies")
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    links = both.join(copies.select(F.col("rep").alias("y"), "n"), "y").groupBy(F.col("x").alias("rep")).agg(F.sum("n").alias("others"))
+    roots = components(pairs).withColumnRenamed("node", "rep")
+    per = copies.join(links, "rep", "left").join(roots, "rep", "left")
+    per = per.select("rep", F.coalesce("root", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    out = ids.join(classes, "doc_id", "left").join(per, "rep", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -441,7 +485,7 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
 
 
 SQL = r"""
-with w as (
+with recursive w as (
   select doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') as w from documents
 ), g as (
   select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
@@ -449,13 +493,21 @@ with w as (
 ), s as (
   select doc_id, count(*) as n, list(gram order by gram) as grams from g group by doc_id
 ), c as (
-  select min(doc_id) as rep, any_value(n) as n, list(doc_id order by doc_id) as docs from s group by grams
+  select min(doc_id) as rep, any_value(n) as n, list(doc_id) as docs from s group by grams
 ), r as (
   select g.doc_id, g.gram from g join c on g.doc_id = c.rep
 ), p as (
-  select x.doc_id as a, y.doc_id as b, count(*) as m from r x join r y on x.gram = y.gram and x.doc_id < y.doc_id group by all
+  select x.doc_id as a, y.doc_id as b, count(*) as m from r x join r y on x.gram = y.gram and x.doc_id <> y.doc_id group by all
+), e as (
+  select a, b, len(cb.docs) as nb from p join c ca on ca.rep = a join c cb on cb.rep = b where m / (ca.n + cb.n - m) >= 0.6
+), reach as (
+  select rep as a, rep as b from c union select reach.a, e.b from reach join e on reach.b = e.a
+), root as (
+  select a as rep, min(b) as class_id from reach group by a
+), links as (
+  select a as rep, sum(nb) as others from e group by a
+), got as (
+  select unnest(docs) as doc_id, class_id, len(docs) - 1 + coalesce(others, 0) as n_links from c join root using (rep) left join links using (rep)
 )
-select ca.docs as docs_a, cb.docs as docs_b, round(m / (ca.n + cb.n - m), 6) as jaccard
-from p join c ca on ca.rep = a join c cb on cb.rep = b where m / (ca.n + cb.n - m) >= 0.6
-union all select docs, docs, 1.0 from c where len(docs) > 1
+select d.doc_id, coalesce(class_id, d.doc_id) as class_id, cast(coalesce(n_links, 0) as bigint) as n_links from documents d left join got using (doc_id)
 """

@@ -22,18 +22,39 @@ def brute(rows, threshold):
     return {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
 
 
-def pairs_of(rows):
-    out = {}
-    for r in rows:
-        for a in r.docs_a:
-            for b in r.docs_b:
-                if a != b:
-                    key = (min(a, b), max(a, b))
-                    assert key not in out or r.docs_a == r.docs_b
-                    out[key] = r.jaccard
+def pairs_of(found):
+    """All pairs of documents, from classes and pairs of representatives."""
+    classes, pairs = found
+    docs = {}
+    for r in classes.collect():
+        docs.setdefault(r.rep, []).append(r.doc_id)
+    out = {(a, b): 1.0 for d in docs.values() for a in d for b in d if a < b}
+    for r in pairs.collect():
+        for a in docs[r.a]:
+            for b in docs[r.b]:
+                assert (min(a, b), max(a, b)) not in out
+                out[min(a, b), max(a, b)] = round(r.jaccard, 6)
     return out
 
 
+def summary(ids, links):
+    """What similar_documents gives, from all pairs."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    n = dict.fromkeys(ids, 0)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return sorted((i, find(i), n[i]) for i in ids)
+
+
 def near_copies(rng, groups=25):
     vocab = [f"w{k}" for k in range(300)] + ["the", "of"] * 20
     rows, k = [], 0
@@ -51,13 +72,29 @@ def near_copies(rng, groups=25):
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9, 1.0])
 def test_equals_brute_force(make, rng, threshold):
     rows = near_copies(rng)
-    assert pairs_of(J.similar_documents(make(rows), threshold=threshold).collect()) == brute(rows, threshold)
+    want = brute(rows, threshold)
+    assert pairs_of(J.classes_and_pairs(make(rows), threshold=threshold)) == want
+    assert sorted(map(tuple, J.similar_documents(make(rows), threshold=threshold).collect())) == summary([i for i, _ in rows], want)
+
+
+def test_split_grams_lose_and_repeat_nothing(make, rng, monkeypatch):
+    """Every gram with four or more documents is hot here, and few pairs are held."""
+    rows = near_copies(rng)
+    for k in range(60):
+        rows.append((1000 + k, " ".join(f"y{j}" for j in range(50)) + f" z{k}"))
+    from loomquill.llm import jaccard
+
+    hot, blocks, candidates = 2, jaccard._blocks, jaccard._candidates
+    monkeypatch.setattr(jaccard, "_blocks", lambda n, _: blocks(n, hot))
+    monkeypatch.setattr(jaccard, "_candidates", lambda t, _: candidates(t, hot))
+    assert pairs_of(J.classes_and_pairs(make(rows))) == brute(rows, J.THRESHOLD)
 
 
 def test_odd_rows(make, rng):
     long = " ".join(f"v{k}" for k in range(30_000))
     rows = [(1, None), (None, "a b c d"), (2, ""), (3, "?!"), (4, "a b c d"), (5, "A b C d"), (5, "A b C d"), (6, "a"), (7, "A"), (8, long), (9, long + " tail"), (10, "a b c d")]
-    assert pairs_of(J.similar_documents(make(rows)).collect()) == brute(rows, J.THRESHOLD)
+    assert pairs_of(J.classes_and_pairs(make(rows))) == brute(rows, J.THRESHOLD)
+    assert sorted(map(tuple, J.similar_documents(make(rows)).collect())) == summary([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], brute(rows, J.THRESHOLD))
     assert J.similar_documents(make([])).count() == 0
     left = {r.doc_id for r in J.one_of_each(make(rows)).collect()}
     assert left == {1, None, 2, 3, 4, 6, 8}
@@ -67,8 +104,8 @@ def test_odd_rows(make, rng):
 def test_large_groups_of_copies(make):
     base = " ".join(f"x{k}" for k in range(40))
     rows = [(i, base + f" t{i % 3}") for i in range(1500)]
-    got = J.similar_documents(make(rows)).collect()
-    assert len(got) == 6 and sum(len(r.docs_a) * len(r.docs_b) for r in got if r.docs_a != r.docs_b) == 3 * 500 * 500
+    assert J.classes_and_pairs(make(rows))[1].count() == 3
+    assert {tuple(r)[1:] for r in J.similar_documents(make(rows)).collect()} == {(0, 1499)}
 
 
 def test_bitmaps_bound_the_difference(rng):
