@@ -11,7 +11,8 @@ has none and matches nothing).  All pairs of documents with a Jaccard similarity
    documents share at least `SHARED` grams of their prefixes (all that they share, if that is fewer).  Documents with
    equal prefix and size collapse into one group.
 3. Postings of groups are sent to buckets of their grams as packed blocks.  Within a bucket, groups that share a gram
-   meet if their sizes and the gram's positions still allow the threshold.  Pairs that meet often enough over all buckets are candidates.
+   meet if their sizes and the gram's positions still allow the threshold.  What two sets share beyond their prefixes is no
+   more than what the larger one has beyond its own, so the prefixes must share the rest: pairs that do, over all buckets, are candidates.
    A gram of a hot frequency class is split: its groups fall into parts, and every two parts meet in a bucket of their own.
 4. Candidate group pairs are expanded to the distinct gram sets of the members.  Parity bitmaps of about two bits a gram
    bound a pair's difference from below, so pairs that merely share a gram go before any set is fetched.
@@ -38,7 +39,7 @@ from . import textkit as tk
 from .support import collect_bloom, fresh, give_back, written
 
 N, THRESHOLD = 3, 0.6
-BUCKET_POSTINGS, PART_POSTINGS, BLOCK_DOCS = 250_000, 500_000, 256
+BUCKET_POSTINGS, PART_POSTINGS, BLOCK_DOCS = 1_000_000, 500_000, 256
 BROADCAST_ROWS, HELD_PAIRS, SENT_PAIRS = 2_000_000, 250_000, 1_000_000
 HOT_CLASS = 15
 LOWER_ROWS = 512
@@ -46,7 +47,8 @@ SKETCH_MAX = 1 << 24
 SHARED = 3
 _U = np.uint64
 _RAW = np.dtype([("lo", "<u4"), ("hi", "<u2")])
-_M42, _M43 = (1 << 42) - 1, (1 << 43) - 1
+_FIVE = np.dtype([("lo", "<u4"), ("hi", "u1")])
+_M34, _M43 = (1 << 34) - 1, (1 << 43) - 1
 
 
 def grams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +140,12 @@ def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
 
 def _packed(tok: np.ndarray) -> np.ndarray:
     """The class and 43 bits of the hash of each token as 6 bytes."""
-    return _six((tk.mix(tok) & _U(_M43)) | (tok >> _U(59) << _U(43)))
+    return _raw((tk.mix(tok) & _U(_M43)) | (tok >> _U(59) << _U(43)), _RAW)
 
 
-def _six(h: np.ndarray) -> np.ndarray:
-    out = np.empty(len(h), dtype=_RAW)
-    out["lo"], out["hi"] = (h & _U(0xFFFFFFFF)).astype(np.uint32), (h >> _U(32)).astype(np.uint16)
+def _raw(h: np.ndarray, kind: np.dtype) -> np.ndarray:
+    out = np.empty(len(h), dtype=kind)
+    out["lo"], out["hi"] = (h & _U(0xFFFFFFFF)).astype(np.uint32), (h >> _U(32)).astype(kind["hi"])
     return out
 
 
@@ -151,9 +153,9 @@ def _wide(raw: np.ndarray) -> np.ndarray:
     return raw["lo"].astype(np.int64) | (raw["hi"].astype(np.int64) << 32)
 
 
-def _parts(tok: np.ndarray, hot: int) -> np.ndarray:
-    """Into how many parts the groups of each token are split: twice as many for each class from `hot` on."""
-    return np.left_shift(1, np.maximum(0, (tok >> 43) - hot + 1))
+def _parts(cls: np.ndarray, hot: int) -> np.ndarray:
+    """Into how many parts the groups of a gram are split: twice as many for each class from `hot` on."""
+    return np.left_shift(1, np.maximum(0, cls - hot + 1))
 
 
 def _part(gid: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -227,19 +229,22 @@ def _blocks(n_buckets: int, hot: int):
             tok = _wide(np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_RAW))
             doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
             pos = np.minimum(np.arange(len(tok)) - np.repeat(np.cumsum(count) - count, count), 65535).astype(np.uint16)
-            parts = _parts(tok, hot)
-            if parts.max(initial=1) > 1:  # a posting of a split token goes to the buckets of its part and every part
+            parts = _parts(tok >> 43, hot)
+            crossed = np.zeros(len(tok), dtype=bool)
+            if parts.max(initial=1) > 1:  # a posting of a split gram goes to the buckets of its part and every part
                 at = np.repeat(np.arange(len(tok)), parts)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
                 tok, doc, pos, n = tok[at], doc[at], pos[at], parts[at]
                 mine = _part(gid[doc], n)
-                pair = tk.mix((tok + np.minimum(mine, other) * 0x9E3779B97F4A7C1 + np.maximum(mine, other) * 0x2545F4914F6CDD1D).view(_U)).view(np.int64) & _M42
-                tok = np.where(n > 1, (tok & ~_M43) | ((mine == other).astype(np.int64) << 42) | pair, tok)
-            bucket = ((tok & _M42) % n_buckets).astype(np.int32)
+                pair = tk.mix((tok + np.minimum(mine, other) * 0x9E3779B97F4A7C1 + np.maximum(mine, other) * 0x2545F4914F6CDD1D).view(_U)).view(np.int64) & _M43
+                crossed = (n > 1) & (mine != other)
+                tok = np.where(n > 1, (tok & ~_M43) | pair, tok)
+            bucket, rest = ((tok & _M43) % n_buckets).astype(np.int32), (tok & _M43) // n_buckets
+            tok = (tok >> 43 << 35) | (crossed.astype(np.int64) << 34) | (rest & _M34)
             order = np.argsort(bucket, kind="stable")
             used, edge = np.unique(bucket[order], return_index=True)
             for k, at in zip(used.tolist(), np.split(order, edge[1:])):
-                cols = [_six(tok[at].view(_U)).tobytes(), _planes(pos[at]), _planes(gid[doc[at]].astype(np.int64)), _planes(size[doc[at]].astype(np.int32))]
+                cols = [_raw(tok[at].view(_U), _FIVE).tobytes(), _planes(pos[at]), _planes(gid[doc[at]].astype(np.int64)), _planes(size[doc[at]].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names=["bucket", "tok", "pos", "gid", "size"])
 
     return run
@@ -248,13 +253,13 @@ def _blocks(n_buckets: int, hot: int):
 def _candidates(threshold: float, hot: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = list(zip(*(x for b in batches for x in zip(*([x.as_buffer() for x in b[c]] for c in ("tok", "gid", "size", "pos"))))))
-        parts = -(-sum(x.size for x in packed[0]) // 6 // PART_POSTINGS) or 1
+        parts = -(-sum(x.size for x in packed[0]) // 5 // PART_POSTINGS) or 1
 
         def unpacked(p: int):
             """tok, gid, size and pos of one part of the grams; only the packed form of all parts is held."""
             cols: tuple[list, ...] = ([], [], [], [])
             for raws in zip(*packed):
-                t = _wide(np.frombuffer(raws[0], dtype=_RAW))
+                t = _wide(np.frombuffer(raws[0], dtype=_FIVE))
                 at = np.flatnonzero(tk.mix(t.view(_U)) % _U(parts) == p)
                 for col, v in zip(cols, (t, *(_unplaned(x, kind) for x, kind in zip(raws[1:], (np.int64, np.int32, np.uint16))))):
                     col.append(v[at])
@@ -265,16 +270,16 @@ def _candidates(threshold: float, hot: int):
 
         def squeeze() -> None:
             nonlocal found
-            a, b, k, m, need = (np.concatenate(x) for x in zip(*found))
+            a, b, k, m = (np.concatenate(x) for x in zip(*found))
             o = np.lexsort((k, b, a))
             a, b = a[o], b[o]
             at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            found = [(a[at], b[at], k[o][at], np.add.reduceat(m[o], at), need[o][at])]
+            found = [(a[at], b[at], k[o][at], np.add.reduceat(m[o], at))]
 
         def sent() -> pa.RecordBatch:
             """What was found so far; the counts of a pair are added up later."""
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(found[0], kinds)], names=["ga", "gb", "k", "m", "need"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(found[0], kinds)], names=["ga", "gb", "k", "m"])
 
         for p in range(parts):
             tok, gid, size, pos = unpacked(p)
@@ -286,8 +291,8 @@ def _candidates(threshold: float, hot: int):
             tok, gid, size, pos = tok[order], gid[order], size[order].astype(np.int64), pos[order].astype(np.int64)
             head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, dtype=np.int64)
             nth = np.arange(len(tok)) - np.repeat(head, np.diff(np.concatenate((head, [len(tok)]))))
-            split = _parts(tok, hot)
-            crossed = (split > 1) & (tok >> 42 & 1 == 0)  # here only groups of different parts meet
+            split = _parts(tok >> 35, hot)
+            crossed = tok >> 34 & 1 == 1  # here only groups of different parts meet
             side = _part(gid, split)
             i, d = np.arange(len(tok)), 1
             while True:
@@ -302,8 +307,10 @@ def _candidates(threshold: float, hot: int):
                 ok &= (gid[i] != gid[j]) & ~(crossed[i] & (side[i] == side[j]))
                 x, y = i[ok], j[ok]
                 part = nth[x] // BLOCK_DOCS * 1_000_003 + nth[y] // BLOCK_DOCS
-                need = np.minimum(SHARED, np.ceil(threshold * size[y] - 1e-9)).astype(np.int32)
-                found.append((np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y]), (tok[x] * 31 + part) & 0x7FFFFFFFFFFFFFFF, np.ones(len(x), dtype=np.int32), need))
+                beyond = np.maximum(0, np.ceil(threshold * size[y] - 1e-9).astype(np.int64) - SHARED)
+                need = np.ceil(threshold / (1 + threshold) * (size[x] + size[y]) - beyond - 1e-6).astype(np.int64)
+                where = tk.mix((tok[x] * 31 + part).view(_U)).view(np.int64) & 0xFFFFFFFF
+                found.append((np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y]), (need << 32) | where, np.ones(len(x), dtype=np.int32)))
                 held += len(x)
                 if held > room_for:
                     squeeze()
@@ -411,8 +418,8 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     sizes = sigs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_buckets = int(max(12, -(-sizes * (1 - threshold) // BUCKET_POSTINGS)))
     hot = max(HOT_CLASS, int(sizes // width).bit_length() + 2)  # well over what slots hold by chance
-    cand = groups.mapInArrow(_blocks(n_buckets, hot), "bucket int, tok binary, pos binary, gid binary, size binary").groupBy("bucket").applyInArrow(_candidates(threshold, hot), "ga long, gb long, k long, m int, need int")
-    cand = cand.groupBy("ga", "gb").agg(F.min("k").alias("k"), F.sum("m").alias("m"), F.max("need").alias("need")).where("m >= need").select("ga", "gb", "k")
+    cand = groups.mapInArrow(_blocks(n_buckets, hot), "bucket int, tok binary, pos binary, gid binary, size binary").groupBy("bucket").applyInArrow(_candidates(threshold, hot), "ga long, gb long, k long, m int")
+    cand = cand.groupBy("ga", "gb").agg(F.min("k").alias("k"), F.sum("m").alias("m")).where("m >= shiftright(k, 32)").select("ga", "gb", "k")
     reps = sigs.groupBy("psig", "size", "ssig").agg(F.min("doc_id").alias("rep"))
     group = Window.partitionBy("psig", "size")
     reps = written(reps.withColumns({"gid": F.min("rep").over(group), "n": F.count("*").over(group)}), "representatives")
