@@ -6,26 +6,33 @@ containment of a in b is the weight of the chunks of a that b has too over the w
 at least `threshold` are found:
 
 1. Documents with equal fingerprints collapse into one class, which its smallest id stands for.
-2. Digests are counted over the representatives; only those of at least two can link anything, and only they are kept.
+2. Digests of the representatives meet in buckets by their high bits, as packed blocks (sorted, delta-coded, with the place of the
+   document in the block).  Only digests of at least two representatives can link anything, and only they leave the buckets.
 3. A representative orders its shared digests by frequency, rare ones first.  Its prefix holds them up to the point
    where what is left weighs less than the threshold: whatever contains it has a digest of the prefix.  A document
    whose unshared chunks alone weigh too much has no prefix and costs nothing further.
 4. Prefix postings meet the postings of documents that are large enough.  Each candidate pair is verified on the whole
    sets of shared digests, in blocks of pairs that share a digest, so the sets of a cluster are fetched once for many pairs.
 
-No posting, candidate or partner is capped.  Only digests and lengths are shuffled, never texts.
+No posting, candidate or partner is capped.  Only digests and lengths are shuffled, never texts.  Links are counted between
+representatives and weighted by the sizes of their classes, so copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .support import written
+from .jaccard import components
+from .support import give_back, written
 
 #: Least, normal and largest bytes of a chunk, and the bytes that decide on a cut: short, as an edited word spoils its chunk and the window after it.
 SIZES = (16, 16, 64, 8)
@@ -33,6 +40,8 @@ THRESHOLD = 0.5
 WEIGHT_BITS = 11
 _MASK = (1 << WEIGHT_BITS) - 1
 PAIRS_BLOCK = 100_000
+BUCKET_TOKENS, PART_TOKENS = 2_000_000, 500_000
+_U = np.uint64
 
 
 def chunk_tokens(raw: bytes, begin: int, cuts: np.ndarray) -> np.ndarray:
@@ -45,7 +54,7 @@ def chunk_tokens(raw: bytes, begin: int, cuts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """(doc_id, sig, total, tokens) of every (doc_id, text) with at least one byte."""
+    """(doc_id, sig, total, tokens) of every (doc_id, text) with at least one byte; tokens are packed unsigned longs."""
     if sizes[2] + 4 > _MASK:
         raise ValueError(f"chunks of up to {sizes[2]} bytes don't fit a token")
 
@@ -58,14 +67,77 @@ def fingerprints(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
                 if not at:
                     continue
                 sets = [sets[k] for k in at]
-                n = np.array([len(x) for x in sets], dtype=np.int64)
-                flat = np.concatenate(sets)
-                head = np.cumsum(n) - n
                 sig = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64)
-                total = np.add.reduceat((flat & np.uint64(_MASK)).astype(np.int64), head)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(at) + lo)), pa.array(sig.view(np.int64)), pa.array(total), tk.list_array(pa.array(flat.view(np.int64)), n)], names=["doc_id", "sig", "total", "tokens"])
+                total = np.array([int((x & _U(_MASK)).sum()) for x in sets], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(at) + lo)), pa.array(sig.view(np.int64)), pa.array(total), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "sig", "total", "tokens"])
+            give_back()
+
+    return docs.mapInArrow(run, "doc_id long, sig long, total long, tokens binary")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Compressed bytes of equal weight side by side: the high ones of small numbers cost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _unplaned(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack(n_buckets: int):
+    """Rows (doc, total, tokens) -> a packed block for each bucket of tokens: documents by id, tokens in order, and for each token its document's place."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b.take(pc.sort_indices(b.column(0)))
+            doc, total = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            data, off = tk.string_buffers(b.column(2))
+            tok = np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_U)
+            row = np.repeat(np.arange(len(doc), dtype=np.int32), np.diff(off) // 8)
+            order = np.argsort(tok, kind="stable")
+            tok, row = tok[order], row[order]
+            bucket = ((tok >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)  # ranges of the digest
+            used, head = np.unique(bucket, return_index=True)
+            for k, a, z in zip(used.tolist(), head.tolist(), [*head[1:].tolist(), len(tok)]):
+                mine, place = np.unique(row[a:z], return_inverse=True)
+                high, weight = (tok[a:z] >> _U(WEIGHT_BITS)).view(np.int64), (tok[a:z] & _U(_MASK)).astype(np.uint16)
+                cols = [np.diff(high, prepend=0), weight, place.astype(np.uint16 if len(mine) <= 1 << 16 else np.uint32), np.diff(doc[mine], prepend=0), total[mine]]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cols[2].itemsize], pa.int32()), *[pa.array([_planes(c)], pa.binary()) for c in cols]], names=["bucket", "wide", "digest", "weight", "place", "doc", "total"])
+
+    return run
 
-    return docs.mapInArrow(run, "doc_id long, sig long, total long, tokens array<long>")
+
+PACKED = "bucket int, wide int, digest binary, weight binary, place binary, doc binary, total binary"
+
+
+def _shared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, total, df, token) of the tokens of a bucket that two documents or more have."""
+    toks, docs, totals = [], [], []
+    for b in batches:
+        for wide, digest, weight, place, doc, total in zip(*(b.column(c).to_pylist() for c in range(1, 7))):
+            high = np.cumsum(_unplaned(digest, np.int64)).view(_U)
+            toks.append((high << _U(WEIGHT_BITS)) | _unplaned(weight, np.uint16).astype(_U))
+            at = _unplaned(place, np.uint16 if wide == 2 else np.uint32)
+            docs.append(np.cumsum(_unplaned(doc, np.int64))[at])
+            totals.append(_unplaned(total, np.int64)[at])
+    tok, doc, total = map(np.concatenate, (toks, docs, totals))
+    del toks, docs, totals
+    order = np.argsort(tok, kind="stable")
+    t = tok[order]
+    same = t[1:] == t[:-1]
+    order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    tok, doc, total = tok[order], doc[order], total[order]
+    if len(tok):
+        head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        n = np.diff(np.concatenate((head, [len(tok)])))
+        df = np.repeat(n, n)
+        for a in range(0, len(tok), PART_TOKENS):
+            part = slice(a, a + PART_TOKENS)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(total[part]), pa.array(df[part].astype(np.int64)), pa.array(tok[part].view(np.int64))], names=["doc", "total", "df", "token"])
+    give_back()
 
 
 def _prefixes(threshold: float):
@@ -118,24 +190,24 @@ def _verify(threshold: float):
     return run
 
 
-def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(docs_a, docs_b, containment): every document of docs_a is contained to that degree in every other one of docs_b.
+def classes_and_pairs(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes (doc_id, rep): documents with text and the smallest id with the same fingerprint.  Pairs (a, b, containment): representatives of
+    different fingerprints, a contained in b to at least the threshold.
 
-    Lists are sorted and hold all documents of one fingerprint; a fingerprint that several documents share is also a
-    row with itself.  Null ids, null and empty texts take no part; equal rows count once; of different texts under
+    Null ids, null and empty texts take no part; equal rows count once; of different texts under
     one id the text that sorts last counts; other columns are ignored.
     """
     if not 0 < threshold <= 1:
         raise ValueError("need 0 < threshold <= 1")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    total = d.select(F.count("*"), F.count_distinct("doc_id")).first()
+    total = d.select(F.count("*"), F.count_distinct("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if total[0] != total[1]:
         d = d.groupBy("doc_id").agg(F.max("text").alias("text"))
-    rows = written(fingerprints(d, sizes), "fingerprints")
-    classes = written(rows.groupBy("sig", "total").agg(F.min("doc_id").alias("doc"), F.array_sort(F.collect_list("doc_id")).alias("docs")), "fingerprint-classes")
-    reps = rows.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "total", F.explode("tokens").alias("token"))
-    counted = reps.withColumn("df", F.count("*").over(Window.partitionBy("token")).cast("int")).where("df > 1")  # one shuffle; a join of counts takes two
-    shared = written(counted.groupBy("doc", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")), "shared-chunks")
+    n_buckets = int(max(12, -(-total[2] // sizes[0] // BUCKET_TOKENS)))
+    rows = fingerprints(d, sizes)
+    reps = rows.groupBy("sig", "total").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")).select("doc", "total", "tokens")
+    shared = reps.mapInArrow(_pack(n_buckets), PACKED).groupBy("bucket").applyInArrow(_shared, "doc long, total long, df long, token long")
+    shared = written(shared.groupBy("doc", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")), "shared-chunks")
     prefix = shared.mapInArrow(_prefixes(threshold), "a long, total_a long, token long")
     postings = shared.select(F.col("doc").alias("b"), F.col("total").alias("total_b"), F.explode("tokens").alias("token"))
     met = prefix.join(postings, "token").where((F.col("a") != F.col("b")) & (F.col("total_b") >= threshold * F.col("total_a") - 1e-6))
@@ -145,6 +217,39 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int,
     places = pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
     left = places.join(shared, "doc").select("block", "doc", "total", "tokens")
     found = left.groupBy("block").cogroup(pairs.select(F.col("block").alias("pair_block"), "a", "b").groupBy("pair_block")).applyInArrow(_verify(threshold), "a long, b long, containment double")
-    out = found.join(classes.select(F.col("doc").alias("a"), F.col("docs").alias("docs_a")), "a").join(classes.select(F.col("doc").alias("b"), F.col("docs").alias("docs_b")), "b")
-    own = classes.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("containment"))
-    return out.select("docs_a", "docs_b", F.round("containment", 6).alias("containment")).unionByName(own)
+    sigs = written(rows.select("doc_id", "sig", "total"), "fingerprints")
+    classes = sigs.join(sigs.groupBy("sig", "total").agg(F.min("doc_id").alias("rep")), ["sig", "total"]).select("doc_id", "rep")
+    return classes, written(found, "containment-pairs")
+
+
+def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_containers, n_contained, best, containment) for every non-null id of `docs`, once.
+
+    n_containers is the number of other documents that contain this one to at least the threshold, n_contained the number of those that it
+    contains, copies included; class_id is the smallest id that can be reached over such links in any direction.  best is the
+    document that contains most of it (of equals the smallest id, other than itself) and containment how much; both are null without any.
+    A document without text is alone.  For the pairs themselves see classes_and_pairs, also for nulls and repeats.
+    """
+    classes, pairs = classes_and_pairs(docs, threshold, sizes, id_col, text_col)
+    classes = written(classes, "classes")
+    copies = written(classes.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id") != F.col("rep"), F.col("doc_id"))).alias("second")), "copies")
+    size = lambda c: copies.select(F.col("rep").alias(c), F.col("n").alias("m"))
+    inside = pairs.join(size("b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("outer"), F.max(F.struct("containment", (-F.col("b")).alias("other"))).alias("top"))
+    around = pairs.join(size("a"), "a").groupBy(F.col("b").alias("rep")).agg(F.sum("m").alias("inner"))
+    roots = components(pairs).withColumnRenamed("node", "rep")
+    per = copies.join(inside, "rep", "left").join(around, "rep", "left").join(roots, "rep", "left")
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    own = F.col("n") - 1
+    twin = F.when(F.col("doc_id") != F.col("rep"), F.col("rep")).otherwise(F.col("second"))  # a copy contains it wholly
+    other = -F.col("top.other")
+    whole = F.col("top.containment") >= 1
+    best = F.when(F.col("n") == 1, other).otherwise(F.when(whole, F.least(twin, other)).otherwise(twin))
+    out = ids.join(classes, "doc_id", "left").join(per, "rep", "left")
+    return out.select(
+        "doc_id",
+        F.coalesce("root", "rep", "doc_id").alias("class_id"),
+        F.coalesce(own + F.coalesce("outer", F.lit(0)), F.lit(0)).alias("n_containers"),
+        F.coalesce(own + F.coalesce("inner", F.lit(0)), F.lit(0)).alias("n_contained"),
+        best.alias("best"),
+        F.when(F.col("n") > 1, F.lit(1.0)).otherwise(F.round("top.containment", 6)).alias("containment"),
+    )
