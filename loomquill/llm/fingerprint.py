@@ -15,7 +15,8 @@ at least `threshold` are found:
    sets of shared digests, in blocks of pairs that share a digest, so the sets of a cluster are fetched once for many pairs.
 
 No posting, candidate or partner is capped.  Only digests and lengths are shuffled, never texts.  Links are counted between
-representatives and weighted by the sizes of their classes, so copies are never expanded into pairs.
+representatives and weighted by the sizes of their classes, so copies are never expanded into pairs; where pairs aren't asked for,
+each block sends a row for each of its documents and none for its pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .jaccard import components
+from .jaccard import components, linked
 from .support import give_back, written
 
 #: Least, normal and largest bytes of a chunk, and the bytes that decide on a cut: short, as an edited word spoils its chunk and the window after it.
@@ -162,41 +163,66 @@ def _prefixes(threshold: float):
     return run
 
 
+def _checked(threshold: float, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and containment of the pairs that have it."""
+    sets = {d: x.values.to_numpy(zero_copy_only=False) for d, x in zip(left["doc"].to_pylist(), left["tokens"].combine_chunks())}
+    total = dict(zip(left["doc"].to_pylist(), left["total"].to_pylist()))
+    a, b = right["a"].to_numpy(), right["b"].to_numpy()
+    order = np.argsort(a, kind="stable")
+    edge = np.flatnonzero(np.diff(a[order])) + 1
+    out: tuple[list, list, list] = ([], [], [])
+    for part in np.split(order, edge) if len(order) else []:
+        x = a[part[0]]
+        mine = np.sort(sets[x])
+        others = b[part]
+        theirs = [sets[y] for y in others.tolist()]
+        n = np.array([len(y) for y in theirs])
+        flat = np.concatenate(theirs)
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        w = np.where(mine[at] == flat, flat & _MASK, 0)
+        c = np.bincount(np.repeat(np.arange(len(n)), n), weights=w, minlength=len(n)) / total[x]
+        ok = c >= threshold - 1e-12
+        out[0].append(np.full(int(ok.sum()), x))
+        out[1].append(others[ok])
+        out[2].append(c[ok])
+    cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
+    return cols[0].astype(np.int64), cols[1].astype(np.int64), cols[2].astype(float)
+
+
 def _verify(threshold: float):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {d: x.values.to_numpy(zero_copy_only=False) for d, x in zip(left["doc"].to_pylist(), left["tokens"].combine_chunks())}
-        total = dict(zip(left["doc"].to_pylist(), left["total"].to_pylist()))
-        a, b = right["a"].to_numpy(), right["b"].to_numpy()
-        order = np.argsort(a, kind="stable")
-        edge = np.flatnonzero(np.diff(a[order])) + 1
-        out: tuple[list, list, list] = ([], [], [])
-        for part in np.split(order, edge) if len(order) else []:
-            x = a[part[0]]
-            mine = np.sort(sets[x])
-            others = b[part]
-            theirs = [sets[y] for y in others.tolist()]
-            n = np.array([len(y) for y in theirs])
-            flat = np.concatenate(theirs)
-            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-            w = np.where(mine[at] == flat, flat & _MASK, 0)
-            c = np.bincount(np.repeat(np.arange(len(n)), n), weights=w, minlength=len(n)) / total[x]
-            ok = c >= threshold - 1e-12
-            out[0].append(np.full(int(ok.sum()), x))
-            out[1].append(others[ok])
-            out[2].append(c[ok])
-        cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({"a": pa.array(cols[0].astype(np.int64)), "b": pa.array(cols[1].astype(np.int64)), "containment": pa.array(cols[2].astype(float))})
+        return pa.table(dict(zip(("a", "b", "containment"), map(pa.array, _checked(threshold, left, right)))))
 
     return run
 
 
-def classes_and_pairs(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Classes (doc_id, rep): documents with text and the smallest id with the same fingerprint.  Pairs (a, b, containment): representatives of
-    different fingerprints, a contained in b to at least the threshold.
+TALLY = "doc long, root long, outer long, inner long, containment double, other long"
 
-    Null ids, null and empty texts take no part; equal rows count once; of different texts under
-    one id the text that sorts last counts; other columns are ignored.
+
+def _tally(threshold: float):
+    """TALLY of a block's documents with links: the smallest one reached within the block, how many documents contain it and are contained in it,
+    the highest containment and the (smallest) container that has it.
     """
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, c = _checked(threshold, left, right)
+        nodes, ia, ib, root = linked(a, b)
+        copies = dict(zip(left["doc"].to_pylist(), left["copies"].to_pylist()))
+        n = np.array([copies[x] for x in nodes.tolist()], dtype=np.int64)
+        outer, inner = (np.bincount(i, weights=n[j], minlength=len(n)).astype(np.int64) for i, j in ((ia, ib), (ib, ia)))
+        best, other = np.full(len(n), np.nan), np.zeros(len(n), dtype=np.int64)
+        order = np.lexsort((b, -c, ia))
+        top = order[np.concatenate(([True], np.diff(ia[order]) > 0))] if len(order) else order
+        best[ia[top]], other[ia[top]] = c[top], b[top]
+        none = np.isnan(best)
+        cols = (nodes, root, outer, inner, pa.array(best, mask=none), pa.array(other, mask=none))
+        return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in zip(("doc", "root", "outer", "inner", "containment", "other"), cols)})
+
+    return run
+
+
+def _candidate_sets(docs: DataFrame, threshold: float, sizes: tuple[int, ...], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Fingerprints (doc_id, sig, total); representatives with the number of copies; sets (block, doc, total, copies, tokens) and pairs (pair_block, a, b) to verify."""
     if not 0 < threshold <= 1:
         raise ValueError("need 0 < threshold <= 1")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -205,21 +231,32 @@ def classes_and_pairs(docs: DataFrame, threshold: float = THRESHOLD, sizes: tupl
         d = d.groupBy("doc_id").agg(F.max("text").alias("text"))
     n_buckets = int(max(12, -(-total[2] // sizes[0] // BUCKET_TOKENS)))
     rows = fingerprints(d, sizes)
-    reps = rows.groupBy("sig", "total").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")).select("doc", "total", "tokens")
-    shared = reps.mapInArrow(_pack(n_buckets), PACKED).groupBy("bucket").applyInArrow(_shared, "doc long, total long, df long, token long")
+    firsts = rows.groupBy("sig", "total").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")).select("doc", "total", "tokens")
+    shared = firsts.mapInArrow(_pack(n_buckets), PACKED).groupBy("bucket").applyInArrow(_shared, "doc long, total long, df long, token long")
     shared = written(shared.groupBy("doc", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")), "shared-chunks")
     prefix = shared.mapInArrow(_prefixes(threshold), "a long, total_a long, token long")
     postings = shared.select(F.col("doc").alias("b"), F.col("total").alias("total_b"), F.explode("tokens").alias("token"))
     met = prefix.join(postings, "token").where((F.col("a") != F.col("b")) & (F.col("total_b") >= threshold * F.col("total_a") - 1e-6))
-    pairs = written(met.groupBy("a", "b").agg(F.min("token").alias("k")), "containment-candidates")
+    key = F.shiftrightunsigned("token", WEIGHT_BITS).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    pairs = written(met.select("a", "b", key.alias("k")).groupBy("a", "b").agg(F.min("k").alias("k")), "containment-candidates")
     blocks = int(max(12, -(-pairs.count() // PAIRS_BLOCK)))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).drop("k")
-    places = pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
-    left = places.join(shared, "doc").select("block", "doc", "total", "tokens")
-    found = left.groupBy("block").cogroup(pairs.select(F.col("block").alias("pair_block"), "a", "b").groupBy("pair_block")).applyInArrow(_verify(threshold), "a long, b long, containment double")
     sigs = written(rows.select("doc_id", "sig", "total"), "fingerprints")
-    classes = sigs.join(sigs.groupBy("sig", "total").agg(F.min("doc_id").alias("rep")), ["sig", "total"]).select("doc_id", "rep")
-    return classes, written(found, "containment-pairs")
+    reps = written(sigs.groupBy("sig", "total").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "representatives")
+    places = pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct().join(reps.select(F.col("rep").alias("doc"), "copies"), "doc")
+    return sigs, reps, places.join(shared, "doc").select("block", "doc", "total", "copies", "tokens"), pairs.select(F.col("block").alias("pair_block"), "a", "b")
+
+
+def classes_and_pairs(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes (doc_id, rep): documents with text and the smallest id with the same fingerprint.  Pairs (a, b, containment): representatives of
+    different fingerprints, a contained in b to at least the threshold.
+
+    Null ids, null and empty texts take no part; equal rows count once; of different texts under
+    one id the text that sorts last counts; other columns are ignored.
+    """
+    sigs, reps, left, right = _candidate_sets(docs, threshold, sizes, id_col, text_col)
+    found = left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_verify(threshold), "a long, b long, containment double")
+    return sigs.join(reps, ["sig", "total"]).select("doc_id", "rep"), written(found, "containment-pairs")
 
 
 def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,29 +264,23 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int,
 
     n_containers is the number of other documents that contain this one to at least the threshold, n_contained the number of those that it
     contains, copies included; class_id is the smallest id that can be reached over such links in any direction.  best is the
-    document that contains most of it (of equals the smallest id, other than itself) and containment how much; both are null without any.
-    A document without text is alone.  For the pairs themselves see classes_and_pairs, also for nulls and repeats.
+    class (its smallest id) that contains most of it, of equals the first, and containment how much: a document with copies has its own class and 1.
+    Both are null without any container.  A document without text is alone.  For the pairs themselves see classes_and_pairs, also for nulls and repeats.
     """
-    classes, pairs = classes_and_pairs(docs, threshold, sizes, id_col, text_col)
-    classes = written(classes, "classes")
-    copies = written(classes.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id") != F.col("rep"), F.col("doc_id"))).alias("second")), "copies")
-    size = lambda c: copies.select(F.col("rep").alias(c), F.col("n").alias("m"))
-    inside = pairs.join(size("b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("outer"), F.max(F.struct("containment", (-F.col("b")).alias("other"))).alias("top"))
-    around = pairs.join(size("a"), "a").groupBy(F.col("b").alias("rep")).agg(F.sum("m").alias("inner"))
-    roots = components(pairs).withColumnRenamed("node", "rep")
-    per = copies.join(inside, "rep", "left").join(around, "rep", "left").join(roots, "rep", "left")
+    sigs, reps, left, right = _candidate_sets(docs, threshold, sizes, id_col, text_col)
+    tally = written(left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_tally(threshold), TALLY), "containment-tally")
+    roots = components(tally.select(F.col("doc").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    top = F.min(F.when(F.col("other").isNotNull(), F.struct((-F.col("containment")).alias("c"), "other"))).alias("top")
+    links = tally.groupBy(F.col("doc").alias("rep")).agg(F.sum("outer").alias("outer"), F.sum("inner").alias("inner"), top)
+    classes = sigs.join(reps, ["sig", "total"]).select("doc_id", "rep", "copies")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    own = F.col("n") - 1
-    twin = F.when(F.col("doc_id") != F.col("rep"), F.col("rep")).otherwise(F.col("second"))  # a copy contains it wholly
-    other = -F.col("top.other")
-    whole = F.col("top.containment") >= 1
-    best = F.when(F.col("n") == 1, other).otherwise(F.when(whole, F.least(twin, other)).otherwise(twin))
-    out = ids.join(classes, "doc_id", "left").join(per, "rep", "left")
+    out = ids.join(classes, "doc_id", "left").join(links.join(roots, "rep", "left"), "rep", "left")
+    own, zero = F.coalesce(F.col("copies") - 1, F.lit(0)), F.lit(0)
     return out.select(
         "doc_id",
         F.coalesce("root", "rep", "doc_id").alias("class_id"),
-        F.coalesce(own + F.coalesce("outer", F.lit(0)), F.lit(0)).alias("n_containers"),
-        F.coalesce(own + F.coalesce("inner", F.lit(0)), F.lit(0)).alias("n_contained"),
-        best.alias("best"),
-        F.when(F.col("n") > 1, F.lit(1.0)).otherwise(F.round("top.containment", 6)).alias("containment"),
+        (own + F.coalesce("outer", zero)).alias("n_containers"),
+        (own + F.coalesce("inner", zero)).alias("n_contained"),
+        F.when(own > 0, F.col("rep")).otherwise(F.col("top.other")).alias("best"),
+        F.when(own > 0, 1.0).otherwise(F.round(-F.col("top.c"), 6)).alias("containment"),
     )

@@ -21,7 +21,7 @@ has none and matches nothing).  All pairs of documents with a Jaccard similarity
 
 No pair, posting or group is capped.  A gram shared by very many documents is split into blocks of `BLOCK_DOCS` a side for
 verification.  Links are counted between representatives and weighted by the sizes of their classes, so copies are never
-expanded into pairs.
+expanded into pairs; where pairs aren't asked for, each block sends a row for each of its documents and none for its pairs.
 """
 
 from __future__ import annotations
@@ -353,26 +353,59 @@ def _small(places: DataFrame) -> DataFrame:
     return F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
 
 
+def _checked(threshold: float, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and similarity of the pairs that have it."""
+    sets = {d: np.frombuffer(x, dtype=_U) for d, x in zip(left["doc"].to_pylist(), left["grams"].to_pylist())}
+    out: tuple[list, list, list] = ([], [], [])
+    for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist()):
+        x, y = sets[a], sets[b]
+        if len(x) > len(y):
+            x, y = y, x
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        both = int((y[at] == x).sum())
+        j = both / (len(x) + len(y) - both)
+        if j >= threshold:
+            for col, v in zip(out, (a, b, j)):
+                col.append(v)
+    return np.array(out[0], dtype=np.int64), np.array(out[1], dtype=np.int64), np.array(out[2])
+
+
 def _verify(threshold: float):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {d: np.frombuffer(x, dtype=_U) for d, x in zip(left["doc"].to_pylist(), left["grams"].to_pylist())}
-        out: tuple[list, list, list] = ([], [], [])
-        for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist()):
-            x, y = sets[a], sets[b]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            j = both / (len(x) + len(y) - both)
-            if j >= threshold:
-                for col, v in zip(out, (a, b, j)):
-                    col.append(v)
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "jaccard": pa.array(out[2], pa.float64())})
+        return pa.table(dict(zip(("a", "b", "jaccard"), map(pa.array, _checked(threshold, left, right)))))
 
     return run
 
 
+def _tally(threshold: float):
+    """(doc, links, root) of a block's documents with links: how many documents these lead to, and the smallest one reached within the block."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, _ = _checked(threshold, left, right)
+        nodes, ia, ib, root = linked(a, b)
+        copies = dict(zip(left["doc"].to_pylist(), left["copies"].to_pylist()))
+        n = np.array([copies[x] for x in nodes.tolist()], dtype=np.int64)
+        links = np.bincount(ia, weights=n[ib], minlength=len(n)) + np.bincount(ib, weights=n[ia], minlength=len(n))
+        return pa.table({"doc": pa.array(nodes), "links": pa.array(links.astype(np.int64)), "root": pa.array(root)})
+
+    return run
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The nodes of some edges, both ends as numbers of nodes, and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    ia, ib = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, ia, before[ib])
+        np.minimum.at(label, ib, before[ia])
+        label = label[label]
+        if (label == before).all():
+            return nodes, ia, ib, nodes[label]
+
+
 def _sets(docs: DataFrame, ids: DataFrame, n: int, classes) -> DataFrame:
     """(doc, grams) for the documents of `ids` (doc) and few others: a Bloom filter keeps most from moving before the exact join."""
     hashed = ids.select(F.xxhash64("doc").alias("h"))
@@ -395,12 +428,8 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, classes) -> DataFrame:
     return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc long, grams binary")
 
 
-def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Classes (doc_id, rep): documents with grams and the smallest id with the same gram set.  Pairs (a, b, jaccard): a < b,
-    representatives of different sets with at least the threshold.
-
-    Null ids and null texts take no part; equal rows count once; of different texts under one id, the text that sorts last counts.
-    """
+def _candidate_sets(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures; representatives with the number of their copies; sets (block, doc, copies, grams) and pairs (pair_block, a, b, k) to verify."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("need 0 < threshold <= 1 and n >= 1")
     spark = docs.sparkSession
@@ -420,7 +449,7 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     hot = max(HOT_CLASS, int(sizes // width).bit_length() + 2)  # well over what slots hold by chance
     cand = groups.mapInArrow(_blocks(n_buckets, hot), "bucket int, tok binary, pos binary, gid binary, size binary").groupBy("bucket").applyInArrow(_candidates(threshold, hot), "ga long, gb long, k long, m int")
     cand = cand.groupBy("ga", "gb").agg(F.min("k").alias("k"), F.sum("m").alias("m")).where("m >= shiftright(k, 32)").select("ga", "gb", "k")
-    reps = sigs.groupBy("psig", "size", "ssig").agg(F.min("doc_id").alias("rep"))
+    reps = sigs.groupBy("psig", "size", "ssig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     group = Window.partitionBy("psig", "size")
     reps = written(reps.withColumns({"gid": F.min("rep").over(group), "n": F.count("*").over(group)}), "representatives")
     between = cand.join(reps.select(F.col("gid").alias("ga"), F.col("rep").alias("x")), "ga").join(reps.select(F.col("gid").alias("gb"), F.col("rep").alias("y")), "gb")
@@ -432,11 +461,32 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     likely = bits.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_likely(threshold), "a long, b long, k long")
     pairs = written(likely, "likely")
     right, places = _blocked(pairs, pairs.count())
+    places = places.join(reps.select(F.col("rep").alias("doc"), "copies"), "doc")
     sets = _sets(d, places.select("doc").distinct(), n, held)
-    left = sets.join(_small(places), "doc").select("block", "doc", "grams")
+    return sigs, reps, sets.join(_small(places), "doc").select("block", "doc", "copies", "grams"), right
+
+
+def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes (doc_id, rep): documents with grams and the smallest id with the same gram set.  Pairs (a, b, jaccard): a < b,
+    representatives of different sets with at least the threshold.
+
+    Null ids and null texts take no part; equal rows count once; of different texts under one id, the text that sorts last counts.
+    """
+    sigs, reps, left, right = _candidate_sets(docs, n, threshold, id_col, text_col)
     found = left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    classes = sigs.join(reps, ["psig", "size", "ssig"]).select("doc_id", "rep")
-    return classes, written(found, "pairs")
+    return _classes(sigs, reps), written(found, "pairs")
+
+
+def _classes(sigs: DataFrame, reps: DataFrame) -> DataFrame:
+    return sigs.join(reps, ["psig", "size", "ssig"]).select("doc_id", "rep")
+
+
+def _linked(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, links (rep, others) without those of copies, and roots (rep, root) of representatives that have any."""
+    sigs, reps, left, right = _candidate_sets(docs, n, threshold, id_col, text_col)
+    tally = written(left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_tally(threshold), "doc long, links long, root long"), "tally")
+    roots = components(tally.select(F.col("doc").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    return sigs.join(reps, ["psig", "size", "ssig"]).select("doc_id", "rep", "copies"), tally.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("others")), roots
 
 
 def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,17 +496,11 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     id that can be reached over such links.  A document without words or text is alone.  For the pairs themselves
     see classes_and_pairs, also for nulls and repeats.
     """
-    classes, pairs = classes_and_pairs(docs, n, threshold, id_col, text_col)
-    classes = written(classes, "classes")
-    copies = written(classes.groupBy("rep").agg(F.count("*").alias("n")), "copies")
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    links = both.join(copies.select(F.col("rep").alias("y"), "n"), "y").groupBy(F.col("x").alias("rep")).agg(F.sum("n").alias("others"))
-    roots = components(pairs).withColumnRenamed("node", "rep")
-    per = copies.join(links, "rep", "left").join(roots, "rep", "left")
-    per = per.select("rep", F.coalesce("root", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    classes, links, roots = _linked(docs, n, threshold, id_col, text_col)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    out = ids.join(classes, "doc_id", "left").join(per, "rep", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = ids.join(classes, "doc_id", "left").join(links.join(roots, "rep", "left"), "rep", "left")
+    n_links = F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
+    return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), n_links.alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -483,9 +527,8 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
 
     Documents without words and rows with a null id or text always stay; rows that repeat an id share its fate.
     """
-    classes, pairs = classes_and_pairs(docs, n, threshold, id_col, text_col)
-    roots = components(pairs)
-    gone = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").where(F.coalesce("root", "rep") != F.col("doc_id"))
+    classes, _, roots = _linked(docs, n, threshold, id_col, text_col)
+    gone = classes.join(roots, "rep", "left").where(F.coalesce("root", "rep") != F.col("doc_id"))
     name = fresh(docs, "_gone")
     gone = written(gone.select(F.col("doc_id").alias(name)), "gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
