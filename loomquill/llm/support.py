@@ -90,6 +90,23 @@ def stratified(df: DataFrame, key: str, stratum: str, per_stratum: int, salt: in
     return df.where(keep).limit(int(1.5 * per_stratum * max(1, len(counts))))
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def long_hash(x: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for a long column (XXH64 of eight bytes, seed 42)."""
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42) + _P5 + np.uint64(8)) ^ (_turned(x.astype(np.uint64, copy=False) * _P2, 31) * _P1)
+        h = _turned(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))
+
+
 class Bloom:
     """Split-block Bloom filter of 64-bit hashes: one 256-bit block a key, one bit in each of its eight words."""
 
@@ -98,17 +115,17 @@ class Bloom:
 
     def hit(self, h: np.ndarray) -> np.ndarray:
         h = h.astype(np.uint64, copy=False)
-        words = self.table[(h >> np.uint64(40)) & np.uint64(len(self.table) - 1)]
+        words = self.table[long_hash(h) & np.uint64(len(self.table) - 1)]
         out = np.ones(len(h), dtype=bool)
         for i in range(8):
             out &= (words[:, i] >> ((h >> np.uint64(5 * i)) & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
         return out
 
 
-def bloom_blocks(hashes: DataFrame, h: str, n_keys: int, bits_per_key: int = 16) -> tuple[DataFrame, int]:
-    """(block, w0..w7) of the filter, built with bit_or aggregates, and the number of blocks (a power of two)."""
+def bloom_blocks(hashes: DataFrame, h: str, n_keys: int, bits_per_key: int = 16, most: int | None = None) -> tuple[DataFrame, int]:
+    """(block, w0..w7) of the filter, built with bit_or aggregates, and the number of blocks (a power of two, `most` at most)."""
     blocks = 1
-    while blocks * 256 < max(1, n_keys) * bits_per_key and blocks < 1 << 24:
+    while blocks * 256 < max(1, n_keys) * bits_per_key and (most is None or 2 * blocks <= most):
         blocks *= 2
     c = F.col(h)
     words = [F.bit_or(F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned(c, 5 * i).bitwiseAND(F.lit(31)).cast("int"))).alias(f"w{i}") for i in range(8)]
@@ -116,14 +133,17 @@ def bloom_blocks(hashes: DataFrame, h: str, n_keys: int, bits_per_key: int = 16)
 
 
 def block_of(h: Column, blocks: int) -> Column:
-    return F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(blocks - 1))
+    """Of a second hash of `h`, so that it is independent of the bits within the block."""
+    return F.xxhash64(h).bitwiseAND(F.lit(blocks - 1))
 
 
-def collect_bloom(hashes: DataFrame, h: str, n_keys: int, max_bytes: int = 64 << 20) -> Bloom | None:
-    """The filter on the driver, for a broadcast; None if it would be larger than `max_bytes` (then go without)."""
-    table, blocks = bloom_blocks(hashes, h, n_keys)
-    if blocks * 32 > max_bytes:
-        return None
+def collect_bloom(hashes: DataFrame, h: str, n_keys: int, max_bytes: int = 64 << 20) -> Bloom:
+    """The filter on the driver, for a broadcast, of `max_bytes` at most.
+
+    With more keys than that gives 16 bits each, more of the others pass.  So a caller has to judge what passes exactly; size changes its
+    cost and never its result.
+    """
+    table, blocks = bloom_blocks(hashes, h, n_keys, most=max(1, max_bytes // 32))
     got = table.toArrow()
     out = np.zeros((blocks, 8), dtype=np.uint32)
     at = got["block"].to_numpy().astype(np.int64)

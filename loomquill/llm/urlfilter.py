@@ -1,11 +1,11 @@
 """Operator 3: URL lists, by a blocked Bloom filter before an exact hash join.
 
-URLs are compared in canonical form: lower-case host without ``www.``, user and port; path without closing slashes; query
-without tracking parameters, sorted; neither scheme nor fragment.  The list's hashes go into a split-block Bloom filter
+URLs are compared in canonical form: lower-case host (a name or a bracketed address) without ``www.`` and user, with a port other than 80 and 443;
+path without closing slashes; query without tracking parameters, sorted; neither scheme nor fragment.  Percent signs and dot segments
+stay as they are.  The list's hashes go into a split-block Bloom filter
 (one 256-bit block a key, a bit in each of eight words), built with ``bit_or`` aggregates.  A page looks up the one block of
-its hash, in a broadcast join as long as the filter has at most `max_filter_bytes`.  Pages that pass are joined exactly
-with the list, which removes false positives; all others are done without a shuffle.  A list too long for such a filter goes
-without one: then all pages take the exact join.
+its hash, in a broadcast join as long as the filter has at most `max_filter_bytes`, beyond that in a shuffled join with the table of blocks.
+Pages that pass are joined exactly with the list, which removes false positives; all others are done.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .support import block_of, bloom_blocks
 
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|mc_cid|mc_eid)(=|$)"
-_HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW][wW][wW]\.)?([^/?#:@]+)"
+_HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW][wW][wW]\.)?(\[[^\]/?#]*\]|[^/?#:@]+)"
+_PORT = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:\[[^\]/?#]*\]|[^/?#:@]+):0*([0-9]*)"
 _PATH = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#\s]*)"
 _QUERY = r"^[^?#]*\?([^#\s]*)"
 
@@ -30,7 +31,9 @@ def canonical(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_extract(url, _PATH, 1), "/+$", "")
     parts = F.array_sort(F.filter(F.split(F.regexp_extract(url, _QUERY, 1), "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
     query = F.when(F.size(parts) > 0, F.concat(F.lit("?"), F.array_join(parts, "&"))).otherwise("")
-    return F.when(host(url) != "", F.concat(host(url), path, query))
+    port = F.regexp_extract(url, _PORT, 1)
+    port = F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port))
+    return F.when(host(url) != "", F.concat(host(url), port, path, query))
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, max_filter_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url") -> DataFrame:
@@ -46,11 +49,10 @@ def url_filter(pages: DataFrame, listed: DataFrame, max_filter_bytes: int = 64 <
     blocks, n_blocks = bloom_blocks(hashed, "h", n)
     exact = keys.withColumn("listed", F.lit(True))
     done = lambda df: df.select("page_id", "url", "canonical_url", F.coalesce("listed", F.lit(False)).alias("listed"))
-    if n_blocks * 40 > max_filter_bytes:
-        return done(p.join(exact, "canonical_url", "left"))
     h = F.xxhash64("canonical_url")
     seen = p.withColumn("_block", F.when(F.col("canonical_url").isNotNull(), block_of(h, n_blocks)))
-    seen = seen.join(F.broadcast(blocks.withColumnRenamed("block", "_block")), "_block", "left")
+    blocks = blocks.withColumnRenamed("block", "_block")
+    seen = seen.join(F.broadcast(blocks) if n_blocks * 40 <= max_filter_bytes else blocks, "_block", "left")
     passes = F.lit(True)
     for i in range(8):
         bit = F.shiftrightunsigned(h, 5 * i).bitwiseAND(F.lit(31)).cast("int")
@@ -63,12 +65,13 @@ def url_filter(pages: DataFrame, listed: DataFrame, max_filter_bytes: int = 64 <
 SPAM_HOST = r"(spam|casino|pills|bets|adult|ads)-[a-z]+\.|-(spam|casino|pills|bets|ads)\."
 SQL = r"""
 with c as (
-  select page_id, url, lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW][wW][wW]\.)?([^/?#:@]+)', 1)) as h,
+  select page_id, url, lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW][wW][wW]\.)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)) as h,
+    regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:\[[^\]/?#]*\]|[^/?#:@]+):0*([0-9]*)', 1) as o,
     regexp_replace(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#\s]*)', 1), '/+$', '') as p,
     list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#\s]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|mc_cid|mc_eid)(=|$)'))) as q
   from pages
 ), k as (
-  select page_id, url, h, case when h <> '' then h || p || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end as canonical_url from c
+  select page_id, url, h, case when h <> '' then h || case when o in ('', '80', '443') then '' else ':' || o end || p || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end as canonical_url from c
 )
 select page_id, url, canonical_url,
   coalesce(canonical_url in (select canonical_url from k where canonical_url is not null and regexp_matches(h, '(spam|casino|pills|bets|adult|ads)-[a-z]+\.|-(spam|casino|pills|bets|ads)\.')), false) as listed
