@@ -1,12 +1,13 @@
 """Content-defined chunks that several rows share: found by digest counts, kept once, joined back by digest.
 
 Only chunks that occur at least twice are worth moving.  Their digests are counted in one aggregate over 16-byte
-digests; a split-block Bloom filter of them (None if too large: then every chunk counts as shared) tells each task which
-of its chunks to look for in the store.  A false positive costs one needless store row, never a wrong result.
+digests; a split-block Bloom filter of them, of bounded size, tells each task which of its chunks to look for in the store.  A false positive, and
+there are more beyond some 30 million repeated digests, costs a needless store row; the store's own counts say what is shared.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -55,30 +56,33 @@ def repeated(df: DataFrame, sizes: Sizes, name: str):
 def is_shared(bloom, digests: list[bytes]) -> list[bool]:
     if not digests:
         return []
-    return [True] * len(digests) if bloom is None else bloom.hit(keys_of(digests)).tolist()
+    return bloom.hit(keys_of(digests)).tolist()
 
 
 def store(df: DataFrame, sizes: Sizes, held, pack: Callable[[bytes], bytes]) -> DataFrame:
-    """(digest, payload): each shared chunk once, packed before it is shuffled."""
+    """(digest, payload, n): each chunk that may be shared once, packed before it is shuffled, and how often it occurs."""
 
     def run(batches):
         for b in batches:
             got: dict[bytes, bytes] = {}
+            n: Counter[bytes] = Counter()
             for _, raw, ends, digests in chunks_of(b.column(0), sizes):
                 for d, a, e, hit in zip(digests, [0, *ends], ends, is_shared(held.value, digests)):
-                    if hit and d not in got:
-                        got[d] = pack(raw[a:e])
+                    if hit:
+                        n[d] += 1
+                        if d not in got:
+                            got[d] = pack(raw[a:e])
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.binary())], names=["digest", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.binary()), pa.array([n[d] for d in got], pa.int64())], names=["digest", "payload", "n"])
 
-    return df.mapInArrow(run, "digest binary, payload binary").groupBy("digest").agg(F.first("payload").alias("payload"))
+    return df.mapInArrow(run, "digest binary, payload binary, n long").groupBy("digest").agg(F.first("payload").alias("payload"), F.sum("n").alias("n"))
 
 
 def fetch(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows with uid and refs (array of digests) get `found`, a list of (k, payload) for each reference k.
+    """Rows with uid and refs (array of digests) get `found`, a list of (k, payload, n) for each reference k.
 
     References join the store by digest and come back by uid.
     """
     refs = rows.select("uid", F.posexplode("refs").alias("k", "digest"))
-    found = refs.join(kept, "digest").groupBy("uid").agg(F.collect_list(F.struct("k", "payload")).alias("found"))
+    found = refs.join(kept, "digest").groupBy("uid").agg(F.collect_list(F.struct("k", "payload", "n")).alias("found"))
     return rows.join(found, "uid")

@@ -1,11 +1,13 @@
 """Operator 9: media columns as content-defined chunks that are stored once, and their verified reconstruction.
 
 A payload is cut where a rolling gear hash says so, and becomes an ordered list of chunk digests (128-bit XXH3).  Digests
-are counted in one aggregate; a chunk that occurs twice or more goes into the chunk store, once, and payloads
-refer to it.  A chunk that occurs once stays in its own row, as moving it would save nothing.  Reconstruction joins
-references to the store by digest, puts the chunks in order, and compares length and SHA-256 with the manifest's.
+are counted in one aggregate.  A chunk that occurs twice or more goes into the chunk store, once, and payloads refer to it; one
+that occurs once is stored in the manifest row of its payload, between the references.  So every distinct chunk is stored once, in one of two
+written tables, and every payload is rebuilt from them: references join the store by digest, chunks are put in order, and length and
+SHA-256 are compared with the manifest's.
 
-Plan: rows without a shared chunk are cut, rebuilt and verified in one narrow stage; of the others only the chunks move.
+Plan: the manifest is written by a narrow stage; only references and shared chunks are shuffled.  A task holds a batch of rows and a slice of one payload
+at a time, or one longer payload.
 """
 
 from __future__ import annotations
@@ -50,50 +52,57 @@ def _in_batches(rows, schema: pa.Schema, size: int = 8 << 20):
 
 
 def manifest(media: DataFrame, held, sizes: cs.Sizes = SIZES) -> DataFrame:
-    """MANIFEST for the rows of (media_id, payload) that have a shared chunk: own[i] holds the bytes ahead of refs[i], the last one those at the end."""
+    """MANIFEST for every row of (media_id, payload): own[i] holds the bytes ahead of refs[i], the last one those at the end."""
 
     def run(batches):
         for b in batches:
-            ids, uids = b.column(0).to_pylist(), b.column(2).to_pylist()
+            ids, uids, valid = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).is_valid().to_pylist()
 
             def rows():
                 for r, raw, ends, digests in cs.chunks_of(b.column(1), sizes):
-                    shared = cs.is_shared(held.value, digests)
-                    if any(shared):
-                        own, refs, at = [], [], 0
-                        for d, a, e, hit in zip(digests, [0, *ends], ends, shared):
-                            if hit:
-                                own.append(raw[at:a])
-                                refs.append(d)
-                                at = e
-                        own.append(raw[at:])
-                        yield {"uid": uids[r], "media_id": ids[r], "n_bytes": len(raw), "sha256": hashlib.sha256(raw).hexdigest(), "chunks": digests, "own": own, "refs": refs}, len(raw)
+                    if not valid[r]:
+                        yield {"uid": uids[r], "media_id": ids[r], "n_bytes": None, "sha256": None, "chunks": None, "own": [], "refs": []}, 0
+                        continue
+                    own, refs, at = [], [], 0
+                    for d, a, e, hit in zip(digests, [0, *ends], ends, cs.is_shared(held.value, digests)):
+                        if hit:
+                            own.append(raw[at:a])
+                            refs.append(d)
+                            at = e
+                    own.append(raw[at:])
+                    yield {"uid": uids[r], "media_id": ids[r], "n_bytes": len(raw), "sha256": hashlib.sha256(raw).hexdigest(), "chunks": digests, "own": own, "refs": refs}, len(raw)
 
             yield from _in_batches(rows(), _MANIFEST)
 
     return media.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, MANIFEST)
 
 
-def reconstruct(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """SCHEMA from manifest rows and the chunk store; a payload that isn't verified is null."""
+def _from_rows(batches):
+    for b in batches:
 
-    def run(batches):
-        for b in batches:
+        def done():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                if r["chunks"] is None:
+                    yield {"media_id": r["media_id"], **_NONE}, 0
+                    continue
+                found = {x["k"]: x["payload"] for x in r["found"] or ()}
+                n_shared = sum(x["n"] > 1 for x in r["found"] or ())
+                parts = [x for k, own in enumerate(r["own"]) for x in (own, found.get(k, b""))]
+                yield _rebuilt(r["media_id"], r["n_bytes"], r["sha256"], n_shared, r["chunks"], parts), r["n_bytes"]
 
-            def done():
-                for i in range(b.num_rows):
-                    r = b.slice(i, 1).to_pylist()[0]
-                    found = {x["k"]: x["payload"] for x in r["found"]}
-                    parts = [x for k, own in enumerate(r["own"]) for x in (own, found.get(k, b""))]
-                    yield _rebuilt(r["media_id"], r["n_bytes"], r["sha256"], len(r["refs"]), r["chunks"], parts), r["n_bytes"]
+        yield from _in_batches(done(), _KIND)
 
-            yield from _in_batches(done(), _KIND)
 
-    return cs.fetch(rows, store).select("media_id", "n_bytes", "sha256", "chunks", "own", "refs", "found").mapInArrow(run, SCHEMA)
+def reconstruct(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """SCHEMA from manifest rows and the chunk store; a payload that isn't verified is null."""
+    columns = ("media_id", "n_bytes", "sha256", "chunks", "own", "refs")
+    alone = rows.where(F.size("refs") == 0).select(*columns, F.lit(None).cast("array<struct<k:int,payload:binary,n:bigint>>").alias("found"))
+    return alone.mapInArrow(_from_rows, SCHEMA).unionByName(cs.fetch(rows.where(F.size("refs") > 0), store).select(*columns, "found").mapInArrow(_from_rows, SCHEMA))
 
 
 def media_chunks(df: DataFrame, sizes: cs.Sizes = SIZES, id_col: str = "media_id", payload_col: str = "payload") -> DataFrame:
-    """SCHEMA for every row: ordered chunk digests, how many are shared, and the payload rebuilt from its chunks.
+    """SCHEMA for every row: ordered chunk digests, how many of them occur elsewhere or again, and the payload rebuilt from the stored chunks.
 
     A null payload has null columns and no chunk; an empty payload has 0 bytes, no chunk and is verified.  Null ids and
     repeated rows are kept as they are; a text column counts as its UTF-8 bytes; other columns are ignored.
@@ -101,31 +110,5 @@ def media_chunks(df: DataFrame, sizes: cs.Sizes = SIZES, id_col: str = "media_id
     media = _pick(df, id_col, payload_col)
     payloads = media.select("payload")
     held = cs.repeated(payloads, sizes, "media-chunks")
-
-    def alone(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            valid = b.column(1).is_valid().to_pylist()
-
-            def rows():
-                seen = 0
-                for r, raw, ends, digests in cs.chunks_of(b.column(1), sizes):
-                    for k in range(seen, r):
-                        yield from blank(k)
-                    seen = r + 1
-                    if not digests:
-                        yield from blank(r)
-                    elif not any(cs.is_shared(held.value, digests)):
-                        parts = [raw[a:e] for a, e in zip([0, *ends], ends)]
-                        yield _rebuilt(ids[r], len(raw), hashlib.sha256(raw).hexdigest(), 0, digests, parts), len(raw)
-                for k in range(seen, len(ids)):
-                    yield from blank(k)
-
-            def blank(k: int):
-                yield (_rebuilt(ids[k], 0, hashlib.sha256().hexdigest(), 0, [], []) if valid[k] else {"media_id": ids[k], **_NONE}), 0
-
-            yield from _in_batches(rows(), _KIND)
-
     rows = written(manifest(media, held, sizes), "media-manifest")
-    store = cs.store(payloads, sizes, held, bytes)
-    return media.mapInArrow(alone, SCHEMA).unionByName(reconstruct(rows, store))
+    return reconstruct(rows, written(cs.store(payloads, sizes, held, bytes), "media-store"))

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -25,6 +26,19 @@ def test_round_trip_and_sharing(spark, rng):
         else:
             assert r.verified and r.sha256 == hashlib.sha256(bytes(r.payload)).hexdigest() and r.n_bytes == len(r.payload)
     assert sum(r.n_shared > 0 for r in got) > 50
+    # chunks by their definition: how often each one occurs in the whole table
+    count = Counter(c for r in got for c in r.chunks or ())
+    assert all(r.n_shared == sum(count[c] > 1 for c in r.chunks or ()) for r in got)
+
+
+def test_a_tiny_filter_changes_nothing(spark, rng, monkeypatch):
+    from loomquill.llm import chunkstore as cs
+
+    df = spark.createDataFrame(payloads(rng), "media_id long, payload binary")
+    want = sorted(map(str, M.media_chunks(df).collect()))
+    full = cs.collect_bloom
+    monkeypatch.setattr(cs, "collect_bloom", lambda h, c, n: full(h, c, n, 32))
+    assert sorted(map(str, M.media_chunks(df).collect())) == want
 
 
 def test_chunks_are_what_the_cutter_says(spark, rng):
