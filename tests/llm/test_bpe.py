@@ -57,5 +57,19 @@ def test_decode(spark, docs):
     assert [tuple(r) for r in bpe.decode(odd, FILE).orderBy("doc_id").collect()] == [(1, None), (2, "")]
 
 
+def test_very_long_runs_of_blanks(make):
+    """Pieces as the pattern makes them, by Python's own engine, each encoded alone."""
+    import regex
+
+    codec = bpe.Codec.get(FILE)
+    plain = lambda t: [i for m in regex.finditer(bpe.PATTERN, t) for i in codec.encoder._core_bpe.encode_single_piece(m.group().encode())]
+    for blank in (" ", "\n", "\u3000", " \n\t"):
+        for text in (f"a{blank * 12_000}b", f"{blank * 12_000}", f"x  {blank * 12_000}", f"it's{blank * 11_000}\nnot {blank * 15_000}9"):
+            assert codec.tokens(text) == plain(text)
+    rows = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "x" * 1_000_000), (4, "!" * 1_000_000)]
+    got = {r.doc_id: r for r in bpe.encode(make(rows), FILE).collect()}
+    assert all(got[i].round_trip and got[i].n_bytes == len(t) for i, t in rows)
+
+
 def test_empty_table(make):
     assert bpe.encode(make([]), FILE).count() == 0
