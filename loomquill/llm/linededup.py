@@ -1,24 +1,26 @@
-"""Operator 2: repeated lines, by a sharded minimal perfect hash over the hashes of repeated lines.
+"""Operator 2: repeated lines, by a sharded minimal perfect hash over the hashes of all distinct lines.
 
 A line is a maximal run without a line feed, compared by its 64-bit XXH64 (seed 42, what Spark's ``xxhash64`` gives).
 The lines of at least `min_chars` characters that occur `min_count` times or more are indexed; of these only the first
 occurrence in (document id, line number) order stays.  Shorter lines, such as empty ones, always stay.
 
-Build: one aggregate over compact rows (hash, count, first document), then every shard of repeated hashes gets a minimal
+Build: one aggregate over compact rows (hash, count, first document), then every shard of distinct hashes gets a minimal
 perfect hash: hashes fall into buckets of about three, buckets are placed from large to small with the first pilot
 that sends all their members to free slots (at load 1, so slots are exactly as many as keys; a bucket of one names its slot).
-A shard is four flat arrays: pilots, 32-bit fingerprints, counts, and the first document's id.  They are written as a table in the shared folder, so a lost executor costs nothing.
+A shard is flat arrays: pilots, 32-bit fingerprints, counts of a byte (larger ones apart), and the first document of each line that is
+repeated, in the order of slots: some 6.3 bytes a line and 8 more for a repeated one.  They are written as a table in the shared folder, so a lost executor costs nothing.
 
-Probe: documents never move.  A task turns its lines into hashes, and looks every hash up in its shard's arrays; a
-fingerprint that differs says that the line is not repeated.  The arrays are read from the shared folder, a shard at
-a time as probes need it, and held within `CACHE_BYTES` a worker; beyond that, the least recently used shards are
-dropped and read again.  A key takes about 18 bytes and lines that occur once take none.
+Probe: documents never move.  A task turns its lines into hashes, and looks every hash up in its shard's arrays.  As all lines are
+indexed, each has its own slot and its own count: a line that occurs once can't be taken for another one.  Lines are gathered up to
+`PROBE_LINES` and looked up together, shard by shard, so a task of fewer lines reads each shard once, whatever the size of the index;
+shards are held within `CACHE_BYTES` a worker.
 """
 
 from __future__ import annotations
 
 import os
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,11 @@ from .support import fresh, written
 SHARD_KEYS = 1 << 18
 DIRECT = 1 << 31
 CACHE_BYTES = 256 << 20
+PROBE_LINES = 1 << 20
+MANY = 255
 _U = np.uint64
-INDEX_SCHEMA = "shard int, n int, pilots binary, fingerprints binary, counts binary, docs binary"
+INDEX_SCHEMA = "shard int, n int, pilots binary, fingerprints binary, counts binary, many binary, docs binary"
+_KINDS = (("pilots", np.uint32), ("fingerprints", np.uint32), ("counts", np.uint8), ("many", np.int64), ("docs", np.int64))
 
 
 def line_hashes(text: Column) -> Column:
@@ -106,21 +111,45 @@ def build_mph(h: np.ndarray) -> np.ndarray:
     return pilots
 
 
+def _print(h: np.ndarray) -> np.ndarray:
+    return (tk.mix(h) >> _U(32)).astype(np.uint32)
+
+
 def _index_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     h = table["h"].to_numpy().view(_U)
     pilots = build_mph(h)
-    at = _slots(h, pilots[_bucket(h, len(h))], len(h))
-    put = lambda x, kind: (out := np.empty(len(h), dtype=kind), out.__setitem__(at, x.astype(kind)))[0].tobytes()
-    row = [key[0].as_py(), len(h), pilots.tobytes(), put(tk.mix(h) >> _U(32), np.uint32), put(np.minimum(table["n"].to_numpy(), 2**32 - 1), np.uint32), put(table["doc"].to_numpy(), np.int64)]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.table({k: pa.array([v], t) for k, v, t in zip(("shard", "n", "pilots", "fingerprints", "counts", "docs"), row, kinds)})
+    order = np.argsort(_slots(h, pilots[_bucket(h, len(h))], len(h)))
+    count = table["n"].to_numpy()[order]
+    arrays = (pilots, _print(h[order]), np.minimum(count, MANY).astype(np.uint8), count[count >= MANY], table["doc"].to_numpy()[order][count > 1])
+    cols = [pa.array([key[0].as_py()], pa.int32()), pa.array([len(h)], pa.int32()), *[pa.array([x.astype(t).tobytes()], pa.binary()) for x, (_, t) in zip(arrays, _KINDS)]]
+    return pa.table(dict(zip(("shard", "n", *(n for n, _ in _KINDS)), cols)))
+
+
+class Shard:
+    """The arrays of one shard, ready for probes."""
+
+    def __init__(self, pilots: np.ndarray, prints: np.ndarray, counts: np.ndarray, many: np.ndarray, docs: np.ndarray):
+        self.pilots, self.prints, self.counts, self.many, self.docs = pilots, prints, counts, many, docs
+        self.repeated, self.most = np.flatnonzero(counts > 1).astype(np.uint32), np.flatnonzero(counts == MANY).astype(np.uint32)
+        self.nbytes = sum(x.nbytes for x in (pilots, prints, counts, many, docs, self.repeated, self.most))
+
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each hash (0 for one that isn't indexed) and, where it is over 1, the first document."""
+        slot = _slots(h, self.pilots[_bucket(h, len(self.prints))], len(self.prints))
+        count = np.where(self.prints[slot] == _print(h), self.counts[slot], 0).astype(np.int64)
+        big = np.flatnonzero(count == MANY)
+        count[big] = self.many[np.searchsorted(self.most, slot[big])]
+        doc = np.zeros(len(h), dtype=np.int64)
+        again = np.flatnonzero(count > 1)
+        doc[again] = self.docs[np.searchsorted(self.repeated, slot[again])]
+        return count, doc
 
 
-def build_index(docs: DataFrame, min_chars: int = 20, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, int]:
+def build_index(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, int]:
     """(path of the written index, number of shards).  Rows with a null id or text bring no lines."""
     t = docs.select(F.col(id_col).cast("long").alias("doc"), F.split(F.col(text_col).cast("string"), "\n", -1).alias("_l")).where("doc is not null and _l is not null")
     lines = t.select("doc", F.explode("_l").alias("_x")).where(F.length("_x") >= min_chars).select(F.xxhash64("_x").alias("h"), "doc")
-    seen = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where(F.col("n") >= min_count)
+    seen = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
     keys = written(seen, "lines")
     shards = max(1, -(-keys.count() // SHARD_KEYS))
     built = keys.groupBy(F.pmod(F.shiftright("h", 32), F.lit(shards)).cast("int").alias("shard")).applyInArrow(_index_shard, INDEX_SCHEMA)
@@ -134,7 +163,7 @@ class Index:
     def __init__(self, path: str, shards: int):
         self.path, self.shards, self.held, self.size = path, shards, OrderedDict(), 0
 
-    def shard(self, k: int) -> tuple[np.ndarray, ...] | None:
+    def shard(self, k: int) -> Shard | None:
         if k in self.held:
             self.held.move_to_end(k)
             return self.held[k]
@@ -142,32 +171,26 @@ class Index:
         got = ds.dataset(root, filesystem=fs, format="parquet").to_table(filter=ds.field("shard") == k)
         arrays = None
         if got.num_rows:
-            arrays = tuple(np.frombuffer(got[c][0].as_py(), dtype=t) for c, t in (("pilots", np.uint32), ("fingerprints", np.uint32), ("counts", np.uint32), ("docs", np.int64)))
+            arrays = Shard(*(np.frombuffer(got[c][0].as_py(), dtype=t) for c, t in _KINDS))
         self.held[k] = arrays
-        self.size += sum(a.nbytes for a in arrays or ())
+        self.size += arrays.nbytes if arrays else 0
         while self.size > CACHE_BYTES and len(self.held) > 1:
             _, old = self.held.popitem(last=False)
-            self.size -= sum(a.nbytes for a in old or ())
+            self.size -= old.nbytes if old else 0
         return arrays
 
     def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (0: not repeated) and first document of each hash."""
+        """Count (0: not indexed) and, where it is over 1, the first document of each hash."""
         count, doc = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
         if not self.path or not len(h):
             return count, doc
         which = ((h.view(np.int64) >> 32) % self.shards).astype(np.int64)
         u = h.view(_U)
         for k in np.unique(which):
-            arrays = self.shard(int(k))
-            if arrays is None:
-                continue
-            pilots, prints, counts, docs = arrays
-            at = np.flatnonzero(which == k)
-            x = u[at]
-            slot = _slots(x, pilots[_bucket(x, len(prints))], len(prints))
-            hit = prints[slot] == (tk.mix(x) >> _U(32)).astype(np.uint32)
-            at, slot = at[hit], slot[hit]
-            count[at], doc[at] = counts[slot], docs[slot]
+            shard = self.shard(int(k))
+            if shard is not None:
+                at = np.flatnonzero(which == k)
+                count[at], doc[at] = shard.probe(u[at])
         return count, doc
 
 
@@ -182,22 +205,22 @@ def _open(path: str, shards: int) -> Index:
     return _OPEN[key]
 
 
-def keeper(path: str, shards: int):
+def keeper(path: str, shards: int, min_count: int):
     """Column function (id, line hashes, line lengths as 'long enough' flags) -> flags of the lines that stay."""
 
-    @F.arrow_udf("array<boolean>")
-    def keep(doc: pa.Array, hashes: pa.Array, eligible: pa.Array) -> pa.Array:
+    def lines(doc: pa.Array, hashes: pa.Array, eligible: pa.Array) -> tuple:
         n = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         h = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         ok = eligible.flatten().to_numpy(zero_copy_only=False).astype(bool)
         ids = np.repeat(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), n)
-        known = np.repeat(~np.asarray(doc.is_null()), n)
+        return n, h, ids, np.flatnonzero(ok & np.repeat(~np.asarray(doc.is_null()), n))
+
+    def flags(n: np.ndarray, h: np.ndarray, ids: np.ndarray, look: np.ndarray, count: np.ndarray, first: np.ndarray) -> pa.ListArray:
         row = np.repeat(np.arange(len(n)), n)
         stay = np.ones(len(h), dtype=bool)
-        look = np.flatnonzero(ok & known)
-        count, first = _open(path, shards).probe(np.ascontiguousarray(h[look]))
-        again = look[count > 0]
-        home = first[count > 0] == ids[again]
+        often = count >= min_count
+        again = look[often]
+        home = first[often] == ids[again]
         stay[again[~home]] = False
         again = again[home]  # in the line's first document: its first place there stays
         if len(again):
@@ -206,6 +229,28 @@ def keeper(path: str, shards: int):
             stay[x[1:][(h[x[1:]] == h[x[:-1]]) & (row[x[1:]] == row[x[:-1]])]] = False
         return tk.list_array(pa.array(stay), n)
 
+    @F.arrow_udf("array<boolean>")
+    def keep(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held, size = [], 0
+
+        def done():
+            h = np.concatenate([b[1][b[3]] for b in held])
+            count, first = _open(path, shards).probe(h)
+            at = 0
+            for n, h, ids, look in held:
+                part = slice(at, at + len(look))
+                yield flags(n, h, ids, look, count[part], first[part])
+                at += len(look)
+
+        for b in batches:
+            held.append(lines(*b))
+            size += len(held[-1][1]) + len(held[-1][0])
+            if size >= PROBE_LINES:
+                yield from done()
+                held, size = [], 0
+        if held:
+            yield from done()
+
     return keep
 
 
@@ -216,11 +261,11 @@ def dedup_text(docs: DataFrame, min_chars: int = 20, min_count: int = 2, id_col:
     empty line and stays; a row with a null id keeps all its lines.  Of rows that repeat an id each keeps what is first
     under that id, so equal rows stay equal.
     """
-    path, shards = build_index(docs, min_chars, min_count, id_col, text_col)
+    path, shards = build_index(docs, min_chars, id_col, text_col)
     text = F.col(text_col).cast("string")
     parts = F.split(text, "\n", -1)
     kept = fresh(docs, "_keep")
-    out = docs.withColumn(kept, keeper(path, shards)(F.col(id_col).cast("long"), line_hashes(text), F.transform(parts, lambda x: F.length(x) >= min_chars)))
+    out = docs.withColumn(kept, keeper(path, shards, max(2, min_count))(F.col(id_col).cast("long"), line_hashes(text), F.transform(parts, lambda x: F.length(x) >= min_chars)))
     clean = F.array_join(F.filter(parts, lambda x, i: F.element_at(F.col(kept), i + 1)), "\n")
     dropped = F.size(F.filter(kept, lambda x: ~x))
     none = text.isNull()

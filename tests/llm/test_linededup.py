@@ -34,6 +34,21 @@ def test_perfect_hash_is_minimal_and_perfect(n):
     assert sorted(at.tolist()) == list(range(len(h)))
 
 
+def test_counts_and_first_documents_whatever_the_fingerprints(monkeypatch):
+    """All fingerprints collide; every line still has its own slot, and large counts are exact."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "_print", lambda h: np.zeros(len(h), dtype=np.uint32))
+    gen = np.random.default_rng(1)
+    h = np.unique(gen.integers(-(1 << 63), 1 << 63, 4000))
+    n = np.where(gen.random(len(h)) < 0.1, gen.integers(2, 1000, len(h)), 1)
+    doc = gen.integers(-5, 1 << 40, len(h))
+    row = D._index_shard((pa.scalar(0),), pa.table({"h": h, "n": n, "doc": doc}))
+    shard = D.Shard(*(np.frombuffer(row[c][0].as_py(), dtype=t) for c, t in D._KINDS))
+    count, first = shard.probe(h.view(np.uint64))
+    assert (count == n).all() and (first == np.where(n > 1, doc, 0)).all()
+
+
 def test_equals_brute_force(make, rng):
     pool = [f"{LONG} number {k}" for k in range(30)] + ["short", ""]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(6)))) for i in range(200)]
