@@ -97,7 +97,21 @@ def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit content hash of data[s:e] for arrays of starts and ends."""
+    """64-bit content hash of data[s:e] for rising arrays of starts and ends.
+
+    Ranges are taken in groups that span about a slice, so temporaries don't grow with the length of a text.
+    """
+    if len(data) > 2 * SLICE_BYTES and len(s) > 1:
+        out, i = np.empty(len(s), dtype=_U), 0
+        while i < len(s):
+            j = max(i + 1, int(np.searchsorted(e, s[i] + SLICE_BYTES, side="right")))
+            out[i:j] = _range_hash(data[s[i] : e[j - 1]], s[i:j] - s[i], e[i:j] - s[i])
+            i = j
+        return out
+    return _range_hash(data, s, e)
+
+
+def _range_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     up, down = _Powers.get(len(data))
     acc = np.zeros(len(data) + 1, dtype=_U)
     np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=acc[1:])

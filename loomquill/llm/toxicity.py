@@ -1,7 +1,7 @@
 """Operator 1: toxic spans by a linear-chain conditional random field.
 
 The field has two labels (0 clean, 1 toxic) over the words of a sentence.  A word's potential is a sum of hashed
-features (the word, its first 3 to 6 and last 3 and 4 bytes, its shape); neighbours share a 2 x 2 potential.
+features (the whole word, its first 3 to 6 and last 3 and 4 bytes, its shape); neighbours share a 2 x 2 potential.
 Tokens for training are labelled from the document labels: in a bounded, hash-chosen sample of labelled documents
 a word is toxic if the word itself or one of its beginnings of 4 to 6 bytes occurs in toxic documents more often than
 chance explains and (nearly) never in clean ones.  The field then generalises over these features.  Forward-backward gives each
@@ -19,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .support import give_back, stratified
 
-BITS = 18
+BITS, BLOCK = 18, 256
 SCHEMA = "n_tokens int, score double, expected_toxic double, toxic boolean, spans array<struct<start:int,end:int,score:double>>"
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 _STOP = np.zeros(256, dtype=bool)
@@ -63,7 +63,7 @@ def features(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     def put(i: int, x: np.ndarray) -> None:  # one at a time: a list of all would take 64 bytes a token
         out[i] = ((tk.mix(x + _MULT[i])) >> np.uint64(64 - BITS)).astype(np.int32)
 
-    put(0, tk.mix(head ^ (tail * _MULT[1]) ^ n))
+    put(0, tk.range_hash(low, s, e))
     for i, k in enumerate((3, 4, 5, 6), 1):
         put(i, head & np.uint64((1 << (8 * k)) - 1))
     for i, k in enumerate((3, 4), 5):
@@ -89,27 +89,65 @@ def _step(x: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.log((y * t[1, 1] + t[0, 1]) / (y * t[1, 0] + t[0, 0]))
 
 
-def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of forward messages (with the own emission) and of backward messages for every token.
+def _carried(em: np.ndarray, begin: np.ndarray, end: np.ndarray, new: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The log-odds that reach each block of a sentence from the one before it.
+
+    A block is a product of 2 x 2 matrices.  All blocks are multiplied together, position by position; then each sentence's blocks are
+    passed through one after the other.
+    """
+    out = np.zeros(len(begin))
+    several = np.flatnonzero(~new | np.concatenate((~new[1:], [False])))
+    if not len(several):
+        return out
+    at, stop = begin[several] + new[several], end[several]  # the first word of a sentence starts the vector
+    m = np.tile(np.eye(2), (len(several), 1, 1))
+    for p in range(int((stop - at).max(initial=0))):
+        live = np.flatnonzero(at + p < stop)
+        e = np.exp(np.clip(em[at[live] + p], -80, 80))[:, None]
+        a, b = m[live, 0], m[live, 1]
+        m[live, 0], m[live, 1] = t[0, 0] * a + t[1, 0] * b, e * (t[0, 1] * a + t[1, 1] * b)
+        m[live] /= m[live].max(axis=(1, 2))[:, None, None]
+    v = np.ones(2)
+    for k, i in enumerate(several):
+        if new[i]:
+            v = np.array([1.0, np.exp(np.clip(em[begin[i]], -80, 80))])
+        else:
+            out[i] = np.log(v[1] / v[0])
+        v = m[k] @ v
+        v = np.maximum(v / v.max(), 1e-300)
+    return out
+
 
-    Sentences are advanced together, longest first, so the loop runs over positions and not over tokens.
+def _chain(em: np.ndarray, first: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """a[i] = em[i] + step(a[i - 1]) within every sentence.
+
+    Sentences are advanced together, longest first, in blocks of `BLOCK` words, so the loop runs over positions of a block and not over words.
     """
-    n = len(em)
-    a, b = em.copy(), np.zeros(n)
+    n, a = len(em), em.copy()
     if not n:
-        return a, b
-    t = np.exp(trans)
+        return a
     last = np.concatenate((first[1:], [n]))
-    size = last - first
+    parts = -(-(last - first) // BLOCK)
+    begin = np.repeat(first, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * BLOCK
+    end = np.minimum(begin + BLOCK, np.repeat(last, parts))
+    new = np.isin(begin, first, assume_unique=True)
+    into = _carried(em, begin, end, new, t)
+    a[begin[~new]] += _step(into[~new], t)
+    size = end - begin
     order = np.argsort(-size, kind="stable")
-    begin, end, size = first[order], last[order] - 1, size[order]
-    live = np.searchsorted(-size, -np.arange(1, size[0]), side="left") if size[0] > 1 else []
-    for p, k in enumerate(live, 1):
+    begin, size = begin[order], size[order]
+    for p, k in enumerate(np.searchsorted(-size, -np.arange(1, size[0]), side="left") if size[0] > 1 else [], 1):
         i = begin[:k] + p
         a[i] = em[i] + _step(a[i - 1], t)
-        j = end[:k] - p
-        b[j] = _step(em[j + 1] + b[j + 1], t.T)
-    return a, b
+    return a
+
+
+def forward_backward(em: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of forward messages (with the own emission) and of backward messages for every token."""
+    t, n = np.exp(trans), len(em)
+    a = _chain(em, first, t)
+    ends = np.concatenate((first[1:], [n]))[: len(first)]
+    return a, _chain(em[::-1], n - ends[::-1], t.T)[::-1] - em
 
 
 def marginals(em: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -172,18 +210,17 @@ def distant_labels(texts: list[str], toxic: np.ndarray, min_support: int = 6, le
     data, off = tk.string_buffers(pa.array(texts, pa.large_string()))
     s, e, row, first = tokens(data, off)
     low = tk.lower_latin(data)
-    head, n = _packed(low, s, e, 8, False), e - s
-    tail = _packed(low, s, e, 8, True)
+    head, n, whole = _packed(low, s, e, 8, False), e - s, tk.range_hash(low, s, e)
     n_tox = max(1, int(labels.sum()))
     n_clean = max(1, len(labels) - n_tox)
-    kin = families(tk.mix(head ^ (tail * _MULT[1]) ^ n.astype(np.uint64)), row, len(labels))
+    kin = families(whole, row, len(labels))
     toxic_kin, clean_kin = np.unique(kin[labels == 1]), np.unique(kin[labels == 0])
     share = len(toxic_kin) / max(1, len(toxic_kin) + len(clean_kin))
     y = np.zeros(len(s), dtype=bool)
     if not labels.any():
         return data, off, s, e, row, first, y
     for k in (8, 4, 5, 6):
-        value, ok = (tk.mix(head ^ (tail * _MULT[1]) ^ n.astype(np.uint64)), n >= 3) if k == 8 else (head & np.uint64((1 << (8 * k)) - 1), n > k)
+        value, ok = (whole, n >= 3) if k == 8 else (head & np.uint64((1 << (8 * k)) - 1), n > k)
         keys, inv = np.unique(value[ok], return_inverse=True)
         del value
         pair = np.unique(inv.astype(np.int64) * (len(labels) + 1) + row[ok])
@@ -314,7 +351,3 @@ def toxic_spans(docs: DataFrame, crf: Crf, threshold: float = 0.5, id_col: str =
 def drop_toxic(docs: DataFrame, crf: Crf, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text is not toxic."""
     return docs.where(~scorer(docs, crf, threshold)(F.col(text_col).cast("string"))["toxic"])
-
-
-def is_toxic(run, text: Column) -> Column:
-    return run(text)["toxic"]

@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,49 @@ def test_forward_backward_is_the_sum_over_all_sequences():
     assert np.allclose(got, want, atol=1e-9)
 
 
+def plain_marginals(em, first, trans):
+    """The same recursion word by word."""
+    t, n = np.exp(trans), len(em)
+    a, b = em.copy(), np.zeros(n)
+    heads = set(first.tolist())
+    for i in range(1, n):
+        if i not in heads:
+            a[i] += X._step(a[i - 1], t)
+    for i in range(n - 2, -1, -1):
+        if i + 1 not in heads:
+            b[i] = X._step(em[i + 1] + b[i + 1], t.T)
+    return 1 / (1 + np.exp(-np.clip(a + b, -40, 40)))
+
+
+def test_long_sentences_in_blocks_equal_word_by_word():
+    gen = np.random.default_rng(4)
+    sizes = [1, X.BLOCK, X.BLOCK + 1, 3000, 5, 2 * X.BLOCK, 1]
+    em, trans = gen.normal(0, 6, sum(sizes)), gen.normal(0, 2, (2, 2))
+    first = np.cumsum([0, *sizes[:-1]])
+    assert np.allclose(X.marginals(em, first, trans), plain_marginals(em, first, trans), atol=1e-9)
+    # a long sentence takes about as long as the same words in short ones
+    em = gen.normal(0, 3, 200_000)
+    began = time.perf_counter()
+    X.marginals(em, np.arange(0, len(em), 8), trans)
+    short = time.perf_counter() - began
+    X.marginals(em, np.array([0]), trans)
+    assert time.perf_counter() - began - short < 8 * short + 0.5
+
+
+def test_long_words_that_differ_in_the_middle_differ():
+    a, b = (np.frombuffer(f"abcdefgh{c}stuvwxyz".encode(), dtype=np.uint8) for c in "xy")
+    s, e = np.array([0]), np.array([17])
+    assert X.features(a, s, e)[0, 0] != X.features(b, s, e)[0, 0]
+
+
+def test_range_hash_of_long_texts_is_the_same():
+    from loomquill.llm import textkit as tk
+
+    data = np.frombuffer(("some words in a row " * 150_000).encode() + b"x" * 3_000_000, dtype=np.uint8)
+    s, e = tk.runs(tk.WORD[data], np.array([0, len(data)]))
+    assert (tk.range_hash(data, s, e) == tk._range_hash(data, s, e)).all()
+
+
 @pytest.fixture(scope="module")
 def fitted(spark):
     docs = table(spark, SF1, "documents")
