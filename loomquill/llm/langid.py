@@ -5,7 +5,9 @@ in lower case, with a blank for the word border.  Every language has its own pro
 expectation-maximisation over all segmentations of the words of a bounded, hash-chosen sample of labelled documents.  The
 probability of a word is the sum over all its segmentations, found by the forward recursion
 ``A[i] = sum_l A[i - l] p(piece)``; a byte that no piece covers has a small fixed probability.  A document's
-log-likelihood is the sum over its words.  Words longer than `BLOCK` bytes are scored in blocks.
+log-likelihood is the sum over its words.  A word is a run of letters and marks in lower case, of any length: a sentence
+without blanks is one word, and its probability is carried in rescaled numbers.  (Only for fitting, words of the sample are cut at
+character borders into parts of about `SHORT` bytes.)
 
 Plan: one narrow Arrow stage, no shuffle.  A slice of texts is reduced to its distinct words, and the recursion runs
 over all words of one length and all languages together.  The model (vocabulary times languages) does not grow with the data.
@@ -17,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .support import give_back, stratified
 
-BLOCK, LONGEST, FLOOR = 40, 16, 1e-6
+SHORT, FLOOR, CHUNK = 40, 1e-6, 4096
 SLICE = 1 << 20
 REMEMBERED = 500_000
 _U = np.uint64
@@ -42,9 +45,7 @@ def pieces(model_file: str) -> list[bytes]:
         body = p.replace("▁", "")
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or p.count("▁") > 1 or (body and not body.isalpha()) or p != p.lower():
             continue
-        b = p.replace("▁", " ").encode()
-        if len(b) <= LONGEST:
-            out[b] = True
+        out[p.replace("▁", " ").encode()] = True
     return list(out)
 
 
@@ -55,7 +56,7 @@ def _poly(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-_POW = np.concatenate(([_U(1)], np.multiply.accumulate(np.full(LONGEST, _B, dtype=_U))))
+_POW = np.concatenate(([_U(1)], np.multiply.accumulate(np.full(1 << 10, _B, dtype=_U))))
 
 
 _K1, _K2 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -70,6 +71,7 @@ class Model:
     languages: list[str]
     keys: np.ndarray  # sorted hashes of the pieces
     probs: np.ndarray  # [pieces + 1, languages]; the last row is no piece
+    longest: int  # bytes of the longest piece
 
     def __post_init__(self) -> None:
         # two direct-mapped tables: keys that collide in the first one are found by the second, others by search
@@ -112,7 +114,7 @@ class Model:
 def _lattice(model: Model, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """Piece index of every substring (end, length) of words of one length."""
     acc = _poly(words)
-    return {(i, n): model.lookup(acc[:, i] - acc[:, i - n] * _POW[n]) for i in range(1, words.shape[1] + 1) for n in range(1, min(i, LONGEST) + 1)}
+    return {(i, n): model.lookup(acc[:, i] - acc[:, i - n] * _POW[n]) for i in range(1, words.shape[1] + 1) for n in range(1, min(i, model.longest) + 1)}
 
 
 def _forward(model: Model, words: np.ndarray, probs: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def _forward(model: Model, words: np.ndarray, probs: np.ndarray) -> np.ndarray:
     a[0] = 1.0
     for i in range(1, n + 1):
         a[i] = a[i - 1] * FLOOR
-        for k in range(1, min(i, LONGEST) + 1):
+        for k in range(1, min(i, model.longest) + 1):
             at = model.lookup(acc[:, i] - acc[:, i - k] * _POW[k])
             hit = np.flatnonzero(at != none)
             if len(hit):
@@ -131,20 +133,64 @@ def _forward(model: Model, words: np.ndarray, probs: np.ndarray) -> np.ndarray:
     return np.log(a[n])
 
 
+def _forward_long(model: Model, word: np.ndarray) -> np.ndarray:
+    """log p(word) [languages] of one word of any length; messages are rescaled as they go."""
+    s, width, n_lang = np.concatenate(([np.uint8(32)], word)), model.longest, len(model.languages)
+    none, log = len(model.keys), np.zeros(n_lang)
+    a = np.zeros((width, n_lang))  # the messages of the last positions
+    a[-1] = 1.0
+    for lo in range(0, len(s), CHUNK):
+        hi, back = min(len(s), lo + CHUNK), min(lo, width)
+        acc = _poly(s[None, lo - back : hi])[0]
+        at = np.full((hi - lo, width), none, dtype=np.int64)  # at[i, -k]: the piece of k bytes that ends after position lo + i
+        end = np.arange(back + 1, back + hi - lo + 1)
+        for k in range(1, width + 1):
+            ok = np.flatnonzero(end >= k)
+            at[ok, width - k] = model.lookup(acc[end[ok]] - acc[end[ok] - k] * _POW[k])
+        p = model.probs[at]
+        p[:, -1] += FLOOR
+        a = np.concatenate((a, np.zeros((hi - lo, n_lang))))
+        for i in range(hi - lo):
+            a[width + i] = (a[i : i + width] * p[i]).sum(axis=0)
+            if i % 16 == 15 or i == hi - lo - 1:
+                top = a[i + 1 : width + i + 1].max(axis=0)
+                a[i + 1 : width + i + 1] /= top
+                log += np.log(top)
+        a = a[-width:]
+    return log + np.log(a[-1])
+
+
+def lettered(column: pa.Array) -> pa.Array:
+    """Lower case; where there may be signs beyond ASCII, all that is neither letter nor mark becomes a blank."""
+    low = pc.utf8_lower(column.cast(pa.large_string()))
+    data, off = tk.string_buffers(low)
+    data = data[off[0] : off[-1]]
+    return pc.replace_substring_regex(low, r"[^\pL\pM]+", " ") if ((data == 0xC2) | (data >= 0xE1) | ((data >= 0xCA) & (data <= 0xCB))).any() else low
+
+
+def _slices(column: pa.Array):
+    """(bytes, offsets) of consecutive rows; few rows are lowered at once, so large batches need no second copy."""
+    for at in range(0, len(column), 512):
+        for _, _, data, off in tk.slices(lettered(column.slice(at, 512)), SLICE):
+            yield data, off
+
+
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case bytes, and starts, ends (at most BLOCK apart) and rows of letter runs."""
-    low = tk.lower_latin(data)
-    s, e = tk.runs(tk.LETTER[low], off)
-    wide = np.flatnonzero(e - s > BLOCK)
-    if len(wide):
-        parts = [(p, min(p + BLOCK, e[w])) for w in wide for p in range(s[w], e[w], BLOCK)]
-        rest = np.ones(len(s), dtype=bool)
-        rest[wide] = False
-        s = np.concatenate((s[rest], [p[0] for p in parts]))
-        e = np.concatenate((e[rest], [p[1] for p in parts]))
-        order = np.argsort(s, kind="stable")
-        s, e = s[order], e[order]
-    return low, s, e, tk.rows_of(s, off)
+    """Bytes, and starts, ends and rows of letter runs."""
+    s, e = tk.runs(tk.LETTER[data], off)
+    return data, s, e, tk.rows_of(s, off)
+
+
+def _parts(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Long words of a sample in parts that end at character borders."""
+    wide = np.flatnonzero(e - s > SHORT)
+    begin, end = [np.delete(s, wide)], [np.delete(e, wide)]
+    for w in wide:
+        lead = s[w] + np.flatnonzero((low[s[w] : e[w]] & 0xC0) != 0x80)
+        cut = np.unique(lead[np.minimum(np.searchsorted(lead, np.arange(s[w], e[w], SHORT - 4)), len(lead) - 1)])
+        begin.append(cut)
+        end.append(np.concatenate((cut[1:], e[w : w + 1])))
+    return np.concatenate(begin), np.concatenate(end)
 
 
 def _matrix(low: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
@@ -159,9 +205,11 @@ def distinct_words(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.nd
 def log_words(model: Model, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     out = np.zeros((len(s), len(model.languages)))
     size = e - s
-    for n in np.unique(size):
+    for n in np.unique(size[size <= SHORT]):
         at = np.flatnonzero(size == n)
         out[at] = _forward(model, _matrix(low, s[at], int(n)), model.probs)
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = _forward_long(model, low[s[i] : e[i]])
     return out
 
 
@@ -170,10 +218,12 @@ def fit_texts(texts: list[str], langs: list[str], vocabulary: list[bytes], round
     names = sorted(set(langs))
     h = np.array([int(_poly(np.frombuffer(p, dtype=np.uint8)[None, :])[0, -1]) for p in vocabulary], dtype=_U)
     keys = np.unique(h)
-    model = Model(names, keys, np.zeros((len(keys) + 1, len(names))))
+    longest = max(map(len, vocabulary), default=1)
+    model = Model(names, keys, np.zeros((len(keys) + 1, len(names))), longest)
     for k, name in enumerate(names):
-        data, off = tk.string_buffers(pa.array([t for t, g in zip(texts, langs) if g == name], pa.large_string()))
+        data, off = tk.string_buffers(lettered(pa.array([t for t, g in zip(texts, langs) if g == name], pa.large_string())))
         low, s, e, _ = words_of(data, off)
+        s, e = _parts(low, s, e)
         p = np.zeros(len(keys) + 1)
         if len(s):
             _, first, inv = distinct_words(low, s, e)
@@ -197,9 +247,9 @@ def fit_texts(texts: list[str], langs: list[str], vocabulary: list[bytes], round
                     b = np.zeros((n + 1, len(w)))
                     a[0] = b[n] = 1
                     for i in range(1, n + 1):
-                        a[i] = a[i - 1] * FLOOR + sum(a[i - m] * p[lat[i, m]] for m in range(1, min(i, LONGEST) + 1))
+                        a[i] = a[i - 1] * FLOOR + sum(a[i - m] * p[lat[i, m]] for m in range(1, min(i, longest) + 1))
                     for i in range(n - 1, -1, -1):
-                        b[i] = b[i + 1] * FLOOR + sum(b[i + m] * p[lat[i + m, m]] for m in range(1, min(n - i, LONGEST) + 1))
+                        b[i] = b[i + 1] * FLOOR + sum(b[i + m] * p[lat[i + m, m]] for m in range(1, min(n - i, longest) + 1))
                     for (i, m), at in lat.items():
                         counts += np.bincount(at, weights=w * a[i - m] * p[at] * b[i] / a[n], minlength=len(counts))
         else:
@@ -219,8 +269,8 @@ def score_texts(column: pa.Array, model: Model) -> pa.StructArray:
     """SCHEMA for each text; a null or wordless text has a null language, log-odds 0 and 0 words."""
     n_lang = len(model.languages)
     total, n_words, n_bytes = [np.zeros((0, n_lang))], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-    for lo, hi, data, off in tk.slices(column, SLICE):
-        k = hi - lo
+    for data, off in _slices(column):
+        k = len(off) - 1
         low, s, e, row = words_of(data, off)
         t = np.zeros((k, n_lang))
         if len(s) and n_lang:

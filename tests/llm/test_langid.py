@@ -35,6 +35,33 @@ def test_forward_is_the_sum_over_segmentations():
         assert np.allclose(got, [brute_word(model, vocab, text.encode(), k) for k in range(2)])
 
 
+def brute_long(model, vocab, word, lang):
+    """The same sum in exact fractions."""
+    from fractions import Fraction
+
+    p = {v: Fraction(float(model.probs[np.searchsorted(model.keys, G._poly(np.frombuffer(v, dtype=np.uint8)[None, :])[0, -1]), lang])) for v in vocab}
+    s = b" " + word
+    acc = [Fraction(1)]
+    for i in range(1, len(s) + 1):
+        x = acc[i - 1] * Fraction(G.FLOOR) + sum(acc[i - k] * p.get(s[i - k : i], 0) for k in range(1, min(i, 40) + 1))
+        acc.append(x.limit_denominator(10**400) if i % 50 == 0 else x)
+    x = acc[-1]
+    return (math.log(x.numerator) - math.log(x.denominator)) if x else -math.inf
+
+
+def test_long_words_and_sentences_without_blanks_are_whole():
+    vocab = [b" ", b"a", b"b", b"ab", b"ba", "中文".encode(), "的".encode(), "语言识别需要很多字".encode(), b"a" * 37]
+    model = G.fit_texts(["ab ba ab aaa", "ba ba 中文的", "b b 的的"], ["x", "y", "x"], vocab)
+    assert model.longest == 37
+    for text in ("ab" * 100, "中文的语言识别需要很多字" * 12, "a" * 150 + "é" * 20):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        low, s, e, _ = G.words_of(data, np.array([0, len(data)]))
+        assert len(s) == 1
+        assert np.allclose(G.log_words(model, low, s, e)[0], [brute_long(model, vocab, text.encode(), k) for k in range(2)], rtol=1e-9)
+    got = G.score_texts(pa.array(["a" * 100, "中文的语言。识别需要", "ПРИВЕТ", "привет", "b" * 9000, None]), model).to_pylist()
+    assert [r["n_words"] for r in got] == [1, 2, 1, 1, 1, 0] and got[2] == got[3] and all(math.isfinite(r["per_byte"]) for r in got)
+
+
 def test_probabilities_sum_to_one():
     _, model = tiny()
     assert np.allclose(model.probs.sum(axis=0), 1) and (model.probs[-1] == 0).all()
