@@ -3,9 +3,10 @@
 A text is measured in units: its whitespace-separated words by default, or any numeric column, such as true token counts.
 A text longer than the largest length is cut into full pieces and a rest, so nothing is lost.  Within a packing
 group pieces go, longest first, into the open bin with the least room that still holds them.  If none does, a new
-bin is opened whose size has the least cost for each unit it can expect to hold, of the sizes that hold the piece; the cost
-of size c is ``overhead + c + c * c / quadratic`` and the units to expect are the smaller of c and what is left to
-pack.  At the end every bin shrinks to the smallest permitted length that holds its contents.
+bin is opened.  For every size that holds the piece it is worked out what the pieces that are still to come would fill it with, and the
+size is taken that costs least for each unit it would then hold; the cost of size c is ``overhead + c + c * c / quadratic``.  The same is packed
+with the smallest size that holds the piece, and the cheaper of the two packings stays.  At the end every bin shrinks to the smallest
+permitted length that holds its contents.
 
 Plan: only (id, length) is shuffled, once, to packing groups of about `group_rows` documents chosen by a hash of the
 id; groups are independent, so the work is spread evenly whatever the data, and the loss is at most a few
@@ -43,18 +44,28 @@ def word_count(text: Column) -> Column:
     return run(text)
 
 
-def pack(pieces: list[tuple[int, int]], lengths: tuple[int, ...] = LENGTHS, overhead: float = 16.0, quadratic: float = 8192.0) -> list[list[int]]:
-    """Best fit for (key, length) pieces, longest first and equal ones by key: a list [capacity, used, keys...] for each bin.
+def _fill(sizes: list[int], down: list[int], i: int, capacity: int) -> int:
+    """What a bin of `capacity` opened for piece i would hold if, time and again, the largest of the later pieces that fits went in.
 
-    Pieces need 0 < length <= max(lengths).
+    sizes fall; down holds their negatives for bisection.
     """
-    lengths = tuple(sorted(lengths))
-    cost = {c: overhead + c + c * c / quadratic for c in lengths}
-    left = sum(n for _, n in pieces)
+    used, at = sizes[i], i + 1
+    while used < capacity:
+        at = bisect_left(down, used - capacity, at)
+        if at == len(sizes):
+            break
+        used += sizes[at]
+        at += 1
+    return used
+
+
+def _packed(pieces: list[tuple[int, int]], lengths: tuple[int, ...], cost: dict[int, float], ahead: bool) -> list[list[int]]:
+    sizes = [n for _, n in pieces]
+    down = [-n for n in sizes]
     rooms: list[int] = []  # sorted room of open bins
     by_room: dict[int, list[int]] = {}
     bins: list[list[int]] = []
-    for key, n in sorted(pieces, key=lambda p: (-p[1], p[0])):
+    for i, (key, n) in enumerate(pieces):
         at = bisect_left(rooms, n)
         if at < len(rooms):
             room = rooms[at]
@@ -62,12 +73,15 @@ def pack(pieces: list[tuple[int, int]], lengths: tuple[int, ...] = LENGTHS, over
             if not by_room[room]:
                 del rooms[at], by_room[room]
         else:
-            room = min((c for c in lengths if c >= n), key=lambda c: (cost[c] / min(c, max(left, n)), c))
+            fit = lengths[bisect_left(lengths, n) :]
+            room = fit[0]
+            if ahead and len(fit) > 1:
+                held = {c: _fill(sizes, down, i, c) for c in fit}
+                room = min(fit, key=lambda c: (cost[lengths[bisect_left(lengths, held[c])]] / held[c], c))
             bins.append([room, 0])
             b = len(bins) - 1
         bins[b][1] += n
         bins[b].append(key)
-        left -= n
         room -= n
         if room:
             if room in by_room:
@@ -80,6 +94,21 @@ def pack(pieces: list[tuple[int, int]], lengths: tuple[int, ...] = LENGTHS, over
     return bins
 
 
+def total_cost(bins: list[list[int]], overhead: float = 16.0, quadratic: float = 8192.0) -> float:
+    return sum(overhead + b[0] + b[0] * b[0] / quadratic for b in bins)
+
+
+def pack(pieces: list[tuple[int, int]], lengths: tuple[int, ...] = LENGTHS, overhead: float = 16.0, quadratic: float = 8192.0) -> list[list[int]]:
+    """Best fit for (key, length) pieces, longest first and equal ones by key: a list [capacity, used, keys...] for each bin.
+
+    Pieces need 0 < length <= max(lengths).  Of a packing that looks ahead and one that always opens the smallest size, the cheaper one.
+    """
+    lengths = tuple(sorted(set(lengths)))
+    cost = {c: overhead + c + c * c / quadratic for c in lengths}
+    ordered = sorted(pieces, key=lambda p: (-p[1], p[0]))
+    return min((_packed(ordered, lengths, cost, ahead) for ahead in (True, False)), key=lambda b: total_cost(b, overhead, quadratic))
+
+
 def packer(lengths: tuple[int, ...], overhead: float, quadratic: float):
     most = max(lengths)
 
