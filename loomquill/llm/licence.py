@@ -1,12 +1,13 @@
 """Operator 8: licence scans by a positional index of rare template words.
 
 Templates are licence texts, headers and one-line notices, with key phrases that a match must have.  Document frequencies of
-all template words are counted over all files; the `ANCHORS` distinct words of a template with the highest IDF are its
-anchors, and the index holds every position that they have in it: word -> (template, position).  A file looks up
-its words; each posting gives the relative position of template and file (file position minus template position).  Postings
-of one template are intersected by relative position: those that differ by no more than a small slack, for words inserted
-or dropped, belong together, and a stretch is a candidate if it has enough of the template's anchor positions.  A candidate
-is a match if all key phrases occur in its stretch or within the slack around it.
+all template words are counted over all files.  The index holds every position of a template word in every template: word -> (template, position).  A file
+looks up its licence words of highest IDF: those at or above the largest IDF that every template has in its key phrases.  So the
+look-up leaves out common words, and no match can be missed for it, as a match has the rarest word of its phrases.
+Each posting gives the relative position of template and file (file position minus template position).  Postings of one template are intersected by
+relative position: those that differ by no more than a small slack, for words inserted or dropped, belong together, up to a
+drift of eight times the slack in all.  A stretch is a candidate if it has enough of the template's positions that are looked up, and a
+match if all key phrases occur in it or within the slack around it.
 
 Plan: one narrow counting stage whose result is bounded by the template words, and one narrow matching stage; no shuffle of
 texts.  The index is a few kilobytes and doesn't grow with the data.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .licence_texts import TEMPLATES, Template
 
-ANCHORS, AGREE = 8, 0.6
+AGREE, DRIFT = 0.6, 8
 SCHEMA = "doc_id long, licence string, template string, start int, end int, n_anchors int, n_expected int"
 
 
@@ -50,9 +51,9 @@ def slack(n_words: int) -> int:
 class Index:
     names: list[tuple[str, str]]  # licence, template
     sizes: list[int]  # words of each template
-    expected: list[int]  # anchor positions of each template
+    expected: list[int]  # positions of each template that are looked up
     phrases: list[list[np.ndarray]]
-    keys: np.ndarray  # sorted anchor hashes
+    keys: np.ndarray  # sorted hashes of the words that are looked up
     first: np.ndarray  # postings of keys[i] are first[i] to first[i + 1]
     template: np.ndarray
     position: np.ndarray
@@ -99,26 +100,33 @@ def find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_index(templates: tuple[Template, ...], vocab: np.ndarray, n_docs: int, df: np.ndarray, anchors: int = ANCHORS) -> Index:
-    """Anchors are the words of highest IDF; of equal ones those that come first in the template."""
-    idf = [math.log((n_docs + 1) / (x + 1)) for x in df.tolist()]
-    post: list[tuple[int, int, int]] = []
-    expected, sizes = [], []
-    for k, t in enumerate(templates):
-        h = hashes(t.text)
-        where = np.searchsorted(vocab, h)
-        first: dict[int, int] = {}
-        for i, w in enumerate(where.tolist()):
-            first.setdefault(w, i)
-        chosen = set(sorted(first, key=lambda w: (-idf[w], first[w]))[:anchors])
-        mine = [(int(w), k, i) for i, w in enumerate(where.tolist()) if w in chosen]
-        post += mine
-        expected.append(len(mine))
-        sizes.append(len(h))
-    post.sort()
-    word = np.array([p[0] for p in post], dtype=np.int64)
-    used, start = np.unique(word, return_index=True)
-    return Index([(t.licence, t.name) for t in templates], sizes, expected, [[hashes(p) for p in t.phrases] for t in templates], vocab[used] if len(used) else vocab[:0], np.concatenate((start, [len(post)])), np.array([p[1] for p in post], dtype=np.int64), np.array([p[2] for p in post], dtype=np.int64))
+def build_index(templates: tuple[Template, ...], vocab: np.ndarray, n_docs: int, df: np.ndarray) -> Index:
+    """Every position of the template words whose IDF is at least what each template's key phrases reach."""
+    idf = np.array([math.log((n_docs + 1) / (x + 1)) for x in df.tolist()])
+    where = [np.searchsorted(vocab, hashes(t.text)) for t in templates]
+    phrases = [[hashes(p) for p in t.phrases] for t in templates]
+    best = []
+    for p in phrases:
+        at = find(vocab, np.concatenate(p)) if p else np.zeros(0, dtype=np.int64)
+        best.append(float(idf[at[at >= 0]].max()) if (at >= 0).any() else 0.0)
+    least = min(best, default=0.0) - 1e-9
+    keep = [np.flatnonzero(idf[w] >= least) for w in where]
+    word = np.concatenate([w[k] for w, k in zip(where, keep)]) if templates else np.zeros(0, dtype=np.int64)
+    template, position = np.repeat(np.arange(len(keep)), [len(k) for k in keep]), np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64)
+    order = np.lexsort((position, template, word))
+    used, start = np.unique(word[order], return_index=True)
+    return Index([(t.licence, t.name) for t in templates], [len(w) for w in where], [len(k) for k in keep], phrases, vocab[used], np.concatenate((start, [len(order)])), template[order], position[order])
+
+
+def _stretches(row: np.ndarray, t: np.ndarray, diag: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Where a new stretch of postings (sorted by row, template, relative position) begins."""
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (t[1:] != t[:-1]) | (diag[1:] - diag[:-1] > gap[1:])))
+    while True:  # stretches that have drifted too far are cut there
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        far = diag - diag[head] > DRIFT * gap
+        if not far.any():
+            return new
+        new |= far & ~np.concatenate(([False], far[:-1] & (head[1:] == head[:-1])))
 
 
 def has_phrase(h: np.ndarray, phrase: np.ndarray) -> bool:
@@ -145,7 +153,7 @@ def scan(column: pa.Array, index: Index, agree: float = AGREE):
         order = np.lexsort((pos, tok - pos, t, row))
         row, t, pos, diag = row[order], t[order], pos[order], (tok - pos)[order]
         gap = np.array([slack(x) for x in index.sizes])[t]
-        new = np.concatenate(([True], (row[1:] != row[:-1]) | (t[1:] != t[:-1]) | (diag[1:] - diag[:-1] > gap[1:])))
+        new = _stretches(row, t, diag, gap)
         group = np.cumsum(new) - 1
         head = np.flatnonzero(new)
         pairs = np.unique(group * (max(index.sizes) + 1) + pos) // (max(index.sizes) + 1)
@@ -165,20 +173,20 @@ def scan(column: pa.Array, index: Index, agree: float = AGREE):
                 yield lo + r, k, int(c[0]), int(c[1]), int(found[g])
 
 
-def licence_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, anchors: int = ANCHORS, agree: float = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licence_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, agree: float = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCHEMA: a row for every match of a template in a file, with its character offsets.
 
     Null and empty texts match nothing; null ids and repeated rows are scanned like any other; a file with a notice
     twice has two rows; other columns are ignored.  Without templates nothing matches.
     """
-    if anchors < 1 or not 0 < agree <= 1:
-        raise ValueError("need anchors >= 1 and 0 < agree <= 1")
+    if not 0 < agree <= 1:
+        raise ValueError("need 0 < agree <= 1")
     if any(not len(hashes(t.text)) or not all(len(hashes(p)) for p in t.phrases) for t in templates):
         raise ValueError("templates and key phrases need words")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     vocab = vocabulary(templates)
     n, df = document_frequencies(d, vocab)
-    index = build_index(templates, vocab, n, df, anchors)
+    index = build_index(templates, vocab, n, df)
     kind = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches):

@@ -13,21 +13,23 @@ def words(t):
     return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", t or "")]
 
 
-def brute(rows, templates=TEMPLATES, anchors=L.ANCHORS, agree=L.AGREE):
+def brute(rows, templates=TEMPLATES, agree=L.AGREE):
     """The definition without an index: every template against every file, word by word."""
     lists = [[w for _, _, w in words(t)] for _, t in rows]
     sets = [set(x) for x in lists]
     out = []
+    vocab = {w for t in templates for _, _, w in words(t.text)}
+    idf = {w: math.log((len(rows) + 1) / (sum(w in s for s in sets) + 1)) for w in vocab}
+    least = min(max(idf[w] for p in t.phrases for _, _, w in words(p) if w in vocab) for t in templates) - 1e-9
+    chosen = {w for w in vocab if idf[w] >= least}
     for t in templates:
         tw = [w for _, _, w in words(t.text)]
-        df = {w: sum(w in s for s in sets) for w in set(tw)}
-        chosen = set(sorted(df, key=lambda w: (-math.log((len(rows) + 1) / (df[w] + 1)), tw.index(w)))[:anchors])
         places = [i for i, w in enumerate(tw) if w in chosen]
         for (doc, text), fw in zip(rows, lists):
             hits = sorted((i - p, p) for i, w in enumerate(fw) if w in chosen for p in places if tw[p] == w)
             groups = []
             for d, p in hits:
-                if groups and d - groups[-1][-1][0] <= L.slack(len(tw)):
+                if groups and d - groups[-1][-1][0] <= L.slack(len(tw)) and d - groups[-1][0][0] <= L.DRIFT * L.slack(len(tw)):
                     groups[-1].append((d, p))
                 else:
                     groups.append([(d, p)])

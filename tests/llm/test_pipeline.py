@@ -3,6 +3,9 @@ import pytest
 from test_jaccard import brute as near
 from test_linededup import brute as lines
 
+from loomquill.llm import bpe
+from loomquill.llm.queries import TOKENIZERS
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -75,7 +78,7 @@ def test_near_duplicates(stages):
 
 def test_packing(stages):
     docs, got = stages["packing"]
-    words = {r.doc_id: len(r.text.split()) for r in docs.collect()}
+    words = {r.doc_id: len(bpe.Codec.get(f"{TOKENIZERS}/byte_bpe_50k.tiktoken").encoder.encode_ordinary(r.text)) for r in docs.collect()}
     packed: dict = {}
     for r in got.collect():
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.piece_length
