@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquill.llm import jaccard, langid, linededup, packing, toxicity
+from loomquill.llm import bpe, jaccard, langid, linededup, packing, toxicity
 from loomquill.llm.queries import TOKENIZERS, table
-from loomquill.llm.support import written
+from loomquill.llm.support import fresh, written
 
 
 def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of what is left."""
-    return packing.best_fit(docs)
+    """Best-fit packing of what is left, in tokens of the vocabulary of bpe."""
+    size = fresh(docs, "n_tokens")
+    return packing.best_fit(docs.withColumn(size, bpe.token_count(F.col("text").cast("string"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")), length_col=size)
 
 
 STAGES = [("toxicity", clean_speech), ("language", known_language), ("line_dedup", fresh_lines), ("near_duplicates", one_of_each), ("packing", packed)]
