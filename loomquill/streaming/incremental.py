@@ -20,18 +20,29 @@ def read_files(spark, path: str, schema, max_files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def upsert_stream(changes: DataFrame, target: str, checkpoint: str, key: str = "id", version: str = "version") -> StreamingQuery:
-    """Keep a table of the latest row of each key: batch k is merged with table k - 1 and written as table k.
+def upsert_stream(changes: DataFrame, target: str, checkpoint: str, key: str = "id", version: str = "version", buckets: int = 32) -> StreamingQuery:
+    """Keep a table of the row with the highest version of each key (of equal versions the later batch's), partitioned by key_bucket.
 
-    A batch that is run again writes the same table again, so a restart changes nothing.
+    A batch reads and rewrites only the buckets of its keys: they are merged beside the table, then put in place.  A late row with an older
+    version changes nothing, and a batch that is run again merges to the same table.
     """
 
     def merge(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        latest = ingest.first_of_each(batch, key, [F.desc(version)])
-        if k:
-            latest = ingest.upsert(spark.read.parquet(f"{target}/v{k - 1}"), latest, key)
-        latest.write.mode("overwrite").parquet(f"{target}/v{k}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        new = batch.withColumn("key_bucket", bucket)
+        touched = [r[0] for r in new.select("key_bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        both = new.withColumn("_batch", F.lit(1))
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            old = spark.read.schema(new.schema).parquet(target).where(F.col("key_bucket").isin(touched))
+            both = both.unionByName(old.withColumn("_batch", F.lit(0)))
+        rest = [F.desc(F.to_json(F.struct(*batch.columns)))]
+        staged = f"{target.rstrip('/')}-staged"
+        ingest.first_of_each(both, key, [F.desc(version), F.desc("_batch"), *rest]).drop("_batch").write.mode("overwrite").parquet(staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(target)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,19 +70,30 @@ def sessions(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", group_c
     return counts.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), group_col, "n")
 
 
-def monthly_quota(events: DataFrame, quota: int, id_col: str = "event_id", ts: str = "ts", group_col: str = "event_type") -> DataFrame:
-    """The rows that fit into a monthly quota of each group, first come first served; the state is one number a group and month."""
+def monthly_quota(events: DataFrame, quota: int, id_col: str = "event_id", ts: str = "ts", group_col: str = "event_type", delay: str = "1 day") -> DataFrame:
+    """The rows that fit into a monthly quota of each group, in the order of time and id within a micro-batch.
+
+    What an earlier micro-batch admitted stays admitted.  The state is one number a group and month, and goes when the watermark has
+    passed the month; rows that come later than that are left out.
+    """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used = state.get[0] if state.exists else 0
-        for pdf in batches:
-            take = pdf.sort_values([ts, id_col]).head(max(0, quota - used))
-            used += len(take)
-            if len(take):
-                yield take[[id_col, "month", group_col]]
-        state.update((used,))
+        take = None
+        for pdf in batches:  # a group may come in several parts: only the first rows of all of them so far are held
+            both = pdf if take is None else pd.concat([take, pdf])
+            take = both.sort_values([ts, id_col], kind="stable").head(max(0, quota - used))
+        n = 0 if take is None else len(take)
+        state.update((used + n,))
+        end = int((pd.Timestamp(f"{key[0]}-01", tz="UTC") + pd.offsets.MonthBegin(1)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        if n:
+            yield take[[id_col, "month", group_col]]
 
     kinds = dict(events.dtypes)
-    keyed = events.select(id_col, ts, group_col, F.date_format(F.trunc(ts, "month"), "yyyy-MM").alias("month"))
+    keyed = _timed(events, ts, delay).select(id_col, ts, group_col, F.date_format(F.trunc(ts, "month"), "yyyy-MM").alias("month"))
     schema = f"{id_col} {kinds[id_col]}, month string, {group_col} {kinds[group_col]}"
-    return keyed.groupBy("month", group_col).applyInPandasWithState(admit, schema, "used long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("month", group_col).applyInPandasWithState(admit, schema, "used long", "append", GroupStateTimeout.EventTimeTimeout)
