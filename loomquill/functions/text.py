@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "[a-zA-ZÀ-ÖØ-öø-ÿ]+"
-READING_WORD = r"[0-9]+|[^\W\d_]+"
+READING_WORD = r"[0-9]{%d,}|[^\W\d_]{%d,}"
 ABBREVIATIONS = "ang bl.a ca d.v.s dvs e.d enl etc ev f.d fr.o.m jfr kl kr m.fl m.m milj mkr nr o.s.v osv p.g.a proc resp s.k st t.ex t.o.m".split()
 CLOSERS = "[\"'’»)\\]]*"
 #: What counts as white space beside Java's Unicode class.
@@ -129,9 +129,19 @@ def sentences_hit(found: Column, patterns: Patterns) -> Column:
     return F.size(F.filter(found, lambda s: s.rlike(rx)))
 
 
+def within_others(words: Sequence[str]) -> set[str]:
+    """The words that stand as whole words within another one, which an alternation would hide."""
+    return {w for w in words if any(o != w and re.search(rf"(?<!\w){re.escape(w)}(?!\w)", o) for o in words)}
+
+
+def reading_word_regex(least: int = 1) -> str:
+    """Numbers and letter runs of at least `least` signs; a run is taken whole, so shorter ones can't be part of longer ones."""
+    return f"(?U)(?:{READING_WORD % (least, least)})"
+
+
 def reading_words(text: Column) -> Column:
     """Numbers and letter runs of any script."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U)({READING_WORD})"), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({reading_word_regex()})"), F.lit(1))
 
 
 def slug(name: Column) -> Column:

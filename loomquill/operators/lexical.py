@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquill.functions import stats, text
@@ -102,10 +102,10 @@ def yearly_signatures(df: DataFrame, top_n: int = 15, min_count: int = 15, text_
 def term_trajectories(df: DataFrame, terms: Sequence[str], per: float = 10_000.0, text_col: str = "text", year_col: str = "year") -> DataFrame:
     """(year, term, rate): occurrences for each `per` tokens of the year; a term that is absent has rate 0."""
     wanted = list(dict.fromkeys(t.lower() for t in terms))
-    tokens = token_table(df, [year_col], text_col, 1)
-    sums = tokens.groupBy(year_col).agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("word") == t, F.col("n")).otherwise(0)).alias(f"_{i}") for i, t in enumerate(wanted)])
-    years = df.where(F.col(year_col).isNotNull()).select(year_col).distinct()
-    rows = years.join(sums, year_col, "left").na.fill(0)
+    words = df.where(F.col(year_col).isNotNull()).select(year_col, F.coalesce(text.tokens(F.col(text_col), 1), F.array().cast("array<string>")).alias("_w"))
+    count = lambda t: F.sum(F.size(F.filter("_w", lambda x: x == t)))
+    # counted within each text, so a year takes one row of sums a task and not one a word
+    rows = words.groupBy(year_col).agg(F.sum(F.size("_w")).alias("total"), *[count(t).alias(f"_{i}") for i, t in enumerate(wanted)])
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"_{i}").alias("n")) for i, t in enumerate(wanted)]))
     return rows.select(year_col, F.greatest("total", F.lit(1)).alias("total"), each.alias("x")).select(year_col, "x.term", (F.col("x.n") / F.col("total") * per).alias("rate"))
 
@@ -132,19 +132,24 @@ def divergence_by_year(df: DataFrame, min_count: int = 5, text_col: str = "text"
     """(year, divergence): mean base-2 Jensen-Shannon divergence over all pairs of groups; years with fewer than two groups go.
 
     With entropies, JS(P, Q) = H((P+Q)/2) - (H(P) + H(Q))/2, and a pair's mixture differs from its halves only where both
-    have the word: so pairs meet on the words that they share, within a year.
+    have the word.  So the groups that have a word are gathered in its row (no more than there are groups), and pairs are summed there.
     """
     tokens = token_table(df, [year_col, group_col], text_col, 3, stopwords)
-    vocab = tokens.groupBy(year_col, "word").agg(F.sum("n").alias("bg")).where(F.col("bg") >= min_count)
-    kept = tokens.join(vocab, [year_col, "word"])
-    sizes = kept.groupBy(year_col, group_col).agg(F.sum("n").alias("size"))
-    p = kept.join(sizes, [year_col, group_col]).select(year_col, F.col(group_col).alias("g"), "word", (F.col("n") / F.col("size")).alias("p"))
-    # an unshared word of P adds p/2 to JS; a shared one adds p/2 log(p/m) + q/2 log(q/m): the difference is summed over shared words
-    a, b = p.select(year_col, "word", F.col("g").alias("a"), F.col("p").alias("pa")), p.select(year_col, "word", F.col("g").alias("b"), F.col("p").alias("pb"))
-    m = (F.col("pa") + F.col("pb")) / 2
-    gain = 0.5 * (F.col("pa") * (F.log2(F.col("pa") / m) - 1) + F.col("pb") * (F.log2(F.col("pb") / m) - 1))
-    shared = a.join(b, [year_col, "word"]).where("a < b").groupBy(year_col).agg(F.sum(gain).alias("gain"))
-    pairs = sizes.groupBy(year_col).agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs")).where("pairs > 0")
+    words = tokens.groupBy(year_col, "word").agg(F.sum("n").alias("bg"), F.collect_list(F.struct(F.col(group_col).alias("g"), "n")).alias("of")).where(F.col("bg") >= min_count)
+    sizes = words.select(year_col, F.explode("of").alias("x")).groupBy(year_col, "x.g").agg(F.sum("x.n").alias("size"))
+    sizes = sizes.groupBy(year_col).agg(F.map_from_entries(F.collect_list(F.struct("g", "size"))).alias("sizes"))
+    shares = F.transform("of", lambda x: F.struct(x["g"].alias("g"), (x["n"] / F.element_at("sizes", x["g"])).alias("p")))
+    rows = words.where(F.size("of") > 1).join(sizes, year_col).select(year_col, shares.alias("of"))
+
+    def gain(a: Column, b: Column) -> Column:
+        """What a shared word takes from the divergence of one, which two groups without common words have."""
+        m = (a["p"] + b["p"]) / 2
+        return F.when(a["g"] < b["g"], 0.5 * (a["p"] * (F.log2(a["p"] / m) - 1) + b["p"] * (F.log2(b["p"] / m) - 1))).otherwise(0.0)
+
+    within = F.aggregate(F.flatten(F.transform("of", lambda a: F.transform("of", lambda b: gain(a, b)))), F.lit(0.0), lambda acc, x: acc + x)
+    shared = rows.groupBy(year_col).agg(F.sum(within).alias("gain"))
+    k = F.size("sizes")
+    pairs = sizes.select(year_col, (k * (k - 1) / 2).alias("pairs")).where("pairs > 0")
     return pairs.join(shared, year_col, "left").select(year_col, (1 + F.coalesce("gain", F.lit(0.0)) / F.col("pairs")).alias("divergence"))
 
 
@@ -157,3 +162,22 @@ def name_stopwords(df: DataFrame, speaker_col: str = "speaker", min_length: int
 
 def per_year(df: DataFrame, year_col: str = "year") -> DataFrame:
     return df.where(F.col(year_col).isNotNull()).groupBy(year_col).agg(F.count("*").alias("speeches"))
+
+
+def group_totals(df: DataFrame, group_col: str = "party", text_col: str = "text", min_length: int = 3, stopwords: Iterable[str] = ()) -> DataFrame:
+    """(group, texts, tokens) of every group, also of those whose texts have no token."""
+    words = F.coalesce(F.size(text.tokens(F.coalesce(F.col(text_col), F.lit("")), min_length, stopwords)), F.lit(0))
+    return df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(F.count("*").alias("texts"), F.sum(words).alias("tokens"))
+
+
+def ordered_union(lists: Sequence[DataFrame], value_col: str = "word") -> DataFrame:
+    """(value, place): the distinct values of frames (value, rank) in the order of the frames and their ranks; each stays where it comes first.
+
+    The lists are short reports (top words, curated terms), so one task numbers them.
+    """
+    rows = [df.select(F.col(value_col), F.lit(i).alias("_list"), F.col("rank").cast("int").alias("_rank")) for i, df in enumerate(lists)]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    first = both.groupBy(value_col).agg(F.min(F.struct("_list", "_rank")).alias("_at"))
+    return first.select(value_col, F.row_number().over(Window.orderBy("_at", value_col)).alias("place"))

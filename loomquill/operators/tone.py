@@ -142,8 +142,8 @@ def measure_constant_group(df: DataFrame, patterns: Patterns, group: str, text_c
 
 def measure_lix(df: DataFrame, text_col: str = "text", long_from: int = 7, min_sentences: int = 3, min_words: int = 20) -> DataFrame:
     """Adds words, long_words, sentences, included (long enough to count), hits and n."""
-    out = with_sentences(df, text_col).withColumn("_w", text.reading_words(F.col(text_col)))
-    out = out.withColumn("words", F.size("_w")).withColumn("long_words", F.size(F.filter("_w", lambda x: F.length(x) >= long_from))).withColumn("sentences", F.size(SENTENCES)).drop("_w")
+    count = lambda least: F.coalesce(F.regexp_count(F.col(text_col), F.lit(text.reading_word_regex(least))), F.lit(0))
+    out = with_sentences(df, text_col).withColumn("words", count(1)).withColumn("long_words", count(long_from)).withColumn("sentences", F.size(SENTENCES))
     return out.withColumn("included", (F.col("sentences") >= min_sentences) & (F.col("words") >= min_words)).withColumn("hits", F.col("long_words")).withColumn("n", F.col("words"))
 
 
@@ -190,10 +190,9 @@ def hit_density(cells: DataFrame, group_col: str = "party", year_col: str = "yea
     w = Window.partitionBy(group_col)
     first = F.min(F.when(F.col("hits") > 0, F.col(year_col))).over(w)
     c = cells.withColumn("_live", F.coalesce(F.col(year_col) >= first, F.lit(False)))
-    full = F.array_sort(F.collect_list(F.when(F.col("hits") > 0, F.col("hits"))))
-    got = c.agg(full.alias("f"), F.sum(F.col("_live").cast("int")).alias("live"), F.count_if(F.col("_live") & (F.col("hits") == 0)).alias("empty"), F.count_if(~F.col("_live")).alias("lead"), F.sum("hits").alias("total"))
+    got = c.withColumn("_full", F.when(F.col("hits") > 0, F.col("hits"))).agg(F.expr("percentile_disc(0.5) within group (order by _full desc)").alias("f"), F.sum(F.col("_live").cast("int")).alias("live"), F.count_if(F.col("_live") & (F.col("hits") == 0)).alias("empty"), F.count_if(~F.col("_live")).alias("lead"), F.sum("hits").alias("total"))
     return got.select(
-        F.when(F.size("f") > 0, F.element_at("f", (F.floor(F.size("f") / 2) + 1).cast("int")).cast("double")).otherwise(0.0).alias("median_hits"),
+        F.coalesce(F.col("f").cast("double"), F.lit(0.0)).alias("median_hits"),
         F.when(F.col("live") > 0, F.round(F.col("empty") / F.col("live"), 3)).otherwise(1.0).alias("empty_share"),
         F.col("lead").cast("double").alias("leading_empty"),
         F.coalesce(F.col("total"), F.lit(0)).cast("double").alias("total_hits"),
@@ -210,10 +209,16 @@ def pair_report(df: DataFrame, pairs: Sequence[tuple[str, str | None, str]], tex
     """(pair, gendered, neutral, level, year, group, gendered_hits, neutral_hits, ratio) for pairs (gendered, neutral, measure).
 
     Levels are all, year and group.  Years and groups need `min_mentions`; a pair's overall ratio is given only where
-    its measure is 'ratio'.  One scan counts all words; one aggregate with grouping sets gives all levels.
+    its measure is 'ratio'.  One alternation finds all words; only one that stands within another of the table takes a scan of its own.  One
+    aggregate with grouping sets gives all levels.
     """
     words = sorted({w.strip().lower() for g, n, _ in pairs for w in (g, n) if w and w.strip()})
-    counted = df.select(group_col, year_col, *[F.coalesce(F.regexp_count(F.col(text_col), F.lit(Patterns((w,)).regex())), F.lit(0)).alias(f"_{i}") for i, w in enumerate(words)])
+    apart = text.within_others(words)
+    joint = [w for w in words if w not in apart]
+    found = df.select(group_col, year_col, text_col, text.matches(F.col(text_col), Patterns(tuple(joint))).alias("_found")) if joint else df.select(group_col, year_col, text_col)
+    own = lambda w: F.regexp_count(F.col(text_col), F.lit(Patterns((w,)).regex()))
+    size = lambda w: F.when(F.col("_found").isNotNull(), F.size(F.filter("_found", lambda x: x == w)))
+    counted = found.select(group_col, year_col, *[F.coalesce(own(w) if w in apart else size(w), F.lit(0)).alias(f"_{i}") for i, w in enumerate(words)])
     cells = counted.groupBy(group_col, year_col).agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(words))])
     at = {w: F.col(f"_{i}") for i, w in enumerate(words)}
     rows = [F.struct(F.lit(k).alias("pair"), F.lit(g.strip().lower()).alias("gendered"), F.lit(n.strip().lower() if n and n.strip() else None).cast("string").alias("neutral"), F.lit(m).alias("measure"), at[g.strip().lower()].alias("g"), (at[n.strip().lower()] if n and n.strip() else F.lit(0)).alias("n")) for k, (g, n, m) in enumerate(pairs)]
