@@ -91,15 +91,22 @@ def union_sources(archive: DataFrame, live: DataFrame, key: str = "id", date_col
     return first_of_each(both, key, ["_src", F.desc(date_col)]).drop("_src")
 
 
+def _by_content(df: DataFrame) -> list[Column]:
+    return [F.desc(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))]
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str = "id", order: Sequence[Column | str] = ()) -> DataFrame:
-    """`target` with rows of `changes` put in place of those with the same key, and added where there is none."""
-    latest = first_of_each(changes, key, order or [F.lit(0)])
+    """`target` with rows of `changes` put in place of those with the same key, and added where there is none.
+
+    Of rows of `changes` with one key the first in `order` counts; without an order the one whose JSON form sorts last.
+    """
+    latest = first_of_each(changes, key, order or _by_content(changes))
     return target.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
 def insert_if_absent(target: DataFrame, changes: DataFrame, key: str = "id", order: Sequence[Column | str] = ()) -> DataFrame:
-    """`target` and the rows of `changes` whose key it lacks."""
-    latest = first_of_each(changes, key, order or [F.lit(0)])
+    """`target` and the rows of `changes` whose key it lacks; see upsert for repeated keys."""
+    latest = first_of_each(changes, key, order or _by_content(changes))
     return target.unionByName(latest.join(target.select(key), key, "left_anti"))
 
 
@@ -142,3 +149,28 @@ def normalise_speaker(name: Column) -> Column:
     upper = F.transform(words, lambda x: (x == F.upper(x)) & (x != F.lower(x)))
     at = F.array_position(upper, True).cast("int")
     return F.upper(F.array_join(F.when(at > 0, F.slice(words, at, F.size(words))).otherwise(words), " "))
+
+
+def unparsed(protocols: DataFrame, records: DataFrame) -> DataFrame:
+    """(protocol_id, reason): protocols without any record, to be set aside and reported; the others aren't held up by them."""
+    why = F.when(F.col("text").isNull(), "no text").when(F.trim("text") == "", "empty text").when(~F.col("text").rlike(MARK), "no speech marker").otherwise("no speech of a known party")
+    return protocols.join(records.select("protocol_id").distinct(), "protocol_id", "left_anti").select("protocol_id", why.alias("reason"))
+
+
+def first_protocols(protocols: DataFrame, limit: int | None = None) -> DataFrame:
+    """The first `limit` protocols by id, for a trial run; all without a limit."""
+    return protocols if limit is None else protocols.orderBy("protocol_id").limit(limit)
+
+
+def rebuild_report(records: DataFrame) -> DataFrame:
+    """One row: speeches, protocols, speakers, parties, and the first and last date."""
+    return records.agg(F.count("*").alias("speeches"), *[F.count_distinct(c).alias(n) for c, n in (("protocol_id", "protocols"), ("speaker", "speakers"), ("party", "parties"))], F.min("protocol_date").alias("first_date"), F.max("protocol_date").alias("last_date"))
+
+
+def changed_ids(old: DataFrame, new: DataFrame, limit: int | None = None) -> DataFrame:
+    """(protocol_id, removed, added): what replacing protocols would change, for a dry run; the first `limit` protocols where one is given."""
+    ids = lambda df: first_protocols(df.select("protocol_id").distinct(), limit)
+    picked = ids(new)
+    a, b = (df.join(picked, "protocol_id", "left_semi").select("protocol_id", "id") for df in (old, new))
+    count = lambda x, y, n: x.join(y, ["protocol_id", "id"], "left_anti").groupBy("protocol_id").agg(F.count("*").alias(n))
+    return picked.join(count(a, b, "removed"), "protocol_id", "left").join(count(b, a, "added"), "protocol_id", "left").na.fill(0)

@@ -114,10 +114,10 @@ def reference_of(table: DataFrame, dims: int = 8) -> DataFrame:
 
 
 def cost_per_1000(calls: DataFrame, prices: DataFrame, model_col: str = "model") -> DataFrame:
-    """(model, n, cost) from prompt and completion tokens and prices for each token."""
+    """(model, n, cost) from prompt and completion tokens and prices for each token; a model without a price has no cost."""
     sums = calls.groupBy(model_col).agg(F.count("*").alias("n"), F.sum("prompt_tokens").alias("pt"), F.sum("completion_tokens").alias("ct"))
     spent = F.col("pt") * F.col("prompt_price") + F.col("ct") * F.col("completion_price")
-    return sums.join(F.broadcast(prices), model_col).select(model_col, "n", (spent / F.col("n") * 1000).alias("cost_per_1000"))
+    return sums.join(prices, model_col, "left").select(model_col, "n", (spent / F.col("n") * 1000).alias("cost_per_1000"))
 
 
 def open_plan(models: DataFrame, topics: DataFrame, kinds: DataFrame, samples: DataFrame, done: DataFrame) -> DataFrame:
@@ -132,6 +132,23 @@ def benchmark_sample(df: DataFrame, held_out: DataFrame, per_group: int = 40, fi
     return balanced_sample(test, per_group, seed, group_col, id_col)
 
 
+def precision_sample(rows: DataFrame, size: int, seed: int = 13, group_col: str = "party", id_col: str = "id") -> DataFrame:
+    """Rows to be judged by hand: `size` divided by the number of groups from each group, at least one, in the order of their digests."""
+    groups = max(1, rows.where(F.col(group_col).isNotNull()).select(group_col).distinct().count())
+    return balanced_sample(rows, max(1, size // groups), seed, group_col, id_col)
+
+
+def test_rows(df: DataFrame, frozen: DataFrame | None, held_out: DataFrame, per_group: int | None = None, seed: int = 42, group_col: str = "party", id_col: str = "id") -> DataFrame:
+    """The rows of a frozen list of ids where there is one, else those of the held-out speakers; as many of each group where told."""
+    rows = df.join(frozen.select(id_col).distinct(), id_col, "left_semi") if frozen is not None else speaker_split(df, held_out)[1]
+    return rows if per_group is None else balanced_sample(rows, per_group, seed, group_col, id_col)
+
+
+def as_vector(probs: Column, classes: Sequence[str]) -> Column:
+    """A map of probabilities as an array in the order of the classes; a missing one has 0."""
+    return F.array(*[F.coalesce(F.try_element_at(probs, F.lit(c)), F.lit(0.0)) for c in classes])
+
+
 def argmax_accuracy(df: DataFrame, probs_col: str = "probs", label_col: str = "label") -> DataFrame:
     """(n, accuracy) of the most probable labels, to calibrate a scorer on a balanced sample."""
     return df.agg(F.count("*").alias("n"), F.avg((argmax_label(F.col(probs_col)) == F.col(label_col)).cast("double")).alias("accuracy"))

@@ -239,7 +239,7 @@ union all select 'years have over 30 rows', count(*) from (select year from spee
 select check_ as "check", f as failures, f = 0 as ok from c""",
     "lost_probes": f"""with {V.SPEECHES}, q as (select id, protocol_id, party, trim(regexp_replace(text, '{V.WS}+', ' ', 'g')) as t, trim(regexp_replace(case when party = 'V' then reverse(text) else text end, '{V.WS}+', ' ', 'g')) as u from speeches where text is not null)
 select id, protocol_id from q where length(substring(t, 1, 80)) >= 40 and not exists (select 1 from q r where r.protocol_id = q.protocol_id and contains(r.u, substring(q.t, 1, 80)))""",
-    "cost_per_1000": "with p(model, pp, cp) as (values ('user', 2e-6, 8e-6), ('assistant', 1e-6, 4e-6)) select role as model, count(*) as n, round((sum(length(text)) * any_value(pp) + sum(turn + 1) * any_value(cp)) / count(*) * 1000, 6) as cost_per_1000 from conversations join p on p.model = role group by role",
+    "cost_per_1000": "with p(model, pp, cp) as (values ('user', 2e-6, 8e-6), ('assistant', 1e-6, 4e-6)) select role as model, count(*) as n, round((sum(length(text)) * any_value(pp) + sum(turn + 1) * any_value(cp)) / count(*) * 1000, 6) as cost_per_1000 from conversations left join p on p.model = role group by role",
     "speaker_normalise": f"with {V.SPEECHES} select distinct speaker, upper(speaker || ' Öberg') as name from speeches",
     "weekly_counts": "select time_bucket(interval '7 days', ts, timestamp '1970-01-01') as start, event_type, count(*) as n from events group by all",
     "user_sessions": """with e as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval '30 minutes' then 0 else 1 end as b from events),

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import etl, lexical, tone
+from . import etl, lexical, more, tone
 
-QUERIES: dict = lexical.QUERIES | tone.QUERIES | etl.QUERIES
-ORACLE: dict = lexical.ORACLE | tone.ORACLE | etl.ORACLE
+QUERIES: dict = lexical.QUERIES | tone.QUERIES | etl.QUERIES | more.QUERIES
+ORACLE: dict = lexical.ORACLE | tone.ORACLE | etl.ORACLE | more.ORACLE

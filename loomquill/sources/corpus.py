@@ -83,12 +83,15 @@ def backup(df: DataFrame, path: str) -> None:
     df.write.option("compression", "snappy").parquet(path)
 
 
-def rebuild(protocols: DataFrame, path: str, partitions: int = 8) -> None:
-    """Parse, check for rows and repeated ids, write sorted."""
+def rebuild(protocols: DataFrame, path: str, partitions: int = 8, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parse, check for rows and repeated ids, write sorted; returns a report of what was written and the protocols that gave nothing."""
+    protocols = ingest.first_protocols(protocols, limit)
     records = ingest.parse_records(protocols)
     if records.isEmpty():
         raise ValueError("no protocol has a speech")
     export(quality.assert_unique(records), path, partitions)
+    stored = protocols.sparkSession.read.parquet(path)
+    return ingest.rebuild_report(stored), ingest.unparsed(protocols, stored)
 
 
 def by_protocol(df: DataFrame, path: str) -> None:
@@ -110,10 +113,11 @@ def landed_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> Data
 
 
 def generation_cache(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines keyed by (model, topic, kind, sample); of several the last line counts."""
+    """JSON lines keyed by (model, topic, kind, sample); of several the last line of the last file by name counts."""
     rows = spark.read.schema("model string, topic string, kind string, sample int, text string").json(path)
-    rows = rows.withColumn("_key", F.concat_ws("\x1f", "model", "topic", "kind", "sample")).withColumn("_at", F.monotonically_increasing_id())
-    return ingest.first_of_each(rows, "_key", [F.desc("_at")]).drop("_key", "_at")
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}  # lines of a block are in order
+    rows = rows.withColumns(place).withColumn("_key", F.concat_ws("\x1f", "model", "topic", "kind", "sample"))
+    return ingest.first_of_each(rows, "_key", [F.desc(c) for c in place]).drop("_key", *place)
 
 
 def write_json(df: DataFrame, *paths: str) -> None:
