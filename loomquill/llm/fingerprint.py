@@ -40,7 +40,7 @@ SIZES = (16, 16, 64, 8)
 THRESHOLD = 0.5
 WEIGHT_BITS = 11
 _MASK = (1 << WEIGHT_BITS) - 1
-PAIRS_BLOCK = 100_000
+PAIRS_BLOCK = 400_000
 BUCKET_TOKENS, PART_TOKENS = 2_000_000, 500_000
 _U = np.uint64
 
@@ -237,7 +237,7 @@ def _candidate_sets(docs: DataFrame, threshold: float, sizes: tuple[int, ...], i
     prefix = shared.mapInArrow(_prefixes(threshold), "a long, total_a long, token long")
     postings = shared.select(F.col("doc").alias("b"), F.col("total").alias("total_b"), F.explode("tokens").alias("token"))
     met = prefix.join(postings, "token").where((F.col("a") != F.col("b")) & (F.col("total_b") >= threshold * F.col("total_a") - 1e-6))
-    key = F.shiftrightunsigned("token", WEIGHT_BITS).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    key = F.shiftrightunsigned("token", WEIGHT_BITS).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
     pairs = written(met.select("a", "b", key.alias("k")).groupBy("a", "b").agg(F.min("k").alias("k")), "containment-candidates")
     blocks = int(max(12, -(-pairs.count() // PAIRS_BLOCK)))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).drop("k")
