@@ -39,7 +39,7 @@ from . import textkit as tk
 from .support import collect_bloom, fresh, give_back, written
 
 N, THRESHOLD = 3, 0.6
-BUCKET_POSTINGS, PART_POSTINGS, BLOCK_DOCS = 1_000_000, 500_000, 256
+BUCKET_POSTINGS, PART_POSTINGS, BLOCK_DOCS, BLOCK_PAIRS = 2_000_000, 500_000, 256, 60_000
 BROADCAST_ROWS, HELD_PAIRS, SENT_PAIRS = 2_000_000, 250_000, 1_000_000
 HOT_CLASS = 15
 LOWER_ROWS = 512
@@ -309,7 +309,7 @@ def _candidates(threshold: float, hot: int):
                 part = nth[x] // BLOCK_DOCS * 1_000_003 + nth[y] // BLOCK_DOCS
                 beyond = np.maximum(0, np.ceil(threshold * size[y] - 1e-9).astype(np.int64) - SHARED)
                 need = np.ceil(threshold / (1 + threshold) * (size[x] + size[y]) - beyond - 1e-6).astype(np.int64)
-                where = tk.mix((tok[x] * 31 + part).view(_U)).view(np.int64) & 0xFFFFFFFF
+                where = tk.mix((tok[x] * 31 + part).view(_U)).view(np.int64) & 0xFFFFFF
                 found.append((np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y]), (need << 32) | where, np.ones(len(x), dtype=np.int32)))
                 held += len(x)
                 if held > room_for:
@@ -343,7 +343,7 @@ def _likely(threshold: float):
 
 def _blocked(pairs: DataFrame, n_pairs: int) -> tuple[DataFrame, DataFrame]:
     """Pairs with a block chosen by their gram, and the documents (block, doc) that each block needs."""
-    blocks = int(max(12, -(-n_pairs // 20_000)))
+    blocks = int(max(12, -(-n_pairs // BLOCK_PAIRS)))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     return pairs.select(F.col("block").alias("pair_block"), "a", "b", "k"), pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
 
