@@ -18,6 +18,10 @@ has none and matches nothing).  All pairs of documents with a Jaccard similarity
    bound a pair's difference from below, so pairs that merely share a gram go before any set is fetched.
 5. What is left is verified on whole sets in blocks: a pair belongs to a gram that both share, so the sets of a cluster are
    fetched once for many pairs.
+6. Clusters of near copies would have a number of pairs that grows with the square of the input.  Sets that agree in min-hashes and
+   come near what most of their company has form a star.  Within a star no pair is listed: shared grams are counted for all of them at
+   once, as products of 0/1 matrices for what many have and posting by posting for the rest, and each document's links are summed up at once.
+   Steps 3 to 5 leave out pairs within a star and no others, so the result doesn't depend on which stars there are.
 
 No pair, posting or group is capped.  A gram shared by very many documents is split into blocks of `BLOCK_DOCS` a side for
 verification.  Links are counted between representatives and weighted by the sizes of their classes, so copies are never
@@ -45,6 +49,8 @@ HOT_CLASS = 15
 LOWER_ROWS = 512
 SKETCH_MAX = 1 << 24
 SHARED = 3
+#: Sets that agree in a pair of min-hashes before they may be a star, the least similarity to what most of them have, grams in a part of a star, rows counted at once.
+STAR_DOCS, STAR_NEAR, STAR_GRAMS, STAR_ROWS = 12, 0.5, 2_000_000, 256
 _U = np.uint64
 _RAW = np.dtype([("lo", "<u4"), ("hi", "<u2")])
 _FIVE = np.dtype([("lo", "<u4"), ("hi", "u1")])
@@ -184,7 +190,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def signatures(docs: DataFrame, n: int, threshold: float, classes) -> DataFrame:
-    """(doc_id, size, psig, ssig, prefix, bits) of documents with grams."""
+    """(doc_id, size, psig, ssig, prefix, bits, mins) of documents with grams; mins are four pairs of min-hashes."""
 
     def run(batches):
         for b in batches:
@@ -202,9 +208,18 @@ def signatures(docs: DataFrame, n: int, threshold: float, classes) -> DataFrame:
                 raw = _packed(tok[short]).view(np.uint8).reshape(-1)
                 ends = np.concatenate(([0], np.cumsum(keep))) * 6
                 blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at] + lo)), pa.array(size.astype(np.int32)), pa.array(psig.view(np.int64)), pa.array(ssig.view(np.int64)), blob, _bitmaps(tk.mix(mixed), size)], names=["doc_id", "size", "psig", "ssig", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at] + lo)), pa.array(size.astype(np.int32)), pa.array(psig.view(np.int64)), pa.array(ssig.view(np.int64)), blob, _bitmaps(tk.mix(mixed), size), _mins(mixed, at)], names=["doc_id", "size", "psig", "ssig", "prefix", "bits", "mins"])
 
-    return docs.mapInArrow(run, "doc_id long, size int, psig long, ssig long, prefix binary, bits binary")
+    return docs.mapInArrow(run, "doc_id long, size int, psig long, ssig long, prefix binary, bits binary, mins array<long>")
+
+
+def _mins(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Of each set, 32 bits of the least and 32 of the greatest value together, under four rotations of the hash."""
+    out = np.empty((len(at), 4), dtype=np.int64)
+    for k in range(4):
+        x = ((h << _U(16 * k)) | (h >> _U(64 - 16 * k))) if k else h
+        out[:, k] = ((np.minimum.reduceat(x, at) >> _U(32) << _U(32)) | (np.maximum.reduceat(x, at) >> _U(32))).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(at) + 1, 4, dtype=np.int32)), pa.array(out.ravel()))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -225,6 +240,7 @@ def _blocks(n_buckets: int, hot: int):
             b = b.take(pc.sort_indices(b.column(0)))
             gid, size = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             data, off = tk.string_buffers(b.column(2))
+            star = b.column(3).to_numpy(zero_copy_only=False)
             count = np.diff(off) // 6
             tok = _wide(np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_RAW))
             doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
@@ -244,24 +260,60 @@ def _blocks(n_buckets: int, hot: int):
             order = np.argsort(bucket, kind="stable")
             used, edge = np.unique(bucket[order], return_index=True)
             for k, at in zip(used.tolist(), np.split(order, edge[1:])):
-                cols = [_raw(tok[at].view(_U), _FIVE).tobytes(), _planes(pos[at]), _planes(gid[doc[at]].astype(np.int64)), _planes(size[doc[at]].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names=["bucket", "tok", "pos", "gid", "size"])
+                cols = [_raw(tok[at].view(_U), _FIVE).tobytes(), _planes(pos[at]), _planes(gid[doc[at]].astype(np.int64)), _planes(size[doc[at]].astype(np.int32)), _planes(star[doc[at]].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names=["bucket", "tok", "pos", "gid", "size", "star"])
 
     return run
 
 
+def _meeting(tok: np.ndarray, star: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Postings of one gram that aren't of one star, the smaller set first, where sizes allow the threshold; input by gram, star (0: none) and size."""
+    alone = np.flatnonzero(star == 0)
+    t, n = tok[alone], size[alone]
+    i, d = np.arange(len(alone)), 1
+    while True:
+        i = i[i + d < len(alone)]
+        i = i[(t[i] == t[i + d]) & (n[i] >= threshold * n[i + d] - 1e-9)]  # sizes rise within a gram
+        if not len(i):
+            break
+        yield alone[i], alone[i + d]
+        d += 1
+    if len(alone) == len(tok):
+        return
+    new = np.concatenate(([True], tok[1:] != tok[:-1]))
+    run = np.cumsum(new) - 1
+    begin, end = np.flatnonzero(new), np.concatenate((np.flatnonzero(new)[1:], [len(tok)]))
+    none = np.bincount(run, weights=star == 0, minlength=len(begin)).astype(np.int64)
+    first = np.flatnonzero(new | np.concatenate(([True], star[1:] != star[:-1])))
+    after = np.repeat(np.concatenate((first[1:], [len(tok)])), np.diff(np.concatenate((first, [len(tok)]))))
+    mine = np.flatnonzero(star)
+    for a, z in ((begin[run[mine]], begin[run[mine]] + none[run[mine]]), (after[mine], end[run[mine]])):
+        total = np.cumsum(z - a)
+        at = 0
+        while at < len(mine):
+            till = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD_PAIRS, side="right")))
+            n = (z - a)[at:till]
+            i = np.repeat(mine[at:till], n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - a[at:till], n)
+            i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+            ok = size[i] >= threshold * size[j] - 1e-9
+            if ok.any():
+                yield i[ok], j[ok]
+            at = till
+
+
 def _candidates(threshold: float, hot: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = list(zip(*(x for b in batches for x in zip(*([x.as_buffer() for x in b[c]] for c in ("tok", "gid", "size", "pos"))))))
+        packed = list(zip(*(x for b in batches for x in zip(*([x.as_buffer() for x in b[c]] for c in ("tok", "gid", "size", "pos", "star"))))))
         parts = -(-sum(x.size for x in packed[0]) // 5 // PART_POSTINGS) or 1
 
         def unpacked(p: int):
-            """tok, gid, size and pos of one part of the grams; only the packed form of all parts is held."""
-            cols: tuple[list, ...] = ([], [], [], [])
+            """tok, gid, size, pos and star of one part of the grams; only the packed form of all parts is held."""
+            cols: tuple[list, ...] = ([], [], [], [], [])
             for raws in zip(*packed):
                 t = _wide(np.frombuffer(raws[0], dtype=_FIVE))
                 at = np.flatnonzero(tk.mix(t.view(_U)) % _U(parts) == p)
-                for col, v in zip(cols, (t, *(_unplaned(x, kind) for x, kind in zip(raws[1:], (np.int64, np.int32, np.uint16))))):
+                for col, v in zip(cols, (t, *(_unplaned(x, kind) for x, kind in zip(raws[1:], (np.int64, np.int32, np.uint16, np.int64))))):
                     col.append(v[at])
             return map(np.concatenate, cols)
 
@@ -282,25 +334,19 @@ def _candidates(threshold: float, hot: int):
             return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(found[0], kinds)], names=["ga", "gb", "k", "m"])
 
         for p in range(parts):
-            tok, gid, size, pos = unpacked(p)
+            tok, gid, size, pos, star = unpacked(p)
             order = np.argsort(tok, kind="stable")
             t = tok[order]
             same = np.concatenate(([False], t[1:] == t[:-1], [False]))
             order = order[same[:-1] | same[1:]]  # grams that at least two groups have
-            order = order[np.lexsort((size[order], tok[order]))]
-            tok, gid, size, pos = tok[order], gid[order], size[order].astype(np.int64), pos[order].astype(np.int64)
+            order = order[np.lexsort((size[order], star[order], tok[order]))]
+            tok, gid, size, pos, star = tok[order], gid[order], size[order].astype(np.int64), pos[order].astype(np.int64), star[order]
             head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, dtype=np.int64)
             nth = np.arange(len(tok)) - np.repeat(head, np.diff(np.concatenate((head, [len(tok)]))))
             split = _parts(tok >> 35, hot)
             crossed = tok >> 34 & 1 == 1  # here only groups of different parts meet
             side = _part(gid, split)
-            i, d = np.arange(len(tok)), 1
-            while True:
-                i = i[i + d < len(tok)]
-                i = i[(tok[i] == tok[i + d]) & (size[i] >= threshold * size[i + d] - 1e-9)]  # sizes rise within a gram
-                if not len(i):
-                    break
-                j = i + d
+            for i, j in _meeting(tok, star, size, threshold):
                 room = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
                 # a clipped position is no bound
                 ok = (room >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9) | (pos[i] == 65535) | (pos[j] == 65535)
@@ -319,7 +365,6 @@ def _candidates(threshold: float, hot: int):
                     if held > SENT_PAIRS:
                         yield sent()
                         found, held, room_for = [], 0, HELD_PAIRS
-                d += 1
         if found:
             squeeze()
             yield sent()
@@ -392,6 +437,124 @@ def _tally(threshold: float):
     return run
 
 
+def _stars(docs: DataFrame, reps: DataFrame, n: int, classes) -> DataFrame:
+    """(psig, size, doc, copies, star, parts, grams) of the representatives in a star, which goes by its smallest one; all of a group are in it or none."""
+    keys = reps.select("rep", F.posexplode("mins").alias("nth", "h"))
+    heavy = keys.groupBy("nth", "h").agg(F.count("*").alias("c")).where(F.col("c") >= STAR_DOCS)
+    mine = keys.join(heavy, ["nth", "h"]).groupBy("rep").agg(F.max(F.struct("c", "nth", "h")).alias("top"))
+    mine = written(mine.select("rep", "top.nth", "top.h").join(reps.drop("mins"), "rep"), "min-hashes")
+
+    def near(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core = None
+        for b in batches:
+            data, off = tk.string_buffers(b["grams"])
+            flat, size = np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_U), np.diff(off) // 8
+            if core is None:
+                tok, c = np.unique(flat, return_counts=True)
+                core = np.concatenate((tok[2 * c > b.num_rows], [_U(0xFFFFFFFFFFFFFFFF)]))
+                name = int(np.add.reduce(tk.mix(core)).view(np.int64))
+            both = np.bincount(np.repeat(np.arange(len(size)), size), weights=core[np.searchsorted(core, flat)] == flat, minlength=len(size))
+            ok = both >= STAR_NEAR * (size + len(core) - 1 - both)
+            b = b.filter(pa.array(ok)).drop_columns(["nth", "h"])
+            yield b.append_column("core", pa.array(np.full(b.num_rows, name)))
+        give_back()
+
+    sets = _sets(docs, mine.select(F.col("rep").alias("doc")), n, classes).join(mine.withColumnRenamed("rep", "doc"), "doc")
+    order = ["psig", "size", "doc", "copies", "gid", "n", "grams"]
+    got = sets.select(*order, "nth", "h").groupBy("nth", "h").applyInArrow(near, "psig long, size int, doc long, copies long, gid long, n long, grams binary, core long")
+    got = written(got, "near")
+    whole = got.groupBy("gid").agg(F.first("core").alias("core"), F.min("core").alias("lo"), F.max("core").alias("hi"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("size").alias("size"), F.min("doc").alias("least"))
+    whole = whole.where("lo = hi and c = n")
+    cores = whole.groupBy("core").agg((F.min("least") + 1).alias("star"), F.sum(F.col("size") * F.col("c")).alias("held"), F.sum("c").alias("members")).where("members > 1")
+    cores = cores.select("core", F.when(F.col("star") > 0, F.col("star")).otherwise(F.col("star") - 1).alias("star"), F.ceil(F.col("held") / STAR_GRAMS).cast("int").alias("parts"))
+    place = whole.select("gid", "core").join(cores, "core").select("gid", "star", "parts")
+    return got.drop("core", "n").join(place, "gid").select("psig", "size", "doc", "copies", "star", "parts", "grams")
+
+
+def in_common(row: np.ndarray, tok: np.ndarray, m: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(lo, matrix): what each of the rows left[lo:lo + STAR_ROWS] has in common with each of `right`, which is `left` or disjoint from it.
+
+    (row, tok) are distinct; m rows.  A token counts as its weight, or 1.  Whole numbers are exact.
+    """
+    _, first, inv, n = np.unique(tok, return_index=True, return_inverse=True, return_counts=True)
+    w = np.ones(len(n)) if weight is None else weight[first].astype(float)
+    wide = n > max(8, m // 64)
+    kind = np.float32 if (w * n).sum() < 1 << 24 or w[wide].sum() < 1 << 24 else np.float64
+    x = np.zeros((m, int(wide.sum())), dtype=kind)
+    at = wide[inv]
+    x[row[at], (np.cumsum(wide) - 1)[inv[at]]] = 1
+    y = np.ascontiguousarray(x[right].T)
+    x = x[left] * w[wide].astype(kind)
+    few = np.flatnonzero(~at & (n[inv] > 1))
+    few = few[np.argsort(inv[few], kind="stable")]
+    nth, doc = inv[few], row[few]
+    r, c = np.full(m, -1), np.full(m, -1)
+    r[left], c[right] = np.arange(len(left)), np.arange(len(right))
+    cells: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))]
+    i, d = np.arange(len(few)), 1
+    while True:
+        i = i[i + d < len(few)]
+        i = i[nth[i] == nth[i + d]]
+        if not len(i):
+            break
+        for a, b in ((doc[i], doc[i + d]), (doc[i + d], doc[i])):
+            ok = (r[a] >= 0) & (c[b] >= 0)
+            cells.append((r[a[ok]] * len(right) + c[b[ok]], w[nth[i[ok]]]))
+        d += 1
+    cell, add = (np.concatenate(z) for z in zip(*cells))
+    order = np.argsort(cell, kind="stable")
+    cell, add = cell[order], add[order]
+    for lo in range(0, len(left), STAR_ROWS):
+        both = (x[lo : lo + STAR_ROWS] @ y).astype(float)
+        a, z = np.searchsorted(cell, (lo * len(right), (lo + STAR_ROWS) * len(right)))
+        np.add.at(both.ravel(), cell[a:z] - lo * len(right), add[a:z])
+        yield lo, both
+
+
+def joined(label: np.ndarray, i: int, others: np.ndarray) -> None:
+    """Give the components of row i and of others (any number) the smallest of their labels."""
+    seen = label[others]
+    low = min(int(seen.min(initial=label[i])), int(label[i]))
+    if label[i] != low or (seen != low).any():
+        label[np.isin(label, np.append(seen, label[i]))] = low
+
+
+def _star_tally(threshold: float):
+    """As _tally, for all pairs of two parts of a star, or within one."""
+
+    def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
+        got = got.sort_by("doc").combine_chunks()
+        doc, copies, part = (got[c].to_numpy() for c in ("doc", "copies", "part"))
+        data, off = tk.string_buffers(got["grams"].chunk(0))
+        tok, size = np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_U), np.diff(off) // 8
+        a, b = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        links, label, n = np.zeros(len(doc)), np.arange(len(doc)), copies.astype(float)
+        for lo, both in in_common(np.repeat(np.arange(len(doc)), size), tok, len(doc), left, right):
+            mine = left[lo : lo + len(both)]
+            ok = both / (size[mine][:, None] + size[right] - both) >= threshold
+            if a == b:
+                ok[np.arange(len(mine)), lo + np.arange(len(mine))] = False
+            else:
+                links[right] += n[mine] @ ok
+            links[mine] += ok @ n[right]
+            for i, hit in zip(mine.tolist(), ok):
+                joined(label, i, right[hit])
+        has = links > 0
+        give_back()
+        return pa.table({"doc": pa.array(doc[has]), "links": pa.array(links[has].astype(np.int64)), "root": pa.array(doc[label[has]])})
+
+    return run
+
+
+def _within_stars(stars: DataFrame, threshold: float) -> DataFrame:
+    """(doc, links, root) over all pairs within a star."""
+    part = stars.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    met = part.select("star", "doc", "copies", "part", "grams", other).select("star", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "doc", "copies", "part", "grams")
+    return met.groupBy("star", "a", "b").applyInArrow(_star_tally(threshold), "doc long, links long, root long")
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     """The nodes of some edges, both ends as numbers of nodes, and the smallest node of each one's component."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -427,8 +590,8 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, classes) -> DataFrame:
     return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc long, grams binary")
 
 
-def _candidate_sets(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signatures; representatives with the number of their copies; sets (block, doc, copies, grams) and pairs (pair_block, a, b, k) to verify."""
+def _candidate_sets(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, starred: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Signatures; representatives with the number of their copies; sets (block, doc, copies, grams) and pairs (pair_block, a, b, k) to verify; stars, whose own pairs these leave out."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("need 0 < threshold <= 1 and n >= 1")
     spark = docs.sparkSession
@@ -441,18 +604,24 @@ def _candidate_sets(docs: DataFrame, n: int, threshold: float, id_col: str, text
         width *= 2
     held = spark.sparkContext.broadcast(sketch(d, n, width))
     rows = signatures(d, n, threshold, held)
-    groups = rows.groupBy("psig", "size").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")).select("gid", "size", "prefix")
-    sigs = written(rows.select("doc_id", "size", "psig", "ssig", "bits"), "signatures")
+    groups = rows.groupBy("psig", "size").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
+    sigs = written(rows.select("doc_id", "size", "psig", "ssig", "bits", *["mins"] * starred), "signatures")
     sizes = sigs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_buckets = int(max(12, -(-sizes * (1 - threshold) // BUCKET_POSTINGS)))
     hot = max(HOT_CLASS, int(sizes // width).bit_length() + 2)  # well over what slots hold by chance
-    cand = groups.mapInArrow(_blocks(n_buckets, hot), "bucket int, tok binary, pos binary, gid binary, size binary").groupBy("bucket").applyInArrow(_candidates(threshold, hot), "ga long, gb long, k long, m int")
-    cand = cand.groupBy("ga", "gb").agg(F.min("k").alias("k"), F.sum("m").alias("m")).where("m >= shiftright(k, 32)").select("ga", "gb", "k")
-    reps = sigs.groupBy("psig", "size", "ssig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = sigs.groupBy("psig", "size", "ssig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first("mins").alias("mins")] * starred)
     group = Window.partitionBy("psig", "size")
     reps = written(reps.withColumns({"gid": F.min("rep").over(group), "n": F.count("*").over(group)}), "representatives")
-    between = cand.join(reps.select(F.col("gid").alias("ga"), F.col("rep").alias("x")), "ga").join(reps.select(F.col("gid").alias("gb"), F.col("rep").alias("y")), "gb")
     several = reps.where("n > 1").select("gid", "rep")
+    stars = None
+    if starred:
+        stars = written(_stars(d, reps, n, held), "stars")
+        groups = groups.join(stars.select("psig", "size", "star").distinct(), ["psig", "size"], "left")
+        several = several.join(stars.select(F.col("doc").alias("rep")), "rep", "left_anti")
+    groups = groups.select("gid", "size", "prefix", F.coalesce("star", F.lit(0)).alias("star") if starred else F.lit(0).cast("long").alias("star"))
+    cand = groups.mapInArrow(_blocks(n_buckets, hot), "bucket int, tok binary, pos binary, gid binary, size binary, star binary").groupBy("bucket").applyInArrow(_candidates(threshold, hot), "ga long, gb long, k long, m int")
+    cand = cand.groupBy("ga", "gb").agg(F.min("k").alias("k"), F.sum("m").alias("m")).where("m >= shiftright(k, 32)").select("ga", "gb", "k")
+    between = cand.join(reps.select(F.col("gid").alias("ga"), F.col("rep").alias("x")), "ga").join(reps.select(F.col("gid").alias("gb"), F.col("rep").alias("y")), "gb")
     within = several.withColumnRenamed("rep", "a").join(several.withColumnRenamed("rep", "b"), "gid").where("a < b").select(F.xxhash64("gid").alias("k"), "a", "b")
     pairs = written(between.select("k", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within), "candidates")
     right, places = _blocked(pairs, pairs.count())
@@ -462,7 +631,7 @@ def _candidate_sets(docs: DataFrame, n: int, threshold: float, id_col: str, text
     right, places = _blocked(pairs, pairs.count())
     places = places.join(reps.select(F.col("rep").alias("doc"), "copies"), "doc")
     sets = _sets(d, places.select("doc").distinct(), n, held)
-    return sigs, reps, sets.join(_small(places), "doc").select("block", "doc", "copies", "grams"), right
+    return sigs, reps, sets.join(_small(places), "doc").select("block", "doc", "copies", "grams"), right, stars
 
 
 def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -471,7 +640,7 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
 
     Null ids and null texts take no part; equal rows count once; of different texts under one id, the text that sorts last counts.
     """
-    sigs, reps, left, right = _candidate_sets(docs, n, threshold, id_col, text_col)
+    sigs, reps, left, right, _ = _candidate_sets(docs, n, threshold, id_col, text_col)
     found = left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
     return _classes(sigs, reps), written(found, "pairs")
 
@@ -482,8 +651,9 @@ def _classes(sigs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes, links (rep, others) without those of copies, and roots (rep, root) of representatives that have any."""
-    sigs, reps, left, right = _candidate_sets(docs, n, threshold, id_col, text_col)
-    tally = written(left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_tally(threshold), "doc long, links long, root long"), "tally")
+    sigs, reps, left, right, stars = _candidate_sets(docs, n, threshold, id_col, text_col, starred=True)
+    between = left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_tally(threshold), "doc long, links long, root long")
+    tally = written(between.unionByName(_within_stars(stars, threshold)), "tally")
     roots = components(tally.select(F.col("doc").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     return sigs.join(reps, ["psig", "size", "ssig"]).select("doc_id", "rep", "copies"), tally.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("others")), roots
 

@@ -126,3 +126,35 @@ def test_components(spark):
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert not oracle.difference(QUERIES["op5_ngram_jaccard"](spark, sf), J.SQL, sf)
+
+
+def cluster(rng, n, words=80, edits=4):
+    """Texts that differ from one in a few words each, and one far from most of them."""
+    base = [f"b{k}" for k in range(words)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), 14 if k == n - 1 else rng.randrange(edits + 1)):
+            w[at] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("grams", [2_000_000, 1500])
+def test_pairs_of_a_cluster_are_counted_and_not_listed(make, rng, monkeypatch, grams):
+    """A cluster's pairs grow with its square, so they mustn't become rows; one part or several."""
+    texts = cluster(rng, 150) + [t for _, t in near_copies(rng, 8)] + [f"b{k} b{k + 1} b{k + 2}" for k in range(20)]
+    rows = list(enumerate(texts + texts[:20]))
+    rng.shuffle(rows)
+    listed = {}
+
+    def written(df, name, keep=J.written):
+        listed[name] = (out := keep(df, name)).count()
+        return out
+
+    monkeypatch.setattr(J, "written", written)
+    monkeypatch.setattr(J, "STAR_GRAMS", grams, raising=False)
+    got = sorted(map(tuple, J.similar_documents(make(rows)).collect()))
+    links = brute(rows, J.THRESHOLD)
+    assert got == summary([i for i, _ in rows], links)
+    assert listed["candidates"] < len(links) / 5
