@@ -14,6 +14,13 @@ at least `threshold` are found:
 4. Prefix postings meet the postings of documents that are large enough.  Each candidate pair is verified on the whole
    sets of shared digests, in blocks of pairs that share a digest, so the sets of a cluster are fetched once for many pairs.
 
+5. Where pairs aren't asked for, representatives with the same shared digests are one set: many short texts consist of a common line and a line of
+   their own, and would make as many pairs as they have containers each.  What two sets share is found once; whom it links depends on the totals
+   alone, so a set has a kind for each total among its documents, with their number and the smallest id.
+
+6. Clusters of near copies would make pairs with the square of their size.  They are stars as in operator 5: what two sets of a star share is
+   found for whole parts of it as a product of matrices, and candidates leave these pairs out.
+
 No posting, candidate or partner is capped.  Only digests and lengths are shuffled, never texts.  Links are counted between
 representatives and weighted by the sizes of their classes, so copies are never expanded into pairs; where pairs aren't asked for,
 each block sends a row for each of its documents and none for its pairs.
@@ -28,12 +35,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .jaccard import components, linked
-from .support import give_back, written
+from .jaccard import _small, components, core_of, in_common, in_company, linked, min_pairs, near_core
+from .support import give_back, swept, written
 
 #: Least, normal and largest bytes of a chunk, and the bytes that decide on a cut: short, as an edited word spoils its chunk and the window after it.
 SIZES = (16, 16, 64, 8)
@@ -42,6 +49,8 @@ WEIGHT_BITS = 11
 _MASK = (1 << WEIGHT_BITS) - 1
 PAIRS_BLOCK = 400_000
 BUCKET_TOKENS, PART_TOKENS = 2_000_000, 500_000
+#: Digests in a part of a star.
+STAR_TOKENS = 150_000
 _U = np.uint64
 
 
@@ -163,30 +172,31 @@ def _prefixes(threshold: float):
     return run
 
 
-def _checked(threshold: float, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b and containment of the pairs that have it."""
+def _overlaps(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and the weight that they share, for all pairs."""
     sets = {d: x.values.to_numpy(zero_copy_only=False) for d, x in zip(left["doc"].to_pylist(), left["tokens"].combine_chunks())}
-    total = dict(zip(left["doc"].to_pylist(), left["total"].to_pylist()))
     a, b = right["a"].to_numpy(), right["b"].to_numpy()
     order = np.argsort(a, kind="stable")
     edge = np.flatnonzero(np.diff(a[order])) + 1
-    out: tuple[list, list, list] = ([], [], [])
+    out: list[np.ndarray] = [np.zeros(0)]
     for part in np.split(order, edge) if len(order) else []:
-        x = a[part[0]]
-        mine = np.sort(sets[x])
-        others = b[part]
-        theirs = [sets[y] for y in others.tolist()]
+        mine = np.sort(sets[a[part[0]]])
+        theirs = [sets[y] for y in b[part].tolist()]
         n = np.array([len(y) for y in theirs])
         flat = np.concatenate(theirs)
         at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
         w = np.where(mine[at] == flat, flat & _MASK, 0)
-        c = np.bincount(np.repeat(np.arange(len(n)), n), weights=w, minlength=len(n)) / total[x]
-        ok = c >= threshold - 1e-12
-        out[0].append(np.full(int(ok.sum()), x))
-        out[1].append(others[ok])
-        out[2].append(c[ok])
-    cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
-    return cols[0].astype(np.int64), cols[1].astype(np.int64), cols[2].astype(float)
+        out.append(np.bincount(np.repeat(np.arange(len(n)), n), weights=w, minlength=len(n)))
+    return a[order], b[order], np.concatenate(out)
+
+
+def _checked(threshold: float, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and containment of the pairs that have it."""
+    a, b, w = _overlaps(left, right)
+    total = dict(zip(left["doc"].to_pylist(), left["total"].to_pylist()))
+    c = w / np.array([total[x] for x in a.tolist()], dtype=float)
+    ok = c >= threshold - 1e-12
+    return a[ok], b[ok], c[ok]
 
 
 def _verify(threshold: float):
@@ -200,29 +210,112 @@ TALLY = "doc long, root long, outer long, inner long, containment double, other
 
 
 def _tally(threshold: float):
-    """TALLY of a block's documents with links: the smallest one reached within the block, how many documents contain it and are contained in it,
-    the highest containment and the (smallest) container that has it.
+    """TALLY of the kinds of a block's sets with links (doc: a kind's smallest document): the smallest one reached within the block, how many
+    documents contain those of the kind and are contained in them, the highest containment and the (smallest) container that has it.
     """
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b, c = _checked(threshold, left, right)
-        nodes, ia, ib, root = linked(a, b)
-        copies = dict(zip(left["doc"].to_pylist(), left["copies"].to_pylist()))
-        n = np.array([copies[x] for x in nodes.tolist()], dtype=np.int64)
-        outer, inner = (np.bincount(i, weights=n[j], minlength=len(n)).astype(np.int64) for i, j in ((ia, ib), (ib, ia)))
-        best, other = np.full(len(n), np.nan), np.zeros(len(n), dtype=np.int64)
-        order = np.lexsort((b, -c, ia))
-        top = order[np.concatenate(([True], np.diff(ia[order]) > 0))] if len(order) else order
-        best[ia[top]], other[ia[top]] = c[top], b[top]
-        none = np.isnan(best)
-        cols = (nodes, root, outer, inner, pa.array(best, mask=none), pa.array(other, mask=none))
-        return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in zip(("doc", "root", "outer", "inner", "containment", "other"), cols)})
+        a, b, w = _overlaps(left, right)
+        sets = left["doc"].to_numpy()
+        order = np.argsort(sets, kind="stable")
+        return _tallied(threshold, left, *(order[np.searchsorted(sets[order], x)] for x in (a, b)), w)
 
     return run
 
 
-def _candidate_sets(docs: DataFrame, threshold: float, sizes: tuple[int, ...], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Fingerprints (doc_id, sig, total); representatives with the number of copies; sets (block, doc, total, copies, tokens) and pairs (pair_block, a, b) to verify."""
+def _tallied(threshold: float, left: pa.Table, ia: np.ndarray, ib: np.ndarray, w: np.ndarray) -> pa.Table:
+    """TALLY for the sets of `left` and the weights that rows ia and ib of it share."""
+    b = left["doc"].to_numpy()[ib]
+    kinds = left["kinds"].combine_chunks()
+    n = np.diff(kinds.offsets.to_numpy())
+    first = np.cumsum(n) - n
+    flat = kinds.flatten()
+    total, copies, doc = (flat.field(c).to_numpy() for c in ("total", "copies", "least"))
+    held = np.add.reduceat(copies, first) if len(first) else np.zeros(0, dtype=np.int64)
+    pair = np.repeat(np.arange(len(ia)), n[ia])
+    kind = np.arange(len(pair)) - np.repeat(np.cumsum(n[ia]) - n[ia] - first[ia], n[ia])
+    c = w[pair] / total[kind]
+    ok = c >= threshold - 1e-12
+    pair, kind, c = pair[ok], kind[ok], c[ok]
+    to = ib[pair]
+    outer = np.bincount(kind, weights=held[to], minlength=len(doc)).astype(np.int64)
+    inner = np.repeat(np.bincount(to, weights=copies[kind], minlength=len(n)).astype(np.int64), n)
+    best, other = np.full(len(doc), np.nan), np.zeros(len(doc), dtype=np.int64)
+    order = np.lexsort((b[pair], -c, kind))
+    top = order[np.concatenate(([True], np.diff(kind[order]) > 0))] if len(order) else order
+    best[kind[top]], other[kind[top]] = c[top], b[pair[top]]
+    met = np.unique(to)  # all documents of a container are linked to what it contains
+    whole = np.arange(int(n[met].sum())) - np.repeat(np.cumsum(n[met]) - n[met] - first[met], n[met])
+    nodes, _, _, root = linked(np.concatenate((doc[kind], doc[whole])), np.concatenate((doc[first[to]], np.repeat(doc[first[met]], n[met]))))
+    at = np.argsort(doc, kind="stable")
+    at = at[np.searchsorted(doc[at], nodes)]
+    none = np.isnan(best[at])
+    cols = (nodes, root, outer[at], inner[at], pa.array(best[at], mask=none), pa.array(other[at], mask=none))
+    return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in zip(("doc", "root", "outer", "inner", "containment", "other"), cols)})
+
+
+def _stars(sets: DataFrame) -> DataFrame:
+    """(doc, star, parts) of the sets (doc, tokens) in a star, which goes by its smallest one."""
+
+    def mins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.diff(b.column(1).offsets.to_numpy())
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).view(_U)
+            if len(n):
+                yield pa.RecordBatch.from_arrays([b.column(0), min_pairs(tk.mix(flat), np.cumsum(n) - n)], names=["rep", "mins"])
+
+    def near(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core = None
+        for b in batches:
+            n = np.diff(b["tokens"].offsets.to_numpy())
+            flat = b["tokens"].flatten().to_numpy(zero_copy_only=False).view(_U)
+            if core is None:
+                core, name = core_of(flat, b.num_rows)
+            ok = near_core(core, flat, n)
+            yield pa.RecordBatch.from_arrays([b["doc"].filter(pa.array(ok)), pa.array(n[ok].astype(np.int64)), pa.array(np.full(int(ok.sum()), name))], names=["doc", "size", "core"])
+        give_back()
+
+    mine = written(in_company(sets.select("doc", "tokens").mapInArrow(mins, "rep long, mins array<long>")), "min-hashes")
+    got = sets.select("doc", "tokens").join(_small(mine.withColumnRenamed("rep", "doc")), "doc").groupBy("nth", "h").applyInArrow(near, "doc long, size long, core long")
+    core = Window.partitionBy("core")
+    got = got.select("doc", F.min("doc").over(core).alias("star"), F.ceil(F.sum("size").over(core) / STAR_TOKENS).cast("int").alias("parts"), F.count("*").over(core).alias("n"))
+    return swept(written(got.where("n > 1").drop("n"), "stars"))
+
+
+def _within_stars(sets: DataFrame, stars: DataFrame, threshold: float) -> DataFrame:
+    """TALLY over all pairs within a star."""
+
+    def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
+        got = got.combine_chunks()
+        part = got["part"].to_numpy()
+        tokens = got["tokens"].chunk(0)
+        n = np.diff(tokens.offsets.to_numpy())
+        tok = tokens.flatten().to_numpy(zero_copy_only=False)
+        least = got["total"].to_numpy()
+        a, b = (np.flatnonzero(part == k.as_py()) for k in key[1:])
+        found: tuple[list, list, list] = ([], [], [])
+        for lo, both in in_common(np.repeat(np.arange(len(n)), n), tok, len(n), a, b, tok & _MASK):
+            mine = a[lo : lo + len(both)]
+            if key[1] == key[2]:
+                both[np.arange(len(mine)), lo + np.arange(len(mine))] = 0
+            ways = [(mine[:, None], b[None, :])] + [(b[None, :], mine[:, None])] * (key[1] != key[2])
+            for x, y in ways:
+                ok = both >= threshold * least[x] - 1e-6
+                for col, v in zip(found, (np.broadcast_to(x, ok.shape)[ok], np.broadcast_to(y, ok.shape)[ok], both[ok])):
+                    col.append(v)
+        out = _tallied(threshold, got, *(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in found))
+        give_back()
+        return out
+
+    part = sets.join(_small(stars), "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cols = ["doc", "total", "tokens", "kinds", "part"]
+    met = part.select("star", *cols, other).select("star", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), *cols)
+    return met.groupBy("star", "p", "q").applyInArrow(run, TALLY)
+
+
+def _shared_sets(docs: DataFrame, threshold: float, sizes: tuple[int, ...], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints (doc_id, sig, total); representatives (rep, copies); their shared digests (doc, total, tokens by frequency, set, w), w their weight."""
     if not 0 < threshold <= 1:
         raise ValueError("need 0 < threshold <= 1")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -233,18 +326,33 @@ def _candidate_sets(docs: DataFrame, threshold: float, sizes: tuple[int, ...], i
     rows = fingerprints(d, sizes)
     firsts = rows.groupBy("sig", "total").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")).select("doc", "total", "tokens")
     shared = firsts.mapInArrow(_pack(n_buckets), PACKED).groupBy("bucket").applyInArrow(_shared, "doc long, total long, df long, token long")
-    shared = written(shared.groupBy("doc", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")), "shared-chunks")
-    prefix = shared.mapInArrow(_prefixes(threshold), "a long, total_a long, token long")
-    postings = shared.select(F.col("doc").alias("b"), F.col("total").alias("total_b"), F.explode("tokens").alias("token"))
-    met = prefix.join(postings, "token").where((F.col("a") != F.col("b")) & (F.col("total_b") >= threshold * F.col("total_a") - 1e-6))
+    shared = shared.groupBy("doc", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+    weight = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(_MASK)))
+    shared = swept(written(shared.select("doc", "total", "tokens", F.xxhash64("tokens").alias("set"), weight.alias("w")), "shared-chunks"))
+    sigs = written(rows.select("doc_id", "sig", "total"), "fingerprints")
+    reps = swept(written(sigs.groupBy("sig", "total").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "representatives"))
+    return sigs, reps, shared
+
+
+def _met(sets: DataFrame, threshold: float, *more: str, stars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sets (block, doc, total, tokens, more) and pairs (pair_block, a, b) to verify, of sets (doc, total, tokens, w, more): total is a set's least, w the weight of its tokens.
+
+    Pairs within one of `stars` are left out.
+    """
+    prefix = sets.select("doc", "total", "tokens").mapInArrow(_prefixes(threshold), "a long, total_a long, token long")
+    postings = sets.select(F.col("doc").alias("b"), F.col("w").alias("w_b"), F.explode("tokens").alias("token"))
+    apart = F.lit(True)
+    if stars is not None:
+        prefix = prefix.join(_small(stars.select(F.col("doc").alias("a"), F.col("star").alias("star_a"))), "a", "left")
+        postings = postings.join(_small(stars.select(F.col("doc").alias("b"), F.col("star").alias("star_b"))), "b", "left")
+        apart = F.coalesce(F.col("star_a") != F.col("star_b"), F.lit(True))
+    met = prefix.join(postings, "token").where(apart & (F.col("a") != F.col("b")) & (F.col("w_b") >= threshold * F.col("total_a") - 1e-6))
     key = F.shiftrightunsigned("token", WEIGHT_BITS).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-    pairs = written(met.select("a", "b", key.alias("k")).groupBy("a", "b").agg(F.min("k").alias("k")), "containment-candidates")
+    pairs = swept(written(met.select("a", "b", key.alias("k")).groupBy("a", "b").agg(F.min("k").alias("k")), "containment-candidates"))
     blocks = int(max(12, -(-pairs.count() // PAIRS_BLOCK)))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).drop("k")
-    sigs = written(rows.select("doc_id", "sig", "total"), "fingerprints")
-    reps = written(sigs.groupBy("sig", "total").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "representatives")
-    places = pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct().join(reps.select(F.col("rep").alias("doc"), "copies"), "doc")
-    return sigs, reps, places.join(shared, "doc").select("block", "doc", "total", "copies", "tokens"), pairs.select(F.col("block").alias("pair_block"), "a", "b")
+    places = pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
+    return places.join(sets, "doc").select("block", "doc", "total", "tokens", *more), pairs.select(F.col("block").alias("pair_block"), "a", "b")
 
 
 def classes_and_pairs(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int, ...] = SIZES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -254,7 +362,8 @@ def classes_and_pairs(docs: DataFrame, threshold: float = THRESHOLD, sizes: tupl
     Null ids, null and empty texts take no part; equal rows count once; of different texts under
     one id the text that sorts last counts; other columns are ignored.
     """
-    sigs, reps, left, right = _candidate_sets(docs, threshold, sizes, id_col, text_col)
+    sigs, reps, shared = _shared_sets(docs, threshold, sizes, id_col, text_col)
+    left, right = _met(shared, threshold)
     found = left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_verify(threshold), "a long, b long, containment double")
     return sigs.join(reps, ["sig", "total"]).select("doc_id", "rep"), written(found, "containment-pairs")
 
@@ -267,15 +376,38 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, sizes: tuple[int,
     class (its smallest id) that contains most of it, of equals the first, and containment how much: a document with copies has its own class and 1.
     Both are null without any container.  A document without text is alone.  For the pairs themselves see classes_and_pairs, also for nulls and repeats.
     """
-    sigs, reps, left, right = _candidate_sets(docs, threshold, sizes, id_col, text_col)
-    tally = written(left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_tally(threshold), TALLY), "containment-tally")
-    roots = components(tally.select(F.col("doc").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    top = F.min(F.when(F.col("other").isNotNull(), F.struct((-F.col("containment")).alias("c"), "other"))).alias("top")
-    links = tally.groupBy(F.col("doc").alias("rep")).agg(F.sum("outer").alias("outer"), F.sum("inner").alias("inner"), top)
+    sigs, reps, shared = _shared_sets(docs, threshold, sizes, id_col, text_col)
+    whole, kind = Window.partitionBy("set", "w"), Window.partitionBy("set", "w", "total")
+    enough = F.col("w") / F.col("total") >= threshold - 1e-12  # contained in all others of its set
+    members = shared.select("doc", "total", "set", "w").join(reps.select(F.col("rep").alias("doc"), "copies"), "doc")
+    members = members.withColumns({"least": F.min("doc").over(kind), "node": F.min("doc").over(whole), "next": F.lead("doc").over(whole.orderBy("doc")), "docs": F.count("*").over(whole)})
+    members = members.withColumns({"all_copies": F.sum("copies").over(whole), "ready": F.sum(F.when(enough, F.col("copies")).otherwise(0)).over(whole)})
+    members = swept(written(members, "members"))
+    kinds = members.groupBy("node", "total", "least").agg(F.sum("copies").alias("copies"))
+    nodes = kinds.groupBy("node").agg(F.min("total").alias("total"), F.array_sort(F.collect_list(F.struct("total", "copies", "least"))).alias("kinds"))
+    sets = swept(written(shared.drop("total").join(nodes.withColumnRenamed("node", "doc"), "doc").select("doc", "total", "tokens", "w", "kinds"), "sets"))
+    stars = _stars(sets)
+    left, right = _met(sets, threshold, "kinds", stars=stars)
+    between = left.groupBy("block").cogroup(right.groupBy("pair_block")).applyInArrow(_tally(threshold), TALLY)
+    tally = swept(written(between.unionByName(_within_stars(sets, stars, threshold)), "containment-tally"))
+    joined = members.where("docs > 1 and ready > 0").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    roots = components(tally.select(F.col("doc").alias("a"), F.col("root").alias("b")).unionByName(joined)).withColumnRenamed("node", "least")
+    top = F.min(F.when(F.col("other").isNotNull(), F.struct((-F.col("containment")).alias("c"), "other"))).alias("found")
+    links = tally.groupBy(F.col("doc").alias("least")).agg(F.sum("outer").alias("outer"), F.sum("inner").alias("inner"), top)
+    own, zero = F.coalesce(F.col("copies") - 1, F.lit(0)), F.lit(0)
+    out = members.join(links, "least", "left").join(roots, "least", "left")
+    same = F.when(enough & (F.col("docs") > 1), F.struct((-(F.col("w") / F.col("total"))).alias("c"), F.when(F.col("doc") == F.col("node"), F.col("next")).otherwise(F.col("node")).alias("other")))
+    linked_to = F.coalesce("root", F.when(F.col("outer").isNotNull() | ((F.col("docs") > 1) & (F.col("ready") > 0)), F.col("least")))
+    out = out.select(
+        F.col("doc").alias("rep"),
+        linked_to.alias("root"),
+        (F.coalesce("outer", zero) + F.when(enough, F.col("all_copies") - F.col("copies")).otherwise(0)).alias("outer"),
+        (F.coalesce("inner", zero) + F.col("ready") - F.when(enough, F.col("copies")).otherwise(0)).alias("inner"),
+        F.least("found", same).alias("top"),
+    )
     classes = sigs.join(reps, ["sig", "total"]).select("doc_id", "rep", "copies")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    out = ids.join(classes, "doc_id", "left").join(links.join(roots, "rep", "left"), "rep", "left")
-    own, zero = F.coalesce(F.col("copies") - 1, F.lit(0)), F.lit(0)
+    out = ids.join(classes, "doc_id", "left").join(out, "rep", "left")
     return out.select(
         "doc_id",
         F.coalesce("root", "rep", "doc_id").alias("class_id"),

@@ -208,12 +208,12 @@ def signatures(docs: DataFrame, n: int, threshold: float, classes) -> DataFrame:
                 raw = _packed(tok[short]).view(np.uint8).reshape(-1)
                 ends = np.concatenate(([0], np.cumsum(keep))) * 6
                 blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at] + lo)), pa.array(size.astype(np.int32)), pa.array(psig.view(np.int64)), pa.array(ssig.view(np.int64)), blob, _bitmaps(tk.mix(mixed), size), _mins(mixed, at)], names=["doc_id", "size", "psig", "ssig", "prefix", "bits", "mins"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at] + lo)), pa.array(size.astype(np.int32)), pa.array(psig.view(np.int64)), pa.array(ssig.view(np.int64)), blob, _bitmaps(tk.mix(mixed), size), min_pairs(mixed, at)], names=["doc_id", "size", "psig", "ssig", "prefix", "bits", "mins"])
 
     return docs.mapInArrow(run, "doc_id long, size int, psig long, ssig long, prefix binary, bits binary, mins array<long>")
 
 
-def _mins(h: np.ndarray, at: np.ndarray) -> pa.Array:
+def min_pairs(h: np.ndarray, at: np.ndarray) -> pa.Array:
     """Of each set, 32 bits of the least and 32 of the greatest value together, under four rotations of the hash."""
     out = np.empty((len(at), 4), dtype=np.int64)
     for k in range(4):
@@ -437,12 +437,28 @@ def _tally(threshold: float):
     return run
 
 
-def _stars(docs: DataFrame, reps: DataFrame, n: int, classes) -> DataFrame:
-    """(psig, size, doc, copies, star, parts, grams) of the representatives in a star, which goes by its smallest one; all of a group are in it or none."""
+def in_company(reps: DataFrame) -> DataFrame:
+    """(rep, nth, h) of those (rep, mins) that agree with enough others in a pair of min-hashes: the one in which the most agree."""
     keys = reps.select("rep", F.posexplode("mins").alias("nth", "h"))
     heavy = keys.groupBy("nth", "h").agg(F.count("*").alias("c")).where(F.col("c") >= STAR_DOCS)
-    mine = keys.join(heavy, ["nth", "h"]).groupBy("rep").agg(F.max(F.struct("c", "nth", "h")).alias("top"))
-    mine = written(mine.select("rep", "top.nth", "top.h").join(reps.drop("mins"), "rep"), "min-hashes")
+    return keys.join(heavy, ["nth", "h"]).groupBy("rep").agg(F.max(F.struct("c", "nth", "h")).alias("top")).select("rep", "top.nth", "top.h")
+
+
+def core_of(flat: np.ndarray, rows: int) -> tuple[np.ndarray, int]:
+    """What most of the sets have, with an end mark, and a hash of it."""
+    tok, c = np.unique(flat, return_counts=True)
+    core = np.concatenate((tok[2 * c > rows], [_U(0xFFFFFFFFFFFFFFFF)]))
+    return core, int(np.add.reduce(tk.mix(core)).view(np.int64))
+
+
+def near_core(core: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    both = np.bincount(np.repeat(np.arange(len(size)), size), weights=core[np.searchsorted(core, flat)] == flat, minlength=len(size))
+    return both >= STAR_NEAR * (size + len(core) - 1 - both)
+
+
+def _stars(docs: DataFrame, reps: DataFrame, n: int, classes) -> DataFrame:
+    """(psig, size, doc, copies, star, parts, grams) of the representatives in a star, which goes by its smallest one; all of a group are in it or none."""
+    mine = written(in_company(reps.select("rep", "mins")).join(reps.drop("mins"), "rep"), "min-hashes")
 
     def near(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = None
@@ -450,11 +466,8 @@ def _stars(docs: DataFrame, reps: DataFrame, n: int, classes) -> DataFrame:
             data, off = tk.string_buffers(b["grams"])
             flat, size = np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype=_U), np.diff(off) // 8
             if core is None:
-                tok, c = np.unique(flat, return_counts=True)
-                core = np.concatenate((tok[2 * c > b.num_rows], [_U(0xFFFFFFFFFFFFFFFF)]))
-                name = int(np.add.reduce(tk.mix(core)).view(np.int64))
-            both = np.bincount(np.repeat(np.arange(len(size)), size), weights=core[np.searchsorted(core, flat)] == flat, minlength=len(size))
-            ok = both >= STAR_NEAR * (size + len(core) - 1 - both)
+                core, name = core_of(flat, b.num_rows)
+            ok = near_core(core, flat, size)
             b = b.filter(pa.array(ok)).drop_columns(["nth", "h"])
             yield b.append_column("core", pa.array(np.full(b.num_rows, name)))
         give_back()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """`df`, a written table, after its driver has collected its garbage: only then does Spark remove shuffle files that nothing reads any more."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

@@ -137,3 +137,36 @@ def test_short_texts_with_a_word_changed_in_twenty_are_found(make, rng):
     got = pairs_of(P.classes_and_pairs(make(rows)))
     assert sum((2 * k, 2 * k + 1) in got or (2 * k + 1, 2 * k) in got for k in range(40)) >= 34
     assert all(a // 2 == b // 2 for a, b in got)
+
+
+def hubs_and_cluster(rng):
+    """Short texts of a common line and one of their own, long ones with that line, and near copies of one text."""
+    word = lambda: "".join(rng.choice("abcdefgåé") for _ in range(rng.randrange(3, 9)))
+    line = " ".join(word() for _ in range(14)) + "."
+    texts = [f"{line}\n{' '.join(word() for _ in range(k % 9))}" for k in range(80)]
+    texts += [f"{' '.join(word() for _ in range(60))}\n{line}\n{' '.join(word() for _ in range(40))}" for _ in range(80)]
+    base = [word() for _ in range(150)]
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(150)] = word()
+        texts.append(" ".join(w) + ("\n" + line) * (k % 5 == 0))
+    return list(enumerate(texts + texts[::9]))
+
+
+@pytest.mark.parametrize("tokens", [150_000, 700])
+def test_pairs_of_hubs_and_of_a_cluster_are_counted_and_not_listed(make, rng, monkeypatch, tokens):
+    """They grow with the square of the input, so they mustn't become rows; a star of one part or several."""
+    rows = hubs_and_cluster(rng)
+    rng.shuffle(rows)
+    listed = {}
+
+    def written(df, name, keep=P.written):
+        listed[name] = (out := keep(df, name)).count()
+        return out
+
+    monkeypatch.setattr(P, "written", written)
+    monkeypatch.setattr(P, "STAR_TOKENS", tokens, raising=False)
+    want = brute(rows, P.THRESHOLD)
+    assert sorted(map(tuple, P.containment(make(rows)).collect())) == summary(rows, want)
+    assert listed["containment-candidates"] < len(want) / 4
