@@ -62,6 +62,15 @@ def swept(df: DataFrame) -> DataFrame:
     return df
 
 
+def rested(spark: SparkSession) -> None:
+    """Let the executors' JVMs and the driver collect their garbage and so give memory back that an earlier stage of a pipeline took: Python needs it beside them."""
+    gc.collect()
+    give_back()
+    spark._jvm.System.gc()
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

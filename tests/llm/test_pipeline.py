@@ -100,3 +100,14 @@ def test_odd_rows_go_through_every_stage(spark):
         for _, f in C.STAGES:
             docs = f(spark, docs, SF)
             docs.collect()
+
+
+def test_stages_begin_with_collected_garbage(spark):
+    """Else the heap that an earlier stage took stays beside the Python workers of the next one."""
+    from loomquill.llm.support import rested
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans)
+    before = count()
+    rested(spark)
+    assert count() >= before + 2
