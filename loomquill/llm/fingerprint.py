@@ -19,7 +19,8 @@ at least `threshold` are found:
    alone, so a set has a kind for each total among its documents, with their number and the smallest id.
 
 6. Clusters of near copies would make pairs with the square of their size.  They are stars as in operator 5: what two sets of a star share is
-   found for whole parts of it as a product of matrices, and candidates leave these pairs out.
+   found for whole parts of it as a product of matrices, and candidates leave these pairs out.  Parts are bounded in digests and in sets, and the
+   pairs of a digest that many have go to blocks by both sides, so no task holds more than its part or block, whatever the size of a cluster.
 
 No posting, candidate or partner is capped.  Only digests and lengths are shuffled, never texts.  Links are counted between
 representatives and weighted by the sizes of their classes, so copies are never expanded into pairs; where pairs aren't asked for,
@@ -49,8 +50,10 @@ WEIGHT_BITS = 11
 _MASK = (1 << WEIGHT_BITS) - 1
 PAIRS_BLOCK = 400_000
 BUCKET_TOKENS, PART_TOKENS = 2_000_000, 500_000
-#: Digests in a part of a star.
-STAR_TOKENS = 150_000
+#: Digests and sets in a part of a star: each of its sets is held against all of another part at once.
+STAR_TOKENS, STAR_SETS = 150_000, 8192
+#: Digests of partners that are looked up at a time; links that wait to be joined.
+SLICE_TOKENS, EDGES = 1_000_000, 500_000
 _U = np.uint64
 
 
@@ -172,31 +175,38 @@ def _prefixes(threshold: float):
     return run
 
 
-def _overlaps(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b and the weight that they share, for all pairs."""
-    sets = {d: x.values.to_numpy(zero_copy_only=False) for d, x in zip(left["doc"].to_pylist(), left["tokens"].combine_chunks())}
-    a, b = right["a"].to_numpy(), right["b"].to_numpy()
+def _overlaps(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, w) for the pairs of `right`: a's row of `left`, those of some of its partners, and the weight that each of them shares with it."""
+    tokens = left["tokens"].combine_chunks()
+    ends, tok = tokens.offsets.to_numpy().astype(np.int64), tokens.values.to_numpy(zero_copy_only=False)
+    docs = left["doc"].to_numpy()
+    place = np.argsort(docs, kind="stable")
+    a, b = (place[np.searchsorted(docs[place], right[c].to_numpy())] for c in ("a", "b"))
     order = np.argsort(a, kind="stable")
     edge = np.flatnonzero(np.diff(a[order])) + 1
-    out: list[np.ndarray] = [np.zeros(0)]
     for part in np.split(order, edge) if len(order) else []:
-        mine = np.sort(sets[a[part[0]]])
-        theirs = [sets[y] for y in b[part].tolist()]
-        n = np.array([len(y) for y in theirs])
-        flat = np.concatenate(theirs)
-        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-        w = np.where(mine[at] == flat, flat & _MASK, 0)
-        out.append(np.bincount(np.repeat(np.arange(len(n)), n), weights=w, minlength=len(n)))
-    return a[order], b[order], np.concatenate(out)
+        i, others = int(a[part[0]]), b[part]
+        mine = np.sort(tok[ends[i] : ends[i + 1]])
+        n = ends[others + 1] - ends[others]
+        slices = np.flatnonzero(np.diff(np.cumsum(n) // SLICE_TOKENS)) + 1
+        for k, n in zip(np.split(others, slices), np.split(n, slices)):
+            flat = np.concatenate([tok[ends[y] : ends[y + 1]] for y in k.tolist()])
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            w = np.where(mine[at] == flat, flat & _MASK, 0)
+            yield i, k, np.bincount(np.repeat(np.arange(len(n)), n), weights=w, minlength=len(n))
 
 
 def _checked(threshold: float, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """a, b and containment of the pairs that have it."""
-    a, b, w = _overlaps(left, right)
-    total = dict(zip(left["doc"].to_pylist(), left["total"].to_pylist()))
-    c = w / np.array([total[x] for x in a.tolist()], dtype=float)
-    ok = c >= threshold - 1e-12
-    return a[ok], b[ok], c[ok]
+    docs, total = left["doc"].to_numpy(), left["total"].to_numpy()
+    out: tuple[list, list, list] = ([np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)])
+    for i, others, w in _overlaps(left, right):
+        c = w / total[i]
+        ok = c >= threshold - 1e-12
+        for col, x in zip(out, (np.full(int(ok.sum()), docs[i]), docs[others[ok]], c[ok])):
+            col.append(x)
+    a, b, c = map(np.concatenate, out)
+    return a, b, c
 
 
 def _verify(threshold: float):
@@ -215,43 +225,82 @@ def _tally(threshold: float):
     """
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b, w = _overlaps(left, right)
-        sets = left["doc"].to_numpy()
-        order = np.argsort(sets, kind="stable")
-        return _tallied(threshold, left, *(order[np.searchsorted(sets[order], x)] for x in (a, b)), w)
+        tally = _Tally(threshold, left)
+        for found in _overlaps(left, right):
+            tally.add(*found)
+        out = tally.table()
+        del tally
+        give_back()
+        return out
 
     return run
 
 
-def _tallied(threshold: float, left: pa.Table, ia: np.ndarray, ib: np.ndarray, w: np.ndarray) -> pa.Table:
-    """TALLY for the sets of `left` and the weights that rows ia and ib of it share."""
-    b = left["doc"].to_numpy()[ib]
-    kinds = left["kinds"].combine_chunks()
-    n = np.diff(kinds.offsets.to_numpy())
-    first = np.cumsum(n) - n
-    flat = kinds.flatten()
-    total, copies, doc = (flat.field(c).to_numpy() for c in ("total", "copies", "least"))
-    held = np.add.reduceat(copies, first) if len(first) else np.zeros(0, dtype=np.int64)
-    pair = np.repeat(np.arange(len(ia)), n[ia])
-    kind = np.arange(len(pair)) - np.repeat(np.cumsum(n[ia]) - n[ia] - first[ia], n[ia])
-    c = w[pair] / total[kind]
-    ok = c >= threshold - 1e-12
-    pair, kind, c = pair[ok], kind[ok], c[ok]
-    to = ib[pair]
-    outer = np.bincount(kind, weights=held[to], minlength=len(doc)).astype(np.int64)
-    inner = np.repeat(np.bincount(to, weights=copies[kind], minlength=len(n)).astype(np.int64), n)
-    best, other = np.full(len(doc), np.nan), np.zeros(len(doc), dtype=np.int64)
-    order = np.lexsort((b[pair], -c, kind))
-    top = order[np.concatenate(([True], np.diff(kind[order]) > 0))] if len(order) else order
-    best[kind[top]], other[kind[top]] = c[top], b[pair[top]]
-    met = np.unique(to)  # all documents of a container are linked to what it contains
-    whole = np.arange(int(n[met].sum())) - np.repeat(np.cumsum(n[met]) - n[met] - first[met], n[met])
-    nodes, _, _, root = linked(np.concatenate((doc[kind], doc[whole])), np.concatenate((doc[first[to]], np.repeat(doc[first[met]], n[met]))))
-    at = np.argsort(doc, kind="stable")
-    at = at[np.searchsorted(doc[at], nodes)]
-    none = np.isnan(best[at])
-    cols = (nodes, root, outer[at], inner[at], pa.array(best[at], mask=none), pa.array(other[at], mask=none))
-    return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in zip(("doc", "root", "outer", "inner", "containment", "other"), cols)})
+class _Tally:
+    """TALLY for the sets of a table, given the weights that one of them shares with others at a time: neither pairs nor their kinds are kept.
+
+    A set's kinds are ordered by total.  What links one of them links all with a smaller total, and all documents of a container are linked to
+    what it contains, so components are those of sets, and the set that shares most is the best container of every kind that has one.
+    """
+
+    def __init__(self, threshold: float, left: pa.Table):
+        kinds = left["kinds"].combine_chunks()
+        self.sets, self.n = left["doc"].to_numpy(), np.diff(kinds.offsets.to_numpy())
+        self.first = np.cumsum(self.n) - self.n
+        flat = kinds.flatten()
+        self.total, self.copies, self.doc = (flat.field(c).to_numpy() for c in ("total", "copies", "least"))
+        self.need = self.total * (threshold - 1e-12)
+        self.held = np.add.reduceat(self.copies, self.first) if len(self.n) else np.zeros(0, dtype=np.int64)
+        self.outer, self.inner = np.zeros(len(self.doc), dtype=np.int64), np.zeros(len(self.n), dtype=np.int64)
+        self.most, self.other = np.zeros(len(self.n)), np.zeros(len(self.n), dtype=np.int64)
+        self.label, self.edges, self.waiting = np.arange(len(self.n)), [], 0
+
+    def add(self, i: int, others: np.ndarray, w: np.ndarray) -> None:
+        """Set i shares w with others, each of which comes once with it."""
+        lo = int(self.first[i])
+        kinds = slice(lo, lo + int(self.n[i]))
+        ok = np.flatnonzero(w >= self.need[lo])
+        if not len(ok):
+            return
+        to, w = others[ok], w[ok]
+        if self.n[i] == 1:
+            self.outer[lo] += self.held[to].sum()
+            self.inner[to] += self.copies[lo]
+        else:
+            order = np.argsort(-w, kind="stable")
+            within = np.concatenate(([0], np.cumsum(self.held[to[order]])))
+            self.outer[kinds] += within[np.searchsorted(-w[order], -self.need[kinds], side="right")]
+            self.inner[to] += np.cumsum(self.copies[kinds])[np.searchsorted(self.need[kinds], w, side="right") - 1]
+        top = w.max()
+        least = int(self.sets[to[w == top]].min())
+        if top > self.most[i] or (top == self.most[i] and least < self.other[i]):
+            self.most[i], self.other[i] = top, least
+        new = to[self.label[to] != self.label[i]]
+        if len(new):
+            self.edges.append((np.full(len(new), i), new))
+            self.waiting += len(new)
+            if self.waiting > max(EDGES, len(self.n)):
+                self.join()
+
+    def join(self) -> None:
+        """Labels of components with all edges so far."""
+        if self.edges:
+            a, b = (self.label[np.concatenate(x)] for x in zip(*self.edges))
+            nodes, _, _, root = linked(a, b)
+            to = np.arange(len(self.n))
+            to[nodes] = root
+            self.label, self.edges, self.waiting = to[self.label], [], 0
+
+    def table(self) -> pa.Table:
+        self.join()
+        of = np.repeat(np.arange(len(self.n)), self.n)
+        at = np.flatnonzero((self.outer > 0) | (self.inner[of] > 0))
+        of = of[at]
+        root = np.full(len(self.n), np.iinfo(np.int64).max)
+        np.minimum.at(root, self.label[of], self.doc[at])
+        none = self.outer[at] == 0
+        cols = (self.doc[at], root[self.label[of]], self.outer[at], self.inner[of], pa.array(self.most[of] / self.total[at], mask=none), pa.array(self.other[of], mask=none))
+        return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in zip(("doc", "root", "outer", "inner", "containment", "other"), cols)})
 
 
 def _stars(sets: DataFrame) -> DataFrame:
@@ -278,12 +327,12 @@ def _stars(sets: DataFrame) -> DataFrame:
     mine = written(in_company(sets.select("doc", "tokens").mapInArrow(mins, "rep long, mins array<long>")), "min-hashes")
     got = sets.select("doc", "tokens").join(_small(mine.withColumnRenamed("rep", "doc")), "doc").groupBy("nth", "h").applyInArrow(near, "doc long, size long, core long")
     core = Window.partitionBy("core")
-    got = got.select("doc", F.min("doc").over(core).alias("star"), F.ceil(F.sum("size").over(core) / STAR_TOKENS).cast("int").alias("parts"), F.count("*").over(core).alias("n"))
+    got = got.select("doc", F.min("doc").over(core).alias("star"), F.ceil(F.greatest(F.sum("size").over(core) / STAR_TOKENS, F.count("*").over(core) / STAR_SETS)).cast("int").alias("parts"), F.count("*").over(core).alias("n"))
     return swept(written(got.where("n > 1").drop("n"), "stars"))
 
 
-def _within_stars(sets: DataFrame, stars: DataFrame, threshold: float) -> DataFrame:
-    """TALLY over all pairs within a star."""
+def _star_tally(threshold: float):
+    """As _tally, for all pairs of two parts of a star, or within one."""
 
     def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
         got = got.combine_chunks()
@@ -291,27 +340,30 @@ def _within_stars(sets: DataFrame, stars: DataFrame, threshold: float) -> DataFr
         tokens = got["tokens"].chunk(0)
         n = np.diff(tokens.offsets.to_numpy())
         tok = tokens.flatten().to_numpy(zero_copy_only=False)
-        least = got["total"].to_numpy()
+        row, weight = np.repeat(np.arange(len(n)), n), tok & _MASK
         a, b = (np.flatnonzero(part == k.as_py()) for k in key[1:])
-        found: tuple[list, list, list] = ([], [], [])
-        for lo, both in in_common(np.repeat(np.arange(len(n)), n), tok, len(n), a, b, tok & _MASK):
-            mine = a[lo : lo + len(both)]
-            if key[1] == key[2]:
-                both[np.arange(len(mine)), lo + np.arange(len(mine))] = 0
-            ways = [(mine[:, None], b[None, :])] + [(b[None, :], mine[:, None])] * (key[1] != key[2])
-            for x, y in ways:
-                ok = both >= threshold * least[x] - 1e-6
-                for col, v in zip(found, (np.broadcast_to(x, ok.shape)[ok], np.broadcast_to(y, ok.shape)[ok], both[ok])):
-                    col.append(v)
-        out = _tallied(threshold, got, *(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in found))
+        tally = _Tally(threshold, got)
+        for x, y in [(a, b)] + [(b, a)] * (key[1] != key[2]):
+            for lo, both in in_common(row, tok, len(n), x, y, weight):
+                if key[1] == key[2]:
+                    both[np.arange(len(both)), lo + np.arange(len(both))] = 0
+                for i, shared in zip(x[lo : lo + len(both)].tolist(), both):
+                    tally.add(i, y, shared)
+        out = tally.table()
+        del tally
         give_back()
         return out
 
+    return run
+
+
+def _within_stars(sets: DataFrame, stars: DataFrame, threshold: float) -> DataFrame:
+    """TALLY over all pairs within a star."""
     part = sets.join(_small(stars), "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     cols = ["doc", "total", "tokens", "kinds", "part"]
     met = part.select("star", *cols, other).select("star", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), *cols)
-    return met.groupBy("star", "p", "q").applyInArrow(run, TALLY)
+    return met.groupBy("star", "p", "q").applyInArrow(_star_tally(threshold), TALLY)
 
 
 def _shared_sets(docs: DataFrame, threshold: float, sizes: tuple[int, ...], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -350,7 +402,10 @@ def _met(sets: DataFrame, threshold: float, *more: str, stars: DataFrame | None
     key = F.shiftrightunsigned("token", WEIGHT_BITS).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
     pairs = swept(written(met.select("a", "b", key.alias("k")).groupBy("a", "b").agg(F.min("k").alias("k")), "containment-candidates"))
     blocks = int(max(12, -(-pairs.count() // PAIRS_BLOCK)))
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).drop("k")
+    hot = pairs.groupBy("k").agg(F.ceil(F.sqrt(F.count("*") / PAIRS_BLOCK)).cast("int").alias("cells")).where("cells > 1")  # at most a row for each block
+    pairs = pairs.join(F.broadcast(hot), "k", "left")
+    cell = [F.pmod(F.xxhash64(c), F.coalesce("cells", F.lit(1))) for c in ("a", "b")]
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("k", *cell), F.lit(blocks)).cast("int")).drop("k", "cells")
     places = pairs.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
     return places.join(sets, "doc").select("block", "doc", "total", "tokens", *more), pairs.select(F.col("block").alias("pair_block"), "a", "b")
 

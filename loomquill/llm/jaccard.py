@@ -500,27 +500,20 @@ def in_common(row: np.ndarray, tok: np.ndarray, m: int, left: np.ndarray, right:
     x = x[left] * w[wide].astype(kind)
     few = np.flatnonzero(~at & (n[inv] > 1))
     few = few[np.argsort(inv[few], kind="stable")]
-    nth, doc = inv[few], row[few]
     r, c = np.full(m, -1), np.full(m, -1)
     r[left], c[right] = np.arange(len(left)), np.arange(len(right))
-    cells: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))]
-    i, d = np.arange(len(few)), 1
-    while True:
-        i = i[i + d < len(few)]
-        i = i[nth[i] == nth[i + d]]
-        if not len(i):
-            break
-        for a, b in ((doc[i], doc[i + d]), (doc[i + d], doc[i])):
-            ok = (r[a] >= 0) & (c[b] >= 0)
-            cells.append((r[a[ok]] * len(right) + c[b[ok]], w[nth[i[ok]]]))
-        d += 1
-    cell, add = (np.concatenate(z) for z in zip(*cells))
-    order = np.argsort(cell, kind="stable")
-    cell, add = cell[order], add[order]
+    theirs = few[c[row[few]] >= 0]
+    col, held = c[row[theirs]], np.bincount(inv[theirs], minlength=len(n))
+    first = np.cumsum(held) - held
+    mine = few[r[row[few]] >= 0]
+    mine = mine[np.argsort(r[row[mine]], kind="stable")]
+    nth, line = inv[mine], r[row[mine]]
     for lo in range(0, len(left), STAR_ROWS):
         both = (x[lo : lo + STAR_ROWS] @ y).astype(float)
-        a, z = np.searchsorted(cell, (lo * len(right), (lo + STAR_ROWS) * len(right)))
-        np.add.at(both.ravel(), cell[a:z] - lo * len(right), add[a:z])
+        a, z = np.searchsorted(line, (lo, lo + STAR_ROWS))
+        k = held[nth[a:z]]
+        at = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k - first[nth[a:z]], k)
+        np.add.at(both.ravel(), np.repeat((line[a:z] - lo) * len(right), k) + col[at], np.repeat(w[nth[a:z]], k))
         yield lo, both
 
 

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomquill.llm import fingerprint as P
@@ -170,3 +173,65 @@ def test_pairs_of_hubs_and_of_a_cluster_are_counted_and_not_listed(make, rng, mo
     want = brute(rows, P.THRESHOLD)
     assert sorted(map(tuple, P.containment(make(rows)).collect())) == summary(rows, want)
     assert listed["containment-candidates"] < len(want) / 4
+
+
+def tallied(tally, *args):
+    """Rows by document, and the MB that were held at most."""
+    tracemalloc.start()
+    out = tally(*args)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return {r["doc"]: (r["root"], r["outer"], r["inner"], r["containment"], r["other"]) for r in out.to_pylist()}, most
+
+
+def test_a_large_star_is_tallied_in_little_memory():
+    """4000 short sets of one cluster make 16 million pairs, and each set has three kinds."""
+    m, common = 4000, [(k << P.WEIGHT_BITS) | 20 for k in range(1, 5)]
+    tokens = [[*common, ((100 + k) << P.WEIGHT_BITS) | 16] for k in range(m)]
+    kinds = [[{"total": 96 + 32 * j, "copies": 1, "least": 10 * k + j} for j in range(3)] for k in range(m)]
+    got = pa.table({"doc": [10 * k for k in range(m)], "total": [96] * m, "tokens": pa.array(tokens, pa.list_(pa.int64())), "kinds": pa.array(kinds, pa.list_(pa.struct([(c, pa.int64()) for c in ("total", "copies", "least")]))), "part": [0] * m})
+    found, most = tallied(P._star_tally(0.5), (pa.scalar(0),) * 3, got)
+    every = 3 * (m - 1)
+    want = {10 * k + j: (0, every, every, 80 / (96 + 32 * j), 0 if k else 10) if j < 3 else None for k in range(m) for j in range(3)}
+    assert {d: (*r[:3], round(r[3], 9), r[4]) for d, r in found.items()} == {d: (*r[:3], round(r[3], 9), r[4]) for d, r in want.items()}
+    assert most < 150
+
+
+def test_a_common_line_of_many_kinds_is_tallied_in_little_memory():
+    """800 totals of a common line, and 12 000 texts that have it."""
+    line, n, kinds = (1 << P.WEIGHT_BITS) | 60, 12_000, 800
+    struct = pa.struct([(c, pa.int64()) for c in ("total", "copies", "least")])
+    own = [[{"total": 61 + j, "copies": 2, "least": j} for j in range(kinds)]] + [[{"total": 200, "copies": 1, "least": 1000 + k}] for k in range(n)]
+    tokens = [[line]] + [[line, ((5 + k) << P.WEIGHT_BITS) | 50] for k in range(n)]
+    left = pa.table({"doc": [0, *range(1000, 1000 + n)], "total": [61] + [200] * n, "tokens": pa.array(tokens, pa.list_(pa.int64())), "kinds": pa.array(own, pa.list_(struct))})
+    found, most = tallied(P._tally(0.5), (pa.scalar(0),), left, pa.table({"a": [0] * n, "b": list(range(1000, 1000 + n))}))
+    within = 120 - 61 + 1  # totals of up to twice the line
+    assert found == {j: (0, n, 0, 60 / (61 + j), 1000) for j in range(within)} | {1000 + k: (0, 0, 2 * within, None, None) for k in range(n)}
+    assert most < 50
+
+
+@pytest.mark.parametrize(("sets", "pairs"), [(20, 400_000), (8192, 30)])
+def test_small_parts_of_stars_and_cells_of_hot_digests(make, rng, monkeypatch, sets, pairs):
+    monkeypatch.setattr(P, "STAR_SETS", sets, raising=False)
+    monkeypatch.setattr(P, "PAIRS_BLOCK", pairs)
+    met = P._met
+    cells = []
+
+    def counted(*args, **more):
+        left, right = met(*args, **more)
+        cells.append(right.groupBy("pair_block").count().agg({"count": "max"}).first()[0])
+        return left, right
+
+    monkeypatch.setattr(P, "_met", counted)
+    parts = []
+    stars = P._stars
+
+    def split(*args):
+        out = stars(*args)
+        parts.append(out.agg({"parts": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(P, "_stars", split)
+    rows = hubs_and_cluster(rng)
+    assert sorted(map(tuple, P.containment(make(rows)).collect())) == summary(rows, brute(rows, P.THRESHOLD))
+    assert parts[0] > 1 if sets == 20 else cells[0] <= 10 * pairs
