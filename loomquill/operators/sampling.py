@@ -121,9 +121,13 @@ def cost_per_1000(calls: DataFrame, prices: DataFrame, model_col: str = "model")
 
 
 def open_plan(models: DataFrame, topics: DataFrame, kinds: DataFrame, samples: DataFrame, done: DataFrame) -> DataFrame:
-    """Every (model, topic, kind, sample) that isn't done yet."""
-    every = models.select("model").crossJoin(topics.select("topic")).crossJoin(kinds.select("kind")).crossJoin(samples.select("sample"))
-    return every.join(done.select("model", "topic", "kind", "sample"), ["model", "topic", "kind", "sample"], "left_anti")
+    """Every (model, topic, kind, sample) that isn't done yet.
+
+    The lists of a plan are broadcast: a product of their partitions would be a task for each combination.  What is done counts once, before it moves.
+    """
+    every = models.select("model").crossJoin(F.broadcast(topics.select("topic"))).crossJoin(F.broadcast(kinds.select("kind"))).crossJoin(F.broadcast(samples.select("sample")))
+    key = ["model", "topic", "kind", "sample"]
+    return every.join(done.select(*key).distinct(), key, "left_anti")
 
 
 def benchmark_sample(df: DataFrame, held_out: DataFrame, per_group: int = 40, first_year: int = 2015, over_chars: int = 200, seed: int = 42, group_col: str = "party", id_col: str = "id") -> DataFrame:

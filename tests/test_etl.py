@@ -175,6 +175,17 @@ def test_plan_of_generations(spark):
     assert S.open_plan(d("model", "m"), d("topic", "t", "u"), d("kind", "k"), d("sample", 1, 2), done).count() == 3
 
 
+def test_plan_of_generations_has_no_task_for_each_combination(spark, capsys):
+    d = lambda c, *v: spark.createDataFrame([(x,) for x in v], f"{c} {'int' if c == 'sample' else 'string'}")
+    done = spark.createDataFrame([("m", "t", "k", 1)] * 50 + [("m", None, "k", 1), ("m", "u", "k", 2)], "model string, topic string, kind string, sample int")
+    got = S.open_plan(d("model", "m", "n"), d("topic", "t", "u", None), d("kind", "k"), d("sample", 1, 2), done)
+    got.explain()
+    assert "CartesianProduct" not in capsys.readouterr().out
+    every = {(m, t, "k", x) for m in "mn" for t in ("t", "u", None) for x in (1, 2)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == every - {("m", "t", "k", 1), ("m", "u", "k", 2)}
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("H1_a_s", "S", "text", 2020), ("H1_a_s", "SD", " ", 2005), ("bad", "FP", None, None)], "id string, party string, text string, year int")
     got = {r.check: r.failures for r in Q.internal_checks(df, since={"SD": 2010}, least_per_year=0).collect()}
