@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from loomquill.functions.text import Patterns
 SENTENCES = "sentences_text"
 SPAN = "array<struct<start:int,end:int,pattern:string>>"
 RECEIPT = "array<struct<start:int,end:int,pattern:string,context:string,hl_start:int,hl_end:int>>"
+#: Texts that are Python strings at a time.
+TEXTS = 64
 
 
 def with_sentences(df: DataFrame, text_col: str = "text", col: str = SENTENCES) -> DataFrame:
@@ -22,6 +25,37 @@ def with_sentences(df: DataFrame, text_col: str = "text", col: str = SENTENCES)
     return df if col in df.columns else df.withColumn(col, text.sentences(F.col(text_col)))
 
 
+def _texts(col: pa.Array) -> Iterator[str | None]:
+    for k in range(0, len(col), TEXTS):
+        yield from col.slice(k, TEXTS).to_pylist()
+
+
+class _Lists:
+    """A list of structs for each row, kept as flat numbers: an object for each span takes many times its room."""
+
+    def __init__(self, *names: str, pattern: bool = False):
+        self.names, self.ends, self.cols = names, array("i", [0]), [array("i") for _ in names]
+        self.known: dict[str, int] | None = {} if pattern else None
+        self.which = array("i")
+
+    def add(self, *values: int, pattern: str | None = None) -> None:
+        for col, v in zip(self.cols, values):
+            col.append(v)
+        if self.known is not None:
+            self.which.append(self.known.setdefault(pattern, len(self.known)))
+
+    def end(self) -> None:
+        self.ends.append(len(self.cols[0]))
+
+    def arrow(self) -> pa.Array:
+        flat = lambda x: pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)])
+        cols, names = [flat(c) for c in self.cols], list(self.names)
+        if self.known is not None:
+            cols.append(pa.array(list(self.known), pa.string()).take(flat(self.which)))
+            names.append("pattern")
+        return pa.ListArray.from_arrays(flat(self.ends), pa.StructArray.from_arrays(cols, names))
+
+
 def _offsets(t: str, splitter, guard) -> list[tuple[int, int]]:
     at, raw = 0, []
     for m in splitter.finditer(t):
@@ -59,9 +93,12 @@ def sentence_spans(column: Column, abbreviations: Sequence[str] = text.ABBREVIAT
 
     @F.arrow_udf("array<struct<start:int,end:int>>")
     def run(col: pa.Array) -> pa.Array:
-        tools = _sentence_tools(abbreviations)
-        rows = [[{"start": a, "end": b} for a, b in _offsets(t, *tools)] if t else [] for t in col.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        tools, out = _sentence_tools(abbreviations), _Lists("start", "end")
+        for t in _texts(col):
+            for a, b in _offsets(t, *tools) if t else ():
+                out.add(a, b)
+            out.end()
+        return out.arrow()
 
     return run(column)
 
@@ -81,9 +118,12 @@ def find_spans(column: Column, patterns: Patterns) -> Column:
 
     @F.arrow_udf(SPAN)
     def run(col: pa.Array) -> pa.Array:
-        rx, ex = patterns.python_regex(), patterns.python_excludes()
-        rows = [[{"start": a, "end": b, "pattern": p} for a, b, p in _found(t, rx, ex)] if t else [] for t in col.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string())])))
+        rx, ex, out = patterns.python_regex(), patterns.python_excludes(), _Lists("start", "end", pattern=True)
+        for t in _texts(col):
+            for a, b, p in _found(t, rx, ex) if t else ():
+                out.add(a, b, pattern=p)
+            out.end()
+        return out.arrow()
 
     return run(column)
 
@@ -119,7 +159,7 @@ def _sentences_with_span(column: Column, patterns: Patterns) -> Column:
     def run(col: pa.Array) -> pa.Array:
         rx, ex, tools = patterns.python_regex(), patterns.python_excludes(), _sentence_tools(text.ABBREVIATIONS)
         out = []
-        for t in col.to_pylist():
+        for t in _texts(col):
             spans = _found(t, rx, ex) if t else []
             sents = _offsets(t, *tools) if spans else []
             out.append(len({i for a, _, _ in spans for i, (s, e) in enumerate(sents) if s <= a < e}))

@@ -141,3 +141,22 @@ def test_dimensions():
         T.Dimension("x", "stylometric", lambda df: df)
     T.Dimension("x", "stylometric", lambda df: df, evidentiary=False)
     T.Dimension("x", "lexical", lambda df: df, patterns=Patterns(("a",)))
+
+
+@pytest.mark.parametrize("kind", ["spans", "patterns"])
+def test_offsets_of_a_batch_take_little_memory(spark, monkeypatch, kind):
+    """200 000 sentences, each with a match: their offsets are kept as numbers, never as objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from loomquill.functions.text import Patterns
+
+    made = []
+    monkeypatch.setattr(T.F, "arrow_udf", lambda _: lambda f: lambda c: made.append(f) or c)
+    {"spans": T.sentence_spans, "patterns": lambda c: T.find_spans(c, Patterns(("folk",)))}[kind](F.col("text"))
+    texts = pa.array(["Ett folk kom hit. " * 400] * 500 + [None, ""])
+    tracemalloc.start()
+    got = made[0](texts)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert [len(x) for x in got.to_pylist()] == [400] * 500 + [0, 0] and most < 25
