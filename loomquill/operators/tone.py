@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from loomquill.functions.text import Patterns
 
 SENTENCES = "sentences_text"
 SPAN = "array<struct<start:int,end:int,pattern:string>>"
-RECEIPT = "array<struct<start:int,end:int,pattern:string,context:string,hl_start:int,hl_end:int>>"
+PLACED = "array<struct<start:int,end:int,begin:int,stop:int,pattern:string>>"
 #: Texts that are Python strings at a time.
 TEXTS = 64
 
@@ -129,27 +130,29 @@ def find_spans(column: Column, patterns: Patterns) -> Column:
 
 
 def receipts_of(column: Column, patterns: Patterns, window: int = 1, abbreviations: Sequence[str] = text.ABBREVIATIONS) -> Column:
-    """RECEIPT: every match with the sentences around it, and the match's offsets within them."""
+    """Every match with the sentences around it, and the match's offsets within them.  Python gives offsets alone; the JVM cuts the context out row by row."""
 
-    @F.arrow_udf(RECEIPT)
+    @F.arrow_udf(PLACED)
     def run(col: pa.Array) -> pa.Array:
         rx, ex, tools = patterns.python_regex(), patterns.python_excludes(), _sentence_tools(abbreviations)
-        rows = []
-        for t in col.to_pylist():
-            out = []
+        out = _Lists("start", "end", "begin", "stop", pattern=True)
+        for t in _texts(col):
             spans = _found(t, rx, ex) if t else []
             sents = _offsets(t, *tools) if spans else []
+            starts = [s for s, _ in sents]
             for a, b, p in spans:
-                inside = [i for i, (s, e) in enumerate(sents) if s <= a < e]
-                i = inside[0] if inside else max((i for i, (s, _) in enumerate(sents) if s <= a), default=0)
+                i = max(0, bisect_right(starts, a) - 1)  # sentences don't overlap
                 begin = sents[max(0, i - window)][0] if sents else a
-                end = sents[min(len(sents) - 1, i + window)][1] if sents else b
-                out.append({"start": a, "end": b, "pattern": p, "context": t[begin:end], "hl_start": a - begin, "hl_end": b - begin})
-            rows.append(out)
-        kinds = [("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("context", pa.string()), ("hl_start", pa.int32()), ("hl_end", pa.int32())]
-        return pa.array(rows, pa.list_(pa.struct(kinds)))
+                stop = sents[min(len(sents) - 1, i + window)][1] if sents else b
+                out.add(a, b, begin, stop, pattern=p)
+            out.end()
+        return out.arrow()
 
-    return run(column)
+    def shown(r: Column) -> Column:
+        begin = r["begin"]
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["pattern"].alias("pattern"), column.substr(begin + 1, F.greatest(r["stop"] - begin, F.lit(0))).alias("context"), (r["start"] - begin).alias("hl_start"), (r["end"] - begin).alias("hl_end"))
+
+    return F.transform(run(column), shown)
 
 
 def _sentences_with_span(column: Column, patterns: Patterns) -> Column:

@@ -143,7 +143,7 @@ def test_dimensions():
     T.Dimension("x", "lexical", lambda df: df, patterns=Patterns(("a",)))
 
 
-@pytest.mark.parametrize("kind", ["spans", "patterns"])
+@pytest.mark.parametrize("kind", ["spans", "receipts", "patterns"])
 def test_offsets_of_a_batch_take_little_memory(spark, monkeypatch, kind):
     """200 000 sentences, each with a match: their offsets are kept as numbers, never as objects."""
     import tracemalloc
@@ -153,10 +153,18 @@ def test_offsets_of_a_batch_take_little_memory(spark, monkeypatch, kind):
 
     made = []
     monkeypatch.setattr(T.F, "arrow_udf", lambda _: lambda f: lambda c: made.append(f) or c)
-    {"spans": T.sentence_spans, "patterns": lambda c: T.find_spans(c, Patterns(("folk",)))}[kind](F.col("text"))
+    {"spans": T.sentence_spans, "receipts": lambda c: T.receipts_of(c, Patterns(("folk",))), "patterns": lambda c: T.find_spans(c, Patterns(("folk",)))}[kind](F.col("text"))
     texts = pa.array(["Ett folk kom hit. " * 400] * 500 + [None, ""])
     tracemalloc.start()
     got = made[0](texts)
     most = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert [len(x) for x in got.to_pylist()] == [400] * 500 + [0, 0] and most < 25
+
+
+def test_receipts_count_characters_outside_the_first_plane(spark):
+    from loomquill.functions.text import Patterns
+
+    df = spark.createDataFrame([("1", "S", 2020, "Bort. Före \U0001f600 nu. Här \U0001f600 är Folk idag! Efter \U0001f600. Sist."), ("2", "S", 2020, None), ("3", "S", 2020, "folk")], "id string, party string, year int, text string")
+    got = {r.speech_id: (r.context, r.context[r.hl_start : r.hl_end], r.pattern) for r in T.sample_receipts(df, Patterns(("folk",)), "d").collect()}
+    assert got == {"1": ("Före \U0001f600 nu. Här \U0001f600 är Folk idag! Efter \U0001f600.", "Folk", "folk"), "3": ("folk", "folk", "folk")}
